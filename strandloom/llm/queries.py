@@ -4,13 +4,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, token_counts
+from strandloom.llm import bpe, language_id, near_dedup, quality, token_counts
 from strandloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    return language_id.identify(table(spark, sf_dir, "documents"), learn)
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -19,5 +34,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe, "op10_token_counts": op10_token_counts}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_language_id, op6_near_dedup, op9_byte_bpe, op10_token_counts)}
+
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]]
+    ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u),
+low AS (SELECT u, min(v) AS v FROM reach GROUP BY u),
+twin AS (SELECT w.doc_id, string_agg(s.shingle, chr(10) ORDER BY s.shingle) AS body FROM w JOIN s USING (doc_id) GROUP BY w.doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.v, w.doc_id)) AS component_id,
+  w.doc_id = least(w.doc_id, coalesce(low.v, w.doc_id)) AS kept,
+  CASE WHEN n.n > 0 THEN min(w.doc_id) OVER (PARTITION BY twin.body) END AS class_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.u = w.doc_id LEFT JOIN twin ON twin.doc_id = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op6_near_dedup": OP6_SQL}
