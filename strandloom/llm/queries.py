@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, language_id, near_dedup, quality, token_counts
+from strandloom.llm import ann, bpe, language_id, near_dedup, quality, sharding, token_counts
 from strandloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,10 +22,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), learn)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -34,7 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_language_id, op6_near_dedup, op9_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op8_nearest, op9_byte_bpe, op10_token_counts)}
 
 OP6_SQL = """
 WITH RECURSIVE w AS (
@@ -57,4 +65,17 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.v,
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.u = w.doc_id LEFT JOIN twin ON twin.doc_id = w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_near_dedup": OP6_SQL}
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda s, t: s + t)) AS norm FROM v WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+    list_reduce(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]), lambda s, t: s + t) / (a.norm * b.norm) AS score
+  FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op6_near_dedup": OP6_SQL, "op8_nearest": OP8_SQL}
