@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, bpe, language_id, near_dedup, quality, sharding, token_counts
+from strandloom.llm import ann, bpe, language_id, near_dedup, pii, quality, sharding, token_counts
 from strandloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -42,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op8_nearest, op9_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op7_pii, op8_nearest, op9_byte_bpe, op10_token_counts)}
 
 OP6_SQL = """
 WITH RECURSIVE w AS (
