@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, bpe, language_id, near_dedup, pii, quality, sharding, token_counts
+from strandloom.llm import ann, bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, sharding, token_counts
 from strandloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.rate(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -46,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op7_pii, op8_nearest, op9_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontaminate, op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op7_pii, op8_nearest, op9_byte_bpe, op10_token_counts)}
 
 OP6_SQL = """
 WITH RECURSIVE w AS (
