@@ -121,14 +121,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: s
     return _apply(docs, text_col, keep, ids_and_bytes, "ids array<bigint>, decoded binary")
 
 
-def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_tokens, and the digests of the ids (little-endian, 32 bits) and of the decoded bytes."""
+def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """``keep`` columns, n_tokens, the digests of the ids (little-endian, 32 bits) and of the decoded bytes, and
+    the ids themselves (array<int>) if asked for."""
 
     def digest(c: Codec, text: str, ids: np.ndarray) -> tuple:
-        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids.tolist())).hexdigest()
+        out = len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids.tolist())).hexdigest()
+        return (*out, ids.astype(np.int32)) if with_ids else out
 
-    fn = _over_batches(vocabulary, pattern, digest, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return _apply(docs, text_col, keep, fn, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])]
+    fn = _over_batches(vocabulary, pattern, digest, fields)
+    return _apply(docs, text_col, keep, fn, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
