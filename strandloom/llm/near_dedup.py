@@ -10,11 +10,20 @@ once, by an aggregation of set digests.  For each class:
   similarities, so a candidate needs 64 bytes a side.  The cut-off lies 6 deviations beyond the count expected
   at the wanted similarity, and what passes it is confirmed on the full sets.
 
-All pairs of a bucket are never made.  Each bucket has a hub (its member with the least hash for that band) and
-offers (member, hub) pairs; they are confirmed in rounds, best first, and pairs inside one component are
-dropped before each.  After that, a bucket whose members lie in one component has nothing left to find.  In the
-others the members of different components are compared block against block on their bitmaps alone, whatever
-the bucket's size, and what passes is confirmed as well: no cap, and no link between components lost.
+All pairs of a bucket are never made.  Each bucket has a hub, the member with the most company over all bands (a
+group's original rather than one of its edited copies), and every member is measured against it: exactly, if
+the odd sketch puts the pair near enough to matter.  Of a pair (x, a) of members with hub h, similar enough
+itself,
+
+* both may reach the wanted similarity t with h: then h connects them;
+* one may, say a: as 1 - similarity is a metric, x still has at least 2t - 1 with h, and (counting what each
+  removes from and adds to h) they must share an addition to h, or a must remove more than it adds: pairs that
+  share an addition are joined on it, the others by h under the exact inequality on counts;
+* neither may: members that are not plainly near the hub form a bucket of their own with a new hub, and the same
+  holds there.  What is left after ``PEELS`` hubs is compared block against block on bitmaps alone, across
+  components only, whatever the bucket's size.
+
+All pairs found are confirmed on full sets: no cap, and no link between components lost.
 
 Defined results: a null or empty text, or one of white space alone, has an empty set and is linked with
 nothing; repeated rows (equal ids too) each get a row; ties go to the smallest id.
@@ -37,6 +46,8 @@ BANDS, ROWS, BITS = 32, 5, 512
 SAMPLES = BANDS * ROWS
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Hubs that a bucket gets, one after the other.
+PEELS = 2
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -90,14 +101,19 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(bit.astype(np.int64), minlength=BITS).astype(np.uint8) & 1)
 
 
-def cut_off(similarity: float) -> int:
-    """XOR bits that a pair of this similarity exceeds about once in 10**9 times."""
-    differ = SAMPLES * (1 - similarity)
-    high = min(SAMPLES, differ + 6 * np.sqrt(SAMPLES * similarity * (1 - similarity)))
+def cut_off(similarity: float, deviations: float = 4.0) -> int:
+    """XOR bits that a pair of this similarity hardly ever exceeds: so many deviations of the samples, and two of
+    the bitmap, beyond what is expected."""
+    high = min(SAMPLES, SAMPLES * (1 - similarity) + deviations * np.sqrt(SAMPLES * similarity * (1 - similarity)))
     expected = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * high))
     return int(np.ceil(expected + 2 * np.sqrt(expected * (1 - expected / BITS))))
 
 
+def plainly_near(similarity: float = 0.95) -> int:
+    """XOR bits that are expected at this similarity."""
+    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - similarity))))
+
+
 def similarity_of(xor_bits: int) -> float:
     """Estimated share of equal samples from the XOR's population count."""
     inside = max(1e-9, 1 - 2 * xor_bits / BITS)
@@ -174,11 +190,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("u", "v")
 
 
-def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    cu = comp.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-    cv = comp.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    return pairs.join(cu, "u", "left").join(cv, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("cu", "cv")
+def hubs_of(members: DataFrame) -> DataFrame:
+    """(bucket, id, hub) of the buckets of several members; ``members``: bucket, id."""
+    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    sized = stored(sized, "sized")
+    company = sized.groupBy("id").agg(F.sum("n").alias("company"))
+    hubs = sized.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("i"))).alias("h")).select("bucket", (-F.col("h.i")).alias("hub"))
+    return stored(sized.select("bucket", "id").join(stored(hubs, "hubs"), "bucket"), "members")
+
+
+def sketched(members: DataFrame, sketch: DataFrame, limit: int) -> DataFrame:
+    """(x, h, bits) of members and their hubs whose bitmaps differ in at most ``limit`` bits."""
+    pairs = members.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("h")).distinct()
+    both = pairs.join(sketch.select(F.col("id").alias("x"), F.col("sketch").alias("a")), "x").join(sketch.select(F.col("id").alias("h"), F.col("sketch").alias("b")), "h")
+    return stored(both.select("x", "h", xor_bits("a", "b").alias("bits")).where(F.col("bits") <= limit), "near-hub")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, h, removed, added, nh, news): what x removes from and adds to h, for pairs near enough to matter."""
+    a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
+    b = sets.select(F.col("id").alias("h"), F.col("shingles").alias("sh"))
+    rows = pairs.select("x", "h").join(a, "x").join(b, "h").select("x", "h", F.size("sh").alias("nh"), F.size(F.array_except("sh", "sx")).alias("removed"), F.array_except("sx", "sh").alias("news"))
+    rows = rows.withColumn("added", F.size("news"))
+    return stored(rows.where(100 * (F.col("nh") - F.col("removed")) >= (2 * percent - 100) * (F.col("nh") + F.col("added"))), "measured")
+
+
+def beside_hub(near: DataFrame, percent: int) -> DataFrame:
+    """(u, v) that may be linked though only one of them is linked with their hub."""
+    linked = 100 * (F.col("nh") - F.col("removed")) >= percent * (F.col("nh") + F.col("added"))
+    side = lambda cond, p: near.where(cond).select("h", "nh", F.col("x").alias(p), F.col("removed").alias(f"r{p}"), F.col("added").alias(f"n{p}"))
+    news = lambda cond, p: near.where(cond).select("h", F.col("x").alias(p), F.explode("news").alias("new"))
+    shared = news(~linked, "u").join(news(linked, "v"), ["h", "new"]).select("u", "v")
+    # without a shared addition, 100 (nh - ru - rv + s) >= percent (nh + nu + nv - s) for s <= min(ru, rv) shared removals
+    lacks = percent * (F.col("nh") + F.col("nu") + F.col("nv")) - 100 * (F.col("nh") - F.col("ru") - F.col("rv"))
+    fewer = side(~linked, "u").join(side(linked & (F.col("added") < F.col("removed")), "v").drop("nh"), "h").where((100 + percent) * F.least("ru", "rv") >= lacks).select("u", "v")
+    return shared.unionByName(fewer).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def block_pairs(members: DataFrame, limit: int) -> DataFrame:
@@ -221,35 +267,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # bands and sketch follow from the set alone, so any of a class's rows has them
     classes = stored(full.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
-    rows = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"), F.xxhash64("id", "band").alias("rank"))
-    hubs = rows.groupBy("bucket").agg(F.min_by("id", F.struct("rank", "id")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    member = stored(rows.join(hubs, "bucket").select("bucket", "id", "hub"), "buckets")
-    limit = cut_off(percent / 100)
-    offered = member.where("id <> hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
     sketch = classes.select("id", "sketch")
-    near = offered.join(sketch.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
-    star = stored(near.select("u", "v", xor_bits("a", "b").alias("bits")).where(F.col("bits") <= limit), "stars")
-
-    # the closest pair of each document is confirmed first; most others then lie inside one component
-    ends = star.select(F.explode(F.array("u", "v")).alias("id"), "u", "v", "bits")
-    wanted = ends.select("id").distinct().join(classes.select("id", "digest"), "id")
-    sets = stored(sets_of(docs, wanted, shingle, id_col, text_col), "sets")
-    best = ends.groupBy("id").agg(F.min(F.struct("bits", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
-    links = stored(confirmed(best, sets, percent), "links")
-    comp = components(links)
-    rest = stored(confirmed(across(star.join(best, ["u", "v"], "left_anti"), comp), sets, percent), "links")
-    links = links.unionByName(rest)
+    members = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+    star = None
+    for _ in range(PEELS):
+        members = hubs_of(members)
+        near = sketched(members, sketch, cut_off(2 * percent / 100 - 1))
+        star = near.select("x", "h") if star is None else star.unionByName(near.select("x", "h"))
+        plain = stored(near.where(F.col("bits") <= plainly_near()).select(F.col("x").alias("id"), F.col("h").alias("hub")), "plain")
+        members = stored(members.where("id <> hub").join(plain, ["id", "hub"], "left_anti").select("bucket", "id"), "rest")
+    digests = classes.select("id", "digest")
+    star = star.distinct()
+    sets = stored(sets_of(docs, star.select(F.explode(F.array("x", "h")).alias("id")).distinct().join(digests, "id"), shingle, id_col, text_col), "sets")
+    near = measured(star, sets, percent)
+    direct = near.where(100 * (F.col("nh") - F.col("removed")) >= percent * (F.col("nh") + F.col("added"))).select(F.least("x", "h").alias("u"), F.greatest("x", "h").alias("v"))
+    links = stored(direct.unionByName(confirmed(beside_hub(near, percent), sets, percent)), "links")
     comp = components(links)
 
-    named = member.select("bucket", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("bucket")
-    blocks = block_pairs(named.join(mixed, "bucket").join(sketch, "id"), limit)
-    late = stored(blocks.join(star, ["u", "v"], "left_anti"), "late")
+    named = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    late = stored(block_pairs(stored(named.join(stored(mixed, "mixed"), "bucket").join(sketch, "id"), "blocks"), cut_off(percent / 100)), "late")
     if not late.isEmpty():
-        ids = late.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(classes.select("id", "digest"), "id")
-        more = stored(sets_of(docs, ids, shingle, id_col, text_col), "sets")
-        links = links.unionByName(stored(confirmed(late, more, percent), "links"))
-        comp = components(links)
+        more = stored(late.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti").join(digests, "id"), "more")
+        if not more.isEmpty():
+            sets = sets.unionByName(stored(sets_of(docs, more, shingle, id_col, text_col), "sets"))
+        found = stored(confirmed(late, sets, percent), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comp = components(links)
 
     class_of = classes.select("digest", F.col("id").alias("class_id"))
     out = signed.select("id", "n_shingles", "digest").join(class_of, "digest", "left")
