@@ -145,7 +145,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = 256, books: int = 16, words: int = 256, beam: int = 4, fit_rows: int = 16_384, query_block: int = 256, entry_block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = 256, books: int = 16, words: int = 256, beam: int = 4, fit_rows: int = 16_384, query_block: int = 256, entry_block: int = 65_536, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows by cosine, nearest first."""
     rows = stored(usable(vectors, id_col, vector_col), "vectors")
     n = rows.count()
