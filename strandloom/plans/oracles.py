@@ -1 +1,235 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL with the results of the registered queries, written from the tables and not from the engine's code."""
+
+from __future__ import annotations
+
+# Lineitem rows as alignments; p_order is the order of a query's lines.
+GAF = """
+gaf AS (
+  SELECT 'q' || l_orderkey AS query_name, CAST(100 * l_quantity AS BIGINT) AS qlen, CAST(90 * l_quantity AS BIGINT) AS block,
+    CAST(90 * l_quantity - round(100 * l_discount) AS BIGINT) AS matches, CAST(round(100 * l_discount) AS INTEGER) AS nm,
+    CAST(least(60, 10 * round(100 * l_tax)) AS INTEGER) AS mapping_quality, l_returnflag = 'A' AS has_as,
+    '>p' || l_partkey || '<p' || l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN '>p' || l_partkey ELSE '' END AS path,
+    CASE WHEN l_linenumber % 2 = 0 THEN ['p' || l_partkey, 'p' || l_suppkey, 'p' || l_partkey] ELSE ['p' || l_partkey, 'p' || l_suppkey] END AS nodes,
+    CASE l_suppkey % 3 WHEN 0 THEN 'healthy' WHEN 1 THEN 'unhealthy' ELSE 'combined' END AS graph_class, 'g' || l_partkey % 3 AS gene,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS line_no
+  FROM lineitem),
+m AS (
+  SELECT *, matches / block AS identity, block / qlen AS coverage, CAST(matches + has_as::INT AS DOUBLE) AS alignment_score, (matches + has_as::INT) / qlen AS normalized_score FROM gaf)"""
+
+BEST = "row_number() OVER (PARTITION BY {by} ORDER BY normalized_score DESC, identity DESC, coverage DESC, mapping_quality DESC, line_no)"
+
+QUERY = """
+qry AS (
+  SELECT 'q' || o_orderkey AS query_name, 'g' || o_custkey % 3 AS gene, CASE WHEN o_orderpriority LIKE '1%' THEN 'UNHEALTHY' ELSE 'HEALTHY' END AS truth,
+    CASE WHEN o_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders)"""
+
+COMPOSITE = "0.45 * identity + 0.35 * coverage + 0.15 * least(mapping_quality / 60, 1) + 0.05 * least(normalized_score, 1)"
+
+CLASSES = f"""
+b AS (SELECT * FROM (SELECT *, {BEST.format(by="query_name, graph_class")} AS r FROM m) WHERE r = 1),
+cls AS (
+  SELECT query_name, coalesce(max({COMPOSITE}) FILTER (graph_class = 'healthy'), 0) AS h, coalesce(max({COMPOSITE}) FILTER (graph_class = 'unhealthy'), 0) AS u,
+    coalesce(max(normalized_score) FILTER (graph_class = 'healthy'), 0) AS hn, coalesce(max(normalized_score) FILTER (graph_class = 'unhealthy'), 0) AS un,
+    coalesce(max(mapping_quality) FILTER (graph_class = 'combined'), 0) AS mapq, coalesce(max(alignment_score) FILTER (graph_class = 'combined'), 0) AS score,
+    coalesce(max(block) FILTER (graph_class = 'combined'), 0) AS block, coalesce(max(coverage) FILTER (graph_class = 'combined'), 0) AS coverage,
+    coalesce(max(identity) FILTER (graph_class = 'combined'), 0) AS identity, coalesce(max(nm) FILTER (graph_class = 'combined'), 0) AS nm,
+    coalesce(max(nodes) FILTER (graph_class = 'combined'), []) AS nodes
+  FROM b GROUP BY query_name)"""
+
+JUDGED = f"""
+{GAF}, {QUERY}, {CLASSES},
+j AS (
+  SELECT query_name, gene, split, truth, CASE WHEN h >= u THEN 'HEALTHY' ELSE 'UNHEALTHY' END AS label, round(u / greatest(h + u, 1e-9), 9) AS score, h, u, abs(h - u) < 1e-6 AS tie_like, mapq
+  FROM cls JOIN qry USING (query_name))"""
+
+SEQ = """
+seq AS (
+  SELECT doc_id, upper(lang) || CASE WHEN coalesce(quality, 1) = 1 THEN '_H_' ELSE '_U_' END || doc_id AS sequence_id, upper(lang) AS gene,
+    CASE WHEN coalesce(quality, 1) = 1 THEN 'HEALTHY' ELSE 'UNHEALTHY' END AS label, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS sequence
+  FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene, label, sequence ORDER BY doc_id) AS r FROM seq WHERE sequence <> '') WHERE r = 1),
+halved AS (
+  SELECT *, 0.2 * count(*) OVER (PARTITION BY gene, label) AS want, count(*) OVER (PARTITION BY gene, label) AS n,
+    row_number() OVER (PARTITION BY gene, label ORDER BY md5('42|' || sequence_id), sequence_id) AS place FROM kept),
+split AS (
+  SELECT *, CASE WHEN place <= least(greatest(CASE WHEN want - floor(want) = 0.5 THEN 2 * round(want / 2) ELSE round(want) END, 1), n - 1) THEN 'test' ELSE 'train' END AS split FROM halved)"""
+
+LINKS = """
+ln AS (
+  SELECT a.l_orderkey AS graph_id, 'n' || a.l_partkey % 5 AS src, 'n' || b.l_partkey % 5 AS dst, a.l_linenumber AS line_no,
+    CASE WHEN a.l_returnflag = 'A' THEN '-' ELSE '+' END AS src_orient, CASE WHEN b.l_returnflag = 'A' THEN '-' ELSE '+' END AS dst_orient
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+e AS (SELECT DISTINCT graph_id, src, dst FROM ln),
+seg AS (SELECT DISTINCT l_orderkey AS graph_id, 'n' || l_partkey % 5 AS node FROM lineitem)"""
+
+REACH = """
+reach AS (SELECT graph_id, src, dst FROM e UNION SELECT r.graph_id, r.src, e.dst FROM reach r JOIN e ON e.graph_id = r.graph_id AND e.src = r.dst)"""
+
+WEAK = """
+und AS (SELECT graph_id, src, dst FROM e UNION SELECT graph_id, dst, src FROM e),
+walk AS (SELECT graph_id, src, dst FROM und UNION SELECT r.graph_id, r.src, u.dst FROM walk r JOIN und u ON u.graph_id = r.graph_id AND u.src = r.dst),
+weak AS (SELECT s.graph_id, s.node, least(s.node, coalesce(min(w.dst), s.node)) AS component FROM seg s LEFT JOIN walk w ON w.graph_id = s.graph_id AND w.src = s.node GROUP BY s.graph_id, s.node)"""
+
+STRONG = """
+strong AS (
+  SELECT s.graph_id, s.node, least(s.node, coalesce(min(r.dst), s.node)) AS scc FROM seg s
+  LEFT JOIN (SELECT a.graph_id, a.src, a.dst FROM reach a JOIN reach b ON a.graph_id = b.graph_id AND a.src = b.dst AND a.dst = b.src) r ON r.graph_id = s.graph_id AND r.src = s.node
+  GROUP BY s.graph_id, s.node)"""
+
+# The fixed graph of twelve nodes, its distances, and lineitem rows as anchors with their precedence pairs and gaps.
+CHAIN = """
+mini AS (
+  SELECT i AS src, i + s AS dst FROM range(1, 12) t(i), (VALUES (1), (3)) v(s) WHERE i + s <= 12 UNION SELECT 7, 4),
+hop AS (
+  SELECT i AS src, i AS dst, 0 AS hops FROM range(1, 13) t(i)
+  UNION SELECT h.src, mini.dst, h.hops + 1 FROM hop h JOIN mini ON mini.src = h.dst WHERE h.hops < 12),
+far AS (SELECT src, dst, min(hops) AS hops FROM hop GROUP BY src, dst),
+a AS (
+  SELECT *, y_ - 1 + x AS y, c + y_ - 1 AS d, 2 * y_ AS weight FROM (
+    SELECT l_orderkey AS query_id, CAST(l_partkey % 12 + 1 AS BIGINT) AS vertex, 1 + l_suppkey % 4 AS x, 1 + CAST(l_quantity AS BIGINT) % 8 AS y_, 8 * l_linenumber + l_partkey % 2 AS c,
+      CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS INTEGER) AS anchor_id
+    FROM lineitem)),
+pre AS (
+  SELECT l.query_id, l.anchor_id AS left_id, r.anchor_id AS right_id, l.vertex AS lv, r.vertex AS rv, l.y AS ly, r.x AS rx, r.weight AS rw, greatest(0, r.c - l.d - 1) AS query_gap, far.hops
+  FROM a l JOIN a r ON l.query_id = r.query_id AND l.anchor_id <> r.anchor_id AND l.d < r.c JOIN far ON far.src = l.vertex AND far.dst = r.vertex
+  WHERE l.vertex <> r.vertex OR l.y < r.x OR l.vertex BETWEEN 4 AND 7),
+gap AS (
+  SELECT *, query_gap + graph_gap AS gap FROM (
+    SELECT *, CASE WHEN lv = rv THEN greatest(0, rx - ly - 1) ELSE hops + greatest(0, least(2, 4 - ly)) + greatest(0, least(2, rx - 1)) END AS graph_gap FROM pre)),
+it AS (
+  SELECT query_id, anchor_id, 0 AS iter, CAST(weight AS DOUBLE) AS score, weight FROM a
+  UNION ALL
+  SELECT i.query_id, g.right_id, i.iter + 1, i.score + g.rw - g.gap, g.rw FROM it i JOIN gap g ON g.query_id = i.query_id AND g.left_id = i.anchor_id)"""
+
+WALK = """
+walk AS (
+  SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY first, node) - 1 AS pos FROM (
+    SELECT l_orderkey AS query_id, CAST(l_partkey % 12 + 1 AS INTEGER) AS node, min(l_linenumber) AS first FROM lineitem GROUP BY ALL))"""
+
+FEATURES = f"""
+{GAF}, {QUERY}, {CLASSES},
+nb AS (SELECT DISTINCT nodes[i] AS src, nodes[i + 1] AS dst FROM gaf, (VALUES (1), (2)) v(i) WHERE i < len(nodes)),
+deg AS (SELECT node, sum(i) AS ind, sum(o) AS outd FROM (SELECT src AS node, 0 AS i, 1 AS o FROM nb UNION ALL SELECT dst, 1, 0 FROM nb) GROUP BY node),
+pf AS (
+  SELECT query_name, count(*) AS uniq, count(*) FILTER (ind > 1 OR outd > 1) AS branching, sum(ind + outd) / count(*) AS mean_degree
+  FROM (SELECT query_name, unnest(list_distinct(nodes)) AS node FROM cls) JOIN deg USING (node) GROUP BY query_name),
+ft AS (
+  SELECT query_name AS sequence_id, split, gene, truth AS label_name, CASE WHEN truth = 'UNHEALTHY' THEN 1 ELSE 0 END AS label,
+    round(coalesce(score, 0), 9) AS alignment_score, round(CAST(coalesce(mapq, 0) AS DOUBLE), 9) AS mapq, round(CAST(coalesce(block, 0) AS DOUBLE), 9) AS alignment_length, round(coalesce(coverage, 0), 9) AS query_coverage,
+    CAST(coalesce(uniq, 0) AS DOUBLE) AS matched_graph_nodes, CAST(coalesce(len(nodes), 0) AS DOUBLE) AS traversed_graph_paths,
+    round(coalesce(hn, 0), 9) AS healthy_overlap_score, round(coalesce(un, 0), 9) AS unhealthy_overlap_score, round(coalesce(hn, 0) / greatest(coalesce(un, 0), 1e-9), 3) AS healthy_unhealthy_score_ratio,
+    CAST(coalesce(nm, 0) AS DOUBLE) AS mismatches, CAST(coalesce(branching, 0) AS DOUBLE) AS graph_branches_traversed, round(coalesce(mean_degree, 0), 9) AS graph_path_complexity,
+    round(coalesce(identity, 0) * 100, 9) AS identity_percentage, round(CASE WHEN uniq > 0 THEN len(nodes) / uniq ELSE 0 END, 9) AS path_traversal_frequency, CAST(coalesce(len(nodes) - uniq, 0) AS DOUBLE) AS node_revisit_count
+  FROM qry LEFT JOIN cls USING (query_name) LEFT JOIN pf USING (query_name))"""
+
+METRICS = "round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 9) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1"
+
+KMERS = "SELECT gene, label, unnest(list_transform(range(1, len(sequence) - {k} + 2), lambda i: substr(sequence, i, {k}))) AS kmer FROM seq WHERE len(sequence) >= {k}"
+
+ORACLES: dict[str, str] = {
+    "alignment_rollup": f"""WITH {GAF}, {QUERY}, b AS (SELECT * FROM (SELECT *, {BEST.format(by="query_name")} AS r FROM m) WHERE r = 1)
+      SELECT coalesce(qry.gene, 'ALL') AS gene, count(*) AS queries, count(b.identity) AS aligned, round(count(b.identity) / count(*), 9) AS alignment_rate, round(coalesce(avg(identity), 0), 9) AS mean_identity,
+        round(coalesce(avg(coverage), 0), 9) AS mean_coverage, round(coalesce(avg(mapping_quality), 0), 9) AS mean_mapq, round(coalesce(avg(alignment_score), 0), 9) AS mean_score
+      FROM qry LEFT JOIN b USING (query_name) GROUP BY ROLLUP (qry.gene)""",
+    "gaf_metrics": f"""WITH {GAF} SELECT query_name, path, round(identity, 9) AS identity, round(coverage, 9) AS coverage, block AS path_span, alignment_score, round(normalized_score, 9) AS normalized_score,
+        CAST(len(nodes) AS INTEGER) AS n_nodes, mapping_quality FROM m""",
+    "gaf_tag_map": f"WITH {GAF} SELECT query_name, path, CAST(2 + has_as::INT AS INTEGER) AS n_tags, 'P' AS tp, nm, CASE WHEN has_as THEN CAST(matches + 1 AS VARCHAR) END AS as_tag FROM gaf",
+    "best_alignment": f"""WITH {GAF} SELECT query_name, path, graph_class, round(identity, 9) AS identity, round(coverage, 9) AS coverage, round(normalized_score, 9) AS normalized_score, mapping_quality
+      FROM (SELECT *, {BEST.format(by="query_name")} AS r FROM m) WHERE r = 1""",
+    "composite_breakdown": f"""WITH {GAF} SELECT query_name, round(0.45 * identity, 9) AS identity_part, round(0.35 * coverage, 9) AS coverage_part, round(0.15 * least(mapping_quality / 60, 1), 9) AS mapq_part,
+        round(0.05 * least(normalized_score, 1), 9) AS score_part, round({COMPOSITE}, 9) AS total FROM (SELECT *, {BEST.format(by="query_name")} AS r FROM m) WHERE r = 1""",
+    "rule_classify": f"""WITH {GAF}, {CLASSES} SELECT query_name, round(h, 9) AS healthy_score, round(u, 9) AS unhealthy_score, CASE WHEN h >= u THEN 'HEALTHY' ELSE 'UNHEALTHY' END AS label,
+        round(least(1, abs(h - u) / (h + u + 1e-9)), 9) AS confidence, abs(h - u) < 1e-6 AS tie_like, round(u / greatest(h + u, 1e-9), 9) AS unhealthy_probability, true AS any_available, CAST(len(nodes) AS INTEGER) AS matched_nodes FROM cls""",
+    "gene_detect": f"""WITH {GAF}, b AS (SELECT * FROM (SELECT *, {BEST.format(by="query_name, gene")} AS r FROM m) WHERE r = 1)
+      SELECT query_name, CAST(row_number() OVER (PARTITION BY query_name ORDER BY normalized_score DESC, identity DESC, coverage DESC, mapping_quality DESC, gene) AS INTEGER) AS rank, gene, round(normalized_score, 9) AS normalized_score FROM b""",
+    "analyze_queries": f"""WITH {GAF}, c AS (SELECT query_name, gene FROM (SELECT *, row_number() OVER (PARTITION BY query_name ORDER BY normalized_score DESC, identity DESC, coverage DESC, mapping_quality DESC, gene) AS r FROM
+        (SELECT *, {BEST.format(by="query_name, gene")} AS r0 FROM m WHERE graph_class = 'combined') WHERE r0 = 1) WHERE r = 1),
+      b AS (SELECT * FROM (SELECT m.*, {BEST.format(by="query_name, graph_class")} AS r FROM m JOIN c USING (query_name, gene)) WHERE r = 1),
+      x AS (SELECT query_name, gene, coalesce(max({COMPOSITE}) FILTER (graph_class = 'healthy'), 0) AS h, coalesce(max({COMPOSITE}) FILTER (graph_class = 'unhealthy'), 0) AS u FROM b GROUP BY ALL)
+      SELECT query_name, gene, CASE WHEN h >= u THEN 'HEALTHY' ELSE 'UNHEALTHY' END AS label, round(h, 9) AS healthy_score, round(u, 9) AS unhealthy_score, 'aligned' AS note FROM x""",
+    "classifier_confusion": f"""WITH {JUDGED}, t AS (SELECT gene, count(*) FILTER (truth = 'UNHEALTHY' AND label = 'UNHEALTHY') AS tp, count(*) FILTER (truth = 'HEALTHY' AND label = 'HEALTHY') AS tn,
+        count(*) FILTER (truth = 'HEALTHY' AND label = 'UNHEALTHY') AS fp, count(*) FILTER (truth = 'UNHEALTHY' AND label = 'HEALTHY') AS fn FROM j GROUP BY gene) SELECT gene, tp, tn, fp, fn, {METRICS} FROM t""",
+    "classifier_auc": f"""WITH {JUDGED}, l AS (SELECT score, count(*) FILTER (truth = 'UNHEALTHY') AS p, count(*) FILTER (truth = 'HEALTHY') AS n FROM j GROUP BY score),
+      r AS (SELECT *, sum(n) OVER (ORDER BY score) - n AS below FROM l) SELECT round(coalesce(sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0), 0), 9) AS auc FROM r""",
+    "roc_points": f"""WITH {JUDGED}, l AS (SELECT score, count(*) FILTER (truth = 'UNHEALTHY') AS p, count(*) FILTER (truth = 'HEALTHY') AS n FROM j GROUP BY score)
+      SELECT score AS threshold, round(sum(n) OVER w / sum(n) OVER (), 9) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 9) AS tpr FROM l WINDOW w AS (ORDER BY score DESC) UNION ALL SELECT 'infinity'::DOUBLE, 0, 0""",
+    "class_report": f"""WITH {JUDGED}, k AS (SELECT unnest(['HEALTHY', 'UNHEALTHY']) AS class), t AS (SELECT class, count(*) FILTER (truth = class AND label = class) AS tp, count(*) FILTER (label = class) AS pred, count(*) FILTER (truth = class) AS support FROM j, k GROUP BY class),
+      r AS (SELECT class, coalesce(tp / nullif(pred, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / nullif(pred + support, 0), 0) AS f1, support FROM t),
+      o AS (SELECT * FROM r UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM r
+        UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM r)
+      SELECT class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM o""",
+    "accuracy_by_gene": f"WITH {JUDGED} SELECT gene, count(*) AS total, count(*) FILTER (truth = label) AS correct FROM j GROUP BY gene",
+    "score_summary": f"WITH {JUDGED} SELECT count(*) AS total, count(*) FILTER (tie_like) AS tie_like, round(avg(greatest(h, u)), 9) AS mean_score, round(avg(mapq), 9) AS mean_mapq FROM j",
+    "class_distribution": f"WITH {QUERY} SELECT s.split, l.label, count(q.query_name) AS n FROM (VALUES ('train'), ('test')) s(split) CROSS JOIN (VALUES ('HEALTHY'), ('UNHEALTHY')) l(label) LEFT JOIN qry q ON q.split = s.split AND q.truth = l.label GROUP BY ALL",
+    "prob_histogram": f"""WITH {JUDGED}, d AS (SELECT truth, min(score) AS lo, CASE WHEN max(score) > min(score) THEN (max(score) - min(score)) / 12 ELSE 1 / 12 END AS width, count(*) AS total FROM j GROUP BY truth),
+      h AS (SELECT truth, lo, width, total, CAST(least(floor((score - lo) / width), 11) AS INTEGER) AS bin, count(*) AS n FROM j JOIN d USING (truth) GROUP BY ALL)
+      SELECT truth, bin, round(lo + bin * width, 9) AS low, round(lo + (bin + 1) * width, 9) AS high, n, round(n / (total * width), 9) AS density FROM h""",
+    "feature_table": f"WITH {FEATURES} SELECT * FROM ft",
+    "feature_summary": f"WITH {QUERY} SELECT count(*) AS total, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test FROM qry",
+    "path_features": f"WITH {FEATURES} SELECT sequence_id, matched_graph_nodes, traversed_graph_paths, graph_branches_traversed, graph_path_complexity, path_traversal_frequency, node_revisit_count FROM ft",
+    "alignment_overlay": f"""WITH {GAF}, f AS (SELECT DISTINCT unnest(nodes) AS node FROM gaf WHERE line_no = 1)
+      SELECT 0 AS graph_id, 'p' || p_partkey AS node, f.node IS NOT NULL AS highlighted FROM part LEFT JOIN f ON f.node = 'p' || p_partkey""",
+    "segment_resolve": """WITH s AS (SELECT p_partkey % 4 AS sn, p_partkey AS node, p_partkey // 4 * 50 AS a, p_partkey // 4 * 50 + 2 * p_size AS b FROM part WHERE p_size > 0),
+      i AS (SELECT o_orderkey AS interval_id, o_orderkey % 4 AS sn, o_custkey * 3 AS "start", o_custkey * 3 + 20 + o_orderkey % 100 AS "end" FROM orders)
+      SELECT interval_id, i.sn, "start", "end", node, greatest("start", a) AS "from", least("end", b) AS "to" FROM i JOIN s ON i.sn = s.sn AND "start" < b AND a < "end" """,
+    "fasta_normalize": r"""WITH n AS (SELECT doc_id, regexp_replace(upper(replace(text, 'ß', 'SS')), '[ \t\n\x0B\f\r]', '', 'g') AS s FROM documents)
+      SELECT doc_id, CAST(length(s) AS INTEGER) AS length, md5(s) AS digest, regexp_replace(s, '[^ACGT]', '', 'g') <> '' AS valid, regexp_full_match(s, '[ACGTN]+') AS raw_valid FROM n""",
+    "header_parse": """WITH h AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'R' WHEN o_custkey % 7 = 0 THEN 'B' ELSE 'P' END AS kind, o_custkey % 10 AS g, o_orderkey % 2 = 0 AS healthy, o_orderkey % 4 AS a FROM orders),
+      r AS (SELECT *, CASE a WHEN 0 THEN 'NC_000021.9' WHEN 1 THEN 'NC_000014.9' WHEN 2 THEN 'NC_000001.11' ELSE 'XX_1' END AS acc, CASE WHEN kind <> 'R' THEN 'UNKNOWN' WHEN a = 0 THEN 'APP' WHEN a = 1 THEN 'PSEN1' WHEN a = 2 THEN 'PSEN2' ELSE 'UNKNOWN' END AS reference_gene FROM h)
+      SELECT o_orderkey, CASE kind WHEN 'R' THEN 'ref|' || acc || '|:1-' || o_orderkey WHEN 'P' THEN 'Gene' || g || CASE WHEN healthy THEN '_H_' ELSE '_U_' END || o_orderkey END AS sequence_id,
+        CASE kind WHEN 'R' THEN reference_gene WHEN 'P' THEN 'GENE' || g END AS gene, CASE WHEN kind = 'R' THEN 'REFERENCE' WHEN kind = 'P' THEN CASE WHEN healthy THEN 'HEALTHY' ELSE 'UNHEALTHY' END END AS label,
+        CASE kind WHEN 'R' THEN true WHEN 'P' THEN false END AS is_reference, reference_gene, CASE WHEN kind = 'P' AND NOT healthy THEN 1 ELSE 0 END AS y FROM r""",
+    "dedup_first_seen": f"WITH {SEQ} SELECT gene, label, sequence_id, CAST(length(sequence) AS INTEGER) AS length, md5(sequence) AS digest FROM kept",
+    "preprocess_summary": f"""WITH {SEQ} SELECT gene, label, count(*) AS records, count(*) FILTER (sequence = '') AS invalid_skipped, count(*) FILTER (sequence <> '') - count(DISTINCT sequence) FILTER (sequence <> '') AS duplicates_skipped,
+        count(DISTINCT sequence) FILTER (sequence <> '') AS kept FROM seq GROUP BY gene, label""",
+    "stratified_split": f"WITH {SEQ} SELECT gene, label, sequence_id, split FROM split",
+    "split_counts": f"WITH {SEQ} SELECT gene, label, count(*) AS total, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test FROM split GROUP BY gene, label",
+    "split_rollup": f"""WITH {SEQ} SELECT coalesce(gene, 'Overall') AS gene, count(*) AS total, count(*) FILTER (label = 'HEALTHY' AND split = 'train') AS healthy_train, count(*) FILTER (label = 'HEALTHY' AND split = 'test') AS healthy_test,
+        count(*) FILTER (label = 'UNHEALTHY' AND split = 'train') AS unhealthy_train, count(*) FILTER (label = 'UNHEALTHY' AND split = 'test') AS unhealthy_test FROM split GROUP BY ROLLUP (gene)""",
+    "sequence_checks": f"""WITH {SEQ} SELECT DISTINCT 'references' AS "check", gene, '' AS label, 0::BIGINT AS n FROM seq
+      UNION ALL SELECT 'splittable', gene, label, count(*) FROM seq GROUP BY gene, label HAVING count(*) < 2""",
+    "fasta_wrap": f"""WITH {SEQ}, w AS (SELECT sequence_id, list_transform(range(0, length(sequence), 80), lambda i: substr(sequence, i + 1, 80)) AS l FROM seq WHERE sequence <> '')
+      SELECT sequence_id, CAST(len(l) AS INTEGER) AS lines, md5(array_to_string(l, chr(10))) AS digest FROM w""",
+    "kmer_counts": f"WITH {SEQ}, k AS ({KMERS.format(k=8)}) SELECT gene, label, kmer, count(*) AS n FROM k GROUP BY ALL",
+    "kmer_edges": f"WITH {SEQ}, k AS ({KMERS.format(k=7)}) SELECT gene, label, kmer[1:6] AS src, kmer[2:7] AS dst, count(*) AS n FROM k GROUP BY ALL",
+    "seed_hits": f"""WITH {SEQ}, k AS (SELECT gene, label, sequence_id, unnest(list_transform(range(1, len(sequence) - 13), lambda i: substr(sequence, i, 15))) AS kmer FROM seq WHERE len(sequence) >= 15),
+      rare AS (SELECT gene, label, kmer FROM k GROUP BY ALL HAVING count(*) <= 8), g AS (SELECT k.* FROM k JOIN rare USING (gene, label, kmer))
+      SELECT g.gene, lower(g.label) AS graph_class, k.sequence_id, g.sequence_id AS node, count(*) AS hits FROM k JOIN g USING (kmer) GROUP BY ALL""",
+    "edge_collapse": f"WITH {LINKS} SELECT graph_id, src, dst, src_orient, dst_orient FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY line_no DESC, src_orient DESC, dst_orient DESC) AS r FROM ln) WHERE r = 1",
+    "degree": f"""WITH {LINKS} SELECT graph_id, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree
+      FROM (SELECT graph_id, src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT graph_id, dst, 1, 0 FROM e) GROUP BY graph_id, node""",
+    "topk_subgraph": f"""WITH {LINKS}, d AS (SELECT graph_id, node, count(*) AS degree FROM (SELECT graph_id, src AS node FROM e UNION ALL SELECT graph_id, dst FROM e) GROUP BY ALL),
+      k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY degree DESC, node) AS r FROM d) WHERE r <= 3)
+      SELECT e.* FROM e JOIN k a ON a.graph_id = e.graph_id AND a.node = e.src JOIN k b ON b.graph_id = e.graph_id AND b.node = e.dst""",
+    "weak_components": f"WITH RECURSIVE {LINKS}, {WEAK} SELECT graph_id, node, component FROM weak",
+    "reachability": f"WITH RECURSIVE {LINKS}, {REACH} SELECT graph_id, src, dst FROM reach UNION SELECT graph_id, src, src FROM e UNION SELECT graph_id, dst, dst FROM e",
+    "strong_components": f"WITH RECURSIVE {LINKS}, {REACH}, {STRONG} SELECT graph_id, node, scc FROM strong",
+    "cyclic_nodes": f"WITH RECURSIVE {LINKS}, {REACH} SELECT graph_id, src AS node FROM reach WHERE src = dst",
+    "graph_stats": f"""WITH RECURSIVE {LINKS}, {REACH}, {STRONG}, {WEAK},
+      w AS (SELECT graph_id, count(*) AS wcc, max(n) AS largest_wcc FROM (SELECT graph_id, component, count(*) AS n FROM weak GROUP BY ALL) GROUP BY graph_id),
+      s AS (SELECT graph_id, count(*) AS scc, max(n) AS largest_scc FROM (SELECT graph_id, scc, count(*) AS n FROM strong GROUP BY ALL) GROUP BY graph_id),
+      n AS (SELECT graph_id, count(*) AS nodes FROM seg GROUP BY graph_id), l AS (SELECT graph_id, count(*) AS edges, count(*) FILTER (src = dst) AS self_loops FROM e GROUP BY graph_id)
+      SELECT graph_id, nodes, coalesce(edges, 0) AS edges, coalesce(self_loops, 0) AS self_loops, wcc, largest_wcc, scc, largest_scc, largest_scc > 1 OR coalesce(self_loops, 0) > 0 AS has_cycle FROM n JOIN w USING (graph_id) JOIN s USING (graph_id) LEFT JOIN l USING (graph_id)""",
+    "hop_distance": f"""WITH RECURSIVE {LINKS}, h AS (SELECT graph_id, src, src AS dst, 0 AS hops FROM e UNION SELECT graph_id, dst, dst, 0 FROM e UNION SELECT h.graph_id, h.src, e.dst, h.hops + 1 FROM h JOIN e ON e.graph_id = h.graph_id AND e.src = h.dst WHERE h.hops < 5)
+      SELECT graph_id, src, dst, min(hops) AS hops FROM h GROUP BY ALL""",
+    "topological_layers": f"""WITH RECURSIVE {LINKS}, p AS (SELECT graph_id, node, 0 AS layer FROM seg UNION SELECT p.graph_id, e.dst, p.layer + 1 FROM p JOIN e ON e.graph_id = p.graph_id AND e.src = p.node WHERE e.src < e.dst)
+      SELECT graph_id, node, max(layer) AS layer FROM p GROUP BY ALL""",
+    "back_edges": f"""WITH RECURSIVE {LINKS}, {REACH}, {STRONG},
+      i AS (SELECT e.*, a.scc FROM e JOIN strong a ON a.graph_id = e.graph_id AND a.node = e.src JOIN strong b ON b.graph_id = e.graph_id AND b.node = e.dst WHERE a.scc = b.scc),
+      h AS (SELECT DISTINCT graph_id, scc, scc AS node, 0 AS hops FROM i UNION SELECT h.graph_id, h.scc, i.dst, h.hops + 1 FROM h JOIN i ON i.graph_id = h.graph_id AND i.scc = h.scc AND i.src = h.node WHERE h.hops < 5),
+      d AS (SELECT graph_id, scc, node, min(hops) AS depth FROM h GROUP BY ALL)
+      SELECT i.graph_id, i.src, i.dst FROM i JOIN d a ON a.graph_id = i.graph_id AND a.scc = i.scc AND a.node = i.src JOIN d b ON b.graph_id = i.graph_id AND b.scc = i.scc AND b.node = i.dst WHERE a.depth > b.depth OR (a.depth = b.depth AND i.src >= i.dst)""",
+    "synthetic_cycles": f"""WITH RECURSIVE {LINKS}, g AS (SELECT * FROM e WHERE src < dst), n AS (SELECT graph_id, src AS node FROM g UNION SELECT graph_id, dst FROM g),
+      p AS (SELECT graph_id, node, 0 AS layer FROM n UNION SELECT p.graph_id, g.dst, p.layer + 1 FROM p JOIN g ON g.graph_id = p.graph_id AND g.src = p.node),
+      o AS (SELECT graph_id, list(node ORDER BY layer, node) AS l FROM (SELECT graph_id, node, max(layer) AS layer FROM p GROUP BY ALL) GROUP BY graph_id HAVING count(*) >= 4),
+      c AS (SELECT graph_id, l[-1] AS src, l[2] AS dst FROM o UNION SELECT graph_id, l[-2], l[1] FROM o)
+      SELECT c.graph_id, c.src, c.dst, true AS synthetic FROM c ANTI JOIN g ON g.graph_id = c.graph_id AND g.src = c.src AND g.dst = c.dst""",
+    "precedence": f"WITH RECURSIVE {CHAIN} SELECT query_id, left_id, right_id FROM gap",
+    "gap_cost": f"WITH RECURSIVE {CHAIN} SELECT query_id, left_id, right_id, query_gap, graph_gap, gap FROM gap",
+    "chain_scores": f"WITH RECURSIVE {CHAIN} SELECT query_id, anchor_id, max(score) AS score FROM it GROUP BY ALL",
+    "anchor_offsets": f"""WITH {WALK}, s AS (SELECT *, least(8, node * 2) AS span FROM walk), c AS (SELECT *, CAST(coalesce(sum(span + CASE WHEN pos % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS c FROM s)
+      SELECT query_id, 'A' || (pos + 1) AS anchor_id, node AS vertex, 1 AS x, CAST(span AS INTEGER) AS y, c, c + span - 1 AS d, CAST(span AS INTEGER) AS weight FROM c""",
+    "distractors": f"""WITH {WALK}, l AS (SELECT query_id, CAST(sum(least(8, node * 2)) AS INTEGER) AS qlen FROM walk GROUP BY query_id), f AS (SELECT l.query_id, CAST(t.node AS INTEGER) AS node, qlen FROM l, range(1, 13) t(node) ANTI JOIN walk ON walk.query_id = l.query_id AND walk.node = t.node),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY node) AS INTEGER) AS i, CAST(least(6, node * 2) AS INTEGER) AS span FROM f)
+      SELECT query_id, 'N' || i AS anchor_id, node AS vertex, 1 AS x, span AS y, greatest(1, qlen - 4 * i) AS c, greatest(1, qlen - 4 * i + span - 1) AS d, greatest(3, span - 2) AS weight FROM r WHERE i <= 2""",
+}

@@ -22,7 +22,7 @@ def registered(f: Query) -> Query:
     return f
 
 
-def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
@@ -140,8 +140,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features(spark, sf_dir)
-    return rounded(out, *ml.NUMERIC)
+    ratio = "healthy_unhealthy_score_ratio"  # up to 10**9 where there is no unhealthy evidence
+    return rounded(rounded(features(spark, sf_dir), *(c for c in ml.NUMERIC if c != ratio)), ratio, digits=3)
 
 
 @registered
@@ -250,7 +250,7 @@ def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each language's k-mer graph of distinct documents."""
     s = sequences.dedup_first(sequences.valid(views.sequences(spark, sf_dir))).withColumn("graph_class", F.lit("combined"))
-    segments, _ = kmers.build_sequence_graph(s, 12)
+    segments, _ = kmers.build_sequence_graph(s, 8)
     return segments.select("gene", "node", "length", F.md5("sequence").alias("digest"))
 
 
