@@ -16,14 +16,15 @@ the odd sketch puts the pair near enough to matter.  Of a pair (x, a) of members
 itself,
 
 * both may reach the wanted similarity t with h: then h connects them;
-* one may, say a: as 1 - similarity is a metric, x still has at least 2t - 1 with h, and (counting what each
-  removes from and adds to h) they must share an addition to h, or a must remove more than it adds: pairs that
-  share an addition are joined on it, the others by h under the exact inequality on counts;
-* neither may: members that are not plainly near the hub form a bucket of their own with a new hub, and the same
-  holds there.  What is left after ``PEELS`` hubs is compared block against block on bitmaps alone, across
+* both may be measured with it, that is, have 2t - 1 at least: what each removes from h and adds to it gives their
+  exact similarity, so these pairs are decided in blocks of members by counting common bits, and a block
+  returns a spanning forest of its links;
+* one may have less than 2t - 1: as 1 - similarity is a metric, the other is then not linked with h either, so
+  the members that are not plainly near the hub form a bucket of their own with a new hub.  What is left after
+  ``PEELS`` hubs, and pairs with such a far member alone, is compared block against block on bitmaps, across
   components only, whatever the bucket's size.
 
-All pairs found are confirmed on full sets: no cap, and no link between components lost.
+Pairs from bitmaps are confirmed on full sets: no cap, and no link between components lost.
 
 Defined results: a null or empty text, or one of white space alone, has an empty set and is linked with
 nothing; repeated rows (equal ids too) each get a row; ties go to the smallest id.
@@ -193,7 +194,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def hubs_of(members: DataFrame) -> DataFrame:
     """(bucket, id, hub) of the buckets of several members; ``members``: bucket, id."""
     sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-    sized = stored(sized, "sized")
+    sized = stored(sized.select("bucket", "id", "n"), "sized")
     company = sized.groupBy("id").agg(F.sum("n").alias("company"))
     hubs = sized.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("i"))).alias("h")).select("bucket", (-F.col("h.i")).alias("hub"))
     return stored(sized.select("bucket", "id").join(stored(hubs, "hubs"), "bucket"), "members")
@@ -207,53 +208,102 @@ def sketched(members: DataFrame, sketch: DataFrame, limit: int) -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, h, removed, added, nh, news): what x removes from and adds to h, for pairs near enough to matter."""
+    """(x, h, nh, gone, news, linked): what x removes from and adds to h, for pairs near enough to matter."""
     a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
     b = sets.select(F.col("id").alias("h"), F.col("shingles").alias("sh"))
-    rows = pairs.select("x", "h").join(a, "x").join(b, "h").select("x", "h", F.size("sh").alias("nh"), F.size(F.array_except("sh", "sx")).alias("removed"), F.array_except("sx", "sh").alias("news"))
-    rows = rows.withColumn("added", F.size("news"))
-    return stored(rows.where(100 * (F.col("nh") - F.col("removed")) >= (2 * percent - 100) * (F.col("nh") + F.col("added"))), "measured")
+    rows = pairs.select("x", "h").join(a, "x").join(b, "h").select("x", "h", F.size("sh").alias("nh"), F.array_except("sh", "sx").alias("gone"), F.array_except("sx", "sh").alias("news"))
+    inter, union = F.col("nh") - F.size("gone"), F.col("nh") + F.size("news")
+    rows = rows.withColumns({"linked": 100 * inter >= percent * union, "near": 100 * inter >= (2 * percent - 100) * union})
+    return stored(rows.where("near").drop("near"), "measured")
+
+
+def dealt(members: DataFrame, key: str, id_col: str) -> DataFrame:
+    """``members`` dealt into blocks by a hash of their id, once for each meeting (first, second) of two blocks of
+    one key; left: whether the row is on the first side; cross: whether the sides are two blocks."""
+    sized = stored(members.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sized")
+    rows = members.join(sized, key).withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
+    met = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    return met.withColumns({"first": first, "second": second, "left": F.col("block") == first, "cross": first != second}).drop("blocks", "block", "other")
+
+
+def bit_rows(lists: list[np.ndarray], least: int) -> np.ndarray:
+    """One row of bits a list, a bit for each value that ``least`` lists hold at least, in words of 64."""
+    sizes = np.array([len(x) for x in lists])
+    flat = np.concatenate(lists) if sizes.sum() else np.zeros(0, np.int64)
+    values, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(n >= least) - 1
+    keep = (n >= least)[at]
+    out = np.zeros((len(lists), -(-max(1, int((n >= least).sum())) // 64)), np.uint64)
+    row, bit = np.repeat(np.arange(len(lists)), sizes)[keep], number[at][keep]
+    np.bitwise_or.at(out, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def forest(pairs: list[tuple[int, np.ndarray]], n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links (i, each of js)."""
+    root, out = list(range(n)), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, js in pairs:
+        for j in js.tolist():
+            a, b = top(i), top(j)
+            if a != b:
+                root[a] = b
+                out.append((i, j))
+    return out
 
 
 def beside_hub(near: DataFrame, percent: int) -> DataFrame:
-    """(u, v) that may be linked though only one of them is linked with their hub."""
-    linked = 100 * (F.col("nh") - F.col("removed")) >= percent * (F.col("nh") + F.col("added"))
-    side = lambda cond, p: near.where(cond).select("h", "nh", F.col("x").alias(p), F.col("removed").alias(f"r{p}"), F.col("added").alias(f"n{p}"))
-    news = lambda cond, p: near.where(cond).select("h", F.col("x").alias(p), F.explode("news").alias("new"))
-    shared = news(~linked, "u").join(news(linked, "v"), ["h", "new"]).select("u", "v")
-    # without a shared addition, 100 (nh - ru - rv + s) >= percent (nh + nu + nv - s) for s <= min(ru, rv) shared removals
-    lacks = percent * (F.col("nh") + F.col("nu") + F.col("nv")) - 100 * (F.col("nh") - F.col("ru") - F.col("rv"))
-    fewer = side(~linked, "u").join(side(linked & (F.col("added") < F.col("removed")), "v").drop("nh"), "h").where((100 + percent) * F.least("ru", "rv") >= lacks).select("u", "v")
-    return shared.unionByName(fewer).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    """(u, v): links of members measured with one hub, one of them at least not linked with it; a spanning forest
+    of those of each meeting of blocks."""
+
+    def fn(t: pa.Table) -> pa.Table:
+        ids, left, linked = (t[c].to_numpy(zero_copy_only=False) for c in ("x", "left", "linked"))
+        lists = {c: [np.array(x, np.int64) for x in t[c].to_pylist()] for c in ("gone", "news")}
+        gone, news = bit_rows(lists["gone"], 2), bit_rows(lists["news"], 2)
+        r, n = (np.array([len(x) for x in lists[c]]) for c in ("gone", "news"))
+        nh = t["nh"][0].as_py()
+        size = nh - r + n
+        a, b = np.flatnonzero(left), np.arange(len(ids)) if not t["cross"][0].as_py() else np.flatnonzero(~left)
+        found = []
+        for i in a.tolist():
+            j = b[~linked[b]] if linked[i] else b
+            inter = nh - r[i] - r[j] + np.bitwise_count(gone[j] & gone[i]).sum(1, dtype=np.int64) + np.bitwise_count(news[j] & news[i]).sum(1, dtype=np.int64)
+            hit = j[100 * inter >= percent * (size[i] + size[j] - inter)]
+            found.append((i, hit[hit != i]))
+        kept = forest(found, len(ids))
+        u, v = (np.array([ids[p[k]] for p in kept], np.int64) for k in (0, 1))
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
+    open_hubs = stored(near.where("not linked").select("h").distinct(), "open-hubs")
+    rows = dealt(near.join(open_hubs, "h"), "h", "x")
+    return rows.groupBy("h", "first", "second").applyInArrow(fn, "u bigint, v bigint")
 
-def block_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components whose bitmaps differ in at most ``limit`` bits.
 
-    ``members``: bucket, id, comp, sketch.  A bucket's members are dealt into blocks by a hash of their id, and
-    every block meets every block of its bucket once, each such meeting being a group of its own.
-    """
+def block_pairs(members: DataFrame, limit: int) -> DataFrame:
+    """Pairs (u, v) of one bucket but different components, one of them at least far, whose bitmaps differ in at
+    most ``limit`` bits.  ``members``: bucket, id, far, comp, sketch."""
 
     def fn(t: pa.Table) -> pa.Table:
-        ids, comp, left = (t[c].to_numpy() for c in ("id", "comp", "left"))
+        ids, comp, left, far = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "comp", "left", "far"))
         bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
         a, b = np.flatnonzero(left), np.arange(len(ids)) if not t["cross"][0].as_py() else np.flatnonzero(~left)
         found = []
         for i in a:
             near = np.bitwise_count(bits[b] ^ bits[i]).sum(1) <= limit
-            j = b[near & (comp[b] != comp[i])]
+            j = b[near & (comp[b] != comp[i]) & (far[b] | far[i])]
             if len(j):
                 found.append((np.full(len(j), ids[i]), ids[j]))
         u, v = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
-    sized = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sized, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # block k is the left side of its meetings with the blocks from k on, and the right side of those before
-    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    first, second = F.least("block", "other"), F.greatest("block", "other")
-    rows = met.select("bucket", "id", "comp", "sketch", first.alias("first"), second.alias("second"), (F.col("block") == first).alias("left"), (first != second).alias("cross"))
-    return rows.groupBy("bucket", "first", "second").applyInArrow(fn, "u bigint, v bigint").distinct()
+    return dealt(members, "bucket", "id").groupBy("bucket", "first", "second").applyInArrow(fn, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,17 +324,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         members = hubs_of(members)
         near = sketched(members, sketch, cut_off(2 * percent / 100 - 1))
         star = near.select("x", "h") if star is None else star.unionByName(near.select("x", "h"))
-        plain = stored(near.where(F.col("bits") <= plainly_near()).select(F.col("x").alias("id"), F.col("h").alias("hub")), "plain")
-        members = stored(members.where("id <> hub").join(plain, ["id", "hub"], "left_anti").select("bucket", "id"), "rest")
+        seen = near.select(F.col("x").alias("id"), F.col("h").alias("hub"), (F.col("bits") <= plainly_near()).alias("plain"))
+        rest = members.where("id <> hub").join(seen, ["id", "hub"], "left").where("plain is null or not plain").select("bucket", "id", F.col("plain").isNull().alias("far"))
+        some = stored(rest.where("far").select("bucket").distinct(), "open-buckets")
+        members = stored(rest.join(some, "bucket"), "rest")
     digests = classes.select("id", "digest")
     star = star.distinct()
     sets = stored(sets_of(docs, star.select(F.explode(F.array("x", "h")).alias("id")).distinct().join(digests, "id"), shingle, id_col, text_col), "sets")
     near = measured(star, sets, percent)
-    direct = near.where(100 * (F.col("nh") - F.col("removed")) >= percent * (F.col("nh") + F.col("added"))).select(F.least("x", "h").alias("u"), F.greatest("x", "h").alias("v"))
-    links = stored(direct.unionByName(confirmed(beside_hub(near, percent), sets, percent)), "links")
+    direct = near.where("linked").select(F.least("x", "h").alias("u"), F.greatest("x", "h").alias("v"))
+    links = stored(direct.unionByName(beside_hub(near, percent)), "links")
     comp = components(links)
 
-    named = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    named = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", "far", F.coalesce("component", "id").alias("comp"))
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
     late = stored(block_pairs(stored(named.join(stored(mixed, "mixed"), "bucket").join(sketch, "id"), "blocks"), cut_off(percent / 100)), "late")
     if not late.isEmpty():
