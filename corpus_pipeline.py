@@ -15,7 +15,7 @@ from strandloom.llm.common import stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose grade is 2 (good and clean) with probability one half at least, by the ordinal classifier.
+    """Documents whose grade is 2 (good and clean) with probability 0.3 at least (clean documents are rather kept), by the ordinal classifier.
 
     The labels are joined with the stage's own input; without labels every document stays.
     """

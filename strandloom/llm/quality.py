@@ -104,8 +104,18 @@ def _gradient(data: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> t
     return sum(p.loss for p in parts), sum(np.frombuffer(p.grad) for p in parts), sum(np.frombuffer(p.slope) for p in parts)
 
 
-def fit(data: DataFrame, grades: int, ridge: float = 1.0, rounds: int = 30, memory: int = 8) -> Ordinal:
-    """``data``: features array<int>, grade int (0 to grades - 1), of a bounded sample."""
+def common_features(data: DataFrame, min_docs: int) -> np.ndarray:
+    """1.0 for the hashed features that ``min_docs`` rows of the sample hold at least, else 0.0."""
+    seen = data.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("f").toArrow()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS)
+    out[seen["f"].to_numpy()] = 1.0
+    return out
+
+
+def fit(data: DataFrame, grades: int, ridge: float = 1.0, rounds: int = 30, memory: int = 8, min_docs: int = 5) -> Ordinal:
+    """``data``: features array<int>, grade int (0 to grades - 1), of a bounded sample.  Features in fewer than
+    ``min_docs`` rows get no weight: a text's own rare words would otherwise explain its grade."""
+    mask = common_features(data, min_docs)
 
     def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         steps = np.exp(x[BUCKETS + 1 :])
@@ -115,7 +125,7 @@ def fit(data: DataFrame, grades: int, ridge: float = 1.0, rounds: int = 30, memo
         w, th = unpack(x)
         loss, grad, slope = _gradient(data, w, th)
         after = np.cumsum(slope[::-1])[::-1]  # a step moves its threshold and those above
-        return loss + ridge / 2 * float(w @ w), np.concatenate([grad + ridge * w, [after[0]], after[1:] * np.exp(x[BUCKETS + 1 :])])
+        return loss + ridge / 2 * float(w @ w), np.concatenate([grad * mask + ridge * w, [after[0]], after[1:] * np.exp(x[BUCKETS + 1 :])])
 
     x = np.zeros(BUCKETS + grades - 1)
     x[BUCKETS] = -1.0
@@ -181,7 +191,7 @@ def score(docs: DataFrame, model: Ordinal | None, grades: int = 3, text_col: str
     return of(features(text_or_empty(text_col)))
 
 
-def rate(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold: float = 0.5, grades: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def rate(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold: float = 0.3, grades: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row, expected_grade, tail_1.., and selected."""
     tails = docs.select(*keep, score(docs, model, grades, text_col).alias("__tails"))
     cols = [F.col("__tails")[k] for k in range(grades - 1)]
@@ -192,7 +202,7 @@ def rate(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold:
     return tails.select(*keep, expected.alias("expected_grade"), *(c.alias(f"tail_{k + 1}") for k, c in enumerate(cols)), chosen.alias("selected"))
 
 
-def select(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold: float = 0.5, grades: int = 3, text_col: str = "text") -> DataFrame:
+def select(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold: float = 0.3, grades: int = 3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier selects."""
     if model is None:
         return docs
