@@ -1,10 +1,11 @@
 """Sharding by balanced label propagation over linked documents; DataFrame functions only.
 
 Documents with equal texts are one node, weighted by their number.  Nodes that share a line of at least
-``min_words`` words are linked through that line.  Each round is a pair of joins: a line takes the shard that
-most weight of its nodes is in, a node wishes for the shard that most of its lines are in.  The weight that may
-move from one shard to another is a quota: as much as wishes to come back plus the room left under the
-target's capacity; a hash of node and round decides who goes first when a wish exceeds its quota.
+``min_words`` words are linked through that line.  Each round is a pair of joins: a line takes the shard with
+most weight of its nodes, votes counting less the fuller a shard is (and a line that is split over full shards
+takes a roomy one), a node wishes for the shard that most of its lines are in.  What a shard takes in
+is a quota: the weight that leaves it in the same round plus the room left under its capacity, shared in
+proportion by those who wish to come; a hash of node and round decides who goes when wishes exceed it.
 
 The law is ``rows``: shards' row counts differ by one at most.  Rows are put in order of their node's shard,
 its heaviest line, and the node, and the order is cut into equal parts, so that what the quotas leave uneven is
@@ -37,7 +38,7 @@ def line_links(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
     return pairs.join(shared, "line")
 
 
-def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int, slack: float = 0.02) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int, slack: float = 0.1) -> DataFrame:
     """(node, weight, label, line): labels of linked nodes after ``rounds`` rounds under capacity quotas.
 
     ``nodes``: node, weight.  ``links``: node, line.  Nodes without links keep ``start_label``.
@@ -49,16 +50,18 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int, sl
     state = stored(linked.select("node", "weight", start_label(n_shards).alias("label"), F.lit(None).cast("bigint").alias("line")), "labels")
     for k in range(rounds):
         votes = links.join(state.select("node", "weight", "label"), "node").groupBy("line", "label").agg(F.sum("weight").alias("votes"))
-        leads = stored(votes.groupBy("line").agg(F.max(F.struct("votes", (-F.col("label")).alias("l"))).alias("b")).select("line", (-F.col("b.l")).alias("lead"), F.col("b.votes").alias("votes")), "leads")
+        spare = [0.1 + max(0.0, 1 - loads.get(t, 0) / max(capacity, 1)) for t in range(n_shards)]
+        roomy = sorted(range(n_shards), key=lambda t: (-spare[t], t))[: max(1, n_shards // 4)]
+        of = lambda label: F.element_at(F.array(*map(F.lit, spare)), label + 1)  # noqa: E731, B023
+        best = votes.groupBy("line").agg(F.max(F.struct((F.col("votes") * of(F.col("label"))).alias("score"), (-F.col("label")).alias("l"), "votes")).alias("b"), F.count("*").alias("labels"))
+        refuge = F.element_at(F.array(*map(F.lit, roomy)), (F.pmod(F.xxhash64("line", F.lit(k)), F.lit(len(roomy))) + 1).cast("int"))
+        flees = (F.col("labels") > 1) & (F.col("b.score") < 0.5 * of(refuge))
+        leads = stored(best.select("line", F.when(flees, refuge).otherwise(-F.col("b.l")).alias("lead"), F.col("b.votes").alias("votes")), "leads")
         offers = links.join(leads, "line").groupBy("node", "lead").agg(F.count("*").alias("n"), F.max(F.struct("votes", "line")).alias("top"))
         wants = offers.groupBy("node").agg(F.max(F.struct("n", F.col("top.votes"), (-F.col("lead")).alias("l"), F.col("top.line"))).alias("b")).select("node", (-F.col("b.l")).alias("want"), F.col("b.line").alias("heavy"))
         wishes = stored(state.select("node", "weight", "label").join(wants, "node"), "wishes")
         flows = {(r["label"], r["want"]): r["w"] for r in wishes.where("label <> want").groupBy("label", "want").agg(F.sum("weight").alias("w")).collect()}  # n_shards squared at most
-        share = {}
-        for (a, b), w in flows.items():
-            into = sum(x for (_, t), x in flows.items() if t == b)
-            room = max(0.0, capacity - loads.get(b, 0)) * w / into
-            share[a, b] = min(1.0, (min(w, flows.get((b, a), 0)) + room) / w)
+        share = quotas(flows, {t: max(0.0, capacity - loads.get(t, 0)) for t in range(n_shards)})
         dice = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) / (1 << 20)
         goes = F.lit(False)
         for (a, b), p in share.items():
@@ -72,6 +75,18 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int, sl
     return state
 
 
+def quotas(flows: dict[tuple[int, int], int], room: dict[int, float], rounds: int = 50) -> dict[tuple[int, int], float]:
+    """The share of each wished flow that may go: a shard takes in what leaves it and what it has room for."""
+    take = dict.fromkeys(room, 1.0)
+    for _ in range(rounds):
+        into, out = dict.fromkeys(room, 0.0), dict.fromkeys(room, 0.0)
+        for (a, b), w in flows.items():
+            into[b] += w
+            out[a] += w * take[b]
+        take = {t: min(1.0, (out[t] + room[t]) / into[t]) if into[t] else 1.0 for t in room}
+    return {(a, b): take[b] for a, b in flows}
+
+
 def start_label(n_shards: int) -> Column:
     return F.pmod(F.col("node"), F.lit(n_shards)).cast("int")
 
@@ -87,7 +102,7 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn("position", F.col("__before") + F.col("__at").bitwiseAND(F.lit(LOW_BITS))).drop("__part", "__at", "__before")
 
 
-def shard(docs: DataFrame, n_shards: int = 16, rounds: int = 4, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, rounds: int = 6, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard, label (the shard
     that propagation chose), node."""
     text = F.col(text_col).cast("string")
