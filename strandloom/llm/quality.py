@@ -86,49 +86,52 @@ def _scores(feats: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return total[offsets[1:]] - total[offsets[:-1]], flat, offsets
 
 
-def _gradient(data: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def _gradient(data: DataFrame, kept, weights: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, its slopes in the weights of the ``kept`` features (a broadcast array), and in the thresholds."""
     shared = data.sparkSession.sparkContext.broadcast((weights, thresholds))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, th = shared.value
-        loss, grad, slope = 0.0, np.zeros(len(w)), np.zeros(len(th))
+        known, th = shared.value
+        w, grad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        w[kept.value] = known
+        loss, slope = 0.0, np.zeros(len(th))
         for b in batches:
             s, flat, offsets = _scores(b.column(0), w)
             part, by_score, by_threshold = loss_and_slopes(s, b.column(1).to_numpy(), th)
             loss, slope = loss + part, slope + by_threshold
             np.add.at(grad, flat[offsets[0] : offsets[-1]], np.repeat(by_score, np.diff(offsets)))
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary()), pa.array([slope.tobytes()], pa.binary())], ["loss", "grad", "slope"])
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad[kept.value].tobytes()], pa.binary()), pa.array([slope.tobytes()], pa.binary())], ["loss", "grad", "slope"])
 
-    parts = data.mapInArrow(fn, "loss double, grad binary, slope binary").collect()  # one row of the weights' size a partition of the sample
-    shared.unpersist()
-    return sum(p.loss for p in parts), sum(np.frombuffer(p.grad) for p in parts), sum(np.frombuffer(p.slope) for p in parts)
+    parts = data.mapInArrow(fn, "loss double, grad binary, slope binary").toArrow()  # one row of the kept weights' size a partition of the sample
+    shared.destroy()
+    total = lambda c: np.sum([np.frombuffer(x.as_buffer()) for x in parts[c]], axis=0)
+    return sum(parts["loss"].to_pylist()), total("grad"), total("slope")
 
 
 def common_features(data: DataFrame, min_docs: int) -> np.ndarray:
-    """1.0 for the hashed features that ``min_docs`` rows of the sample hold at least, else 0.0."""
+    """The hashed features that ``min_docs`` rows of the sample hold at least, in order."""
     seen = data.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("f").toArrow()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS)
-    out[seen["f"].to_numpy()] = 1.0
-    return out
+    return np.sort(seen["f"].to_numpy())
 
 
 def fit(data: DataFrame, grades: int, ridge: float = 1.0, rounds: int = 30, memory: int = 8, min_docs: int = 5) -> Ordinal:
     """``data``: features array<int>, grade int (0 to grades - 1), of a bounded sample.  Features in fewer than
     ``min_docs`` rows get no weight: a text's own rare words would otherwise explain its grade."""
-    mask = common_features(data, min_docs)
+    common = common_features(data, min_docs)
+    kept, size = data.sparkSession.sparkContext.broadcast(common), len(common)
 
     def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        steps = np.exp(x[BUCKETS + 1 :])
-        return x[:BUCKETS], x[BUCKETS] + np.concatenate([[0.0], np.cumsum(steps)])
+        steps = np.exp(x[size + 1 :])
+        return x[:size], x[size] + np.concatenate([[0.0], np.cumsum(steps)])
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, th = unpack(x)
-        loss, grad, slope = _gradient(data, w, th)
+        loss, grad, slope = _gradient(data, kept, w, th)
         after = np.cumsum(slope[::-1])[::-1]  # a step moves its threshold and those above
-        return loss + ridge / 2 * float(w @ w), np.concatenate([grad * mask + ridge * w, [after[0]], after[1:] * np.exp(x[BUCKETS + 1 :])])
+        return loss + ridge / 2 * float(w @ w), np.concatenate([grad + ridge * w, [after[0]], after[1:] * np.exp(x[size + 1 :])])
 
-    x = np.zeros(BUCKETS + grades - 1)
-    x[BUCKETS] = -1.0
+    x = np.zeros(size + grades - 1)
+    x[size] = -1.0
     f, g = value(x)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
@@ -154,7 +157,10 @@ def fit(data: DataFrame, grades: int, ridge: float = 1.0, rounds: int = 30, memo
         x, f, g = new, f2, g2
         if done:
             break
-    return Ordinal(*unpack(x))
+    w, thresholds = unpack(x)
+    weights = np.zeros(BUCKETS)
+    weights[common] = w
+    return Ordinal(weights, thresholds)
 
 
 def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
