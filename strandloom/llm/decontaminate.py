@@ -29,7 +29,7 @@ from strandloom.llm.common import stored
 
 WINDOW, LITERALS = 8, 5
 BITMAP_BITS = 1 << 24
-TOKENS = re.compile(r"[$€£]?\d+(?:[.,]\d+)*%?|[^\W\d_]+(?:['’][^\W\d_]+)*")
+TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[$€£]?\d+(?:[.,]\d+)*%?")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles meter meters metre metres mg g kg gram grams kilogram kilograms oz lb lbs pound pounds ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kph w kw v hz".split())
 
@@ -46,17 +46,19 @@ class Lexicon(dict):
     """Token to its number in the columns below; grows as tokens come."""
 
     def __init__(self):
-        self.literal: list[int] = []
-        self.kind: list[int] = []  # 1 number, 2 unit, 4 capitalised
+        self.literal = np.zeros(1 << 12, np.uint64)
+        self.kind = np.zeros(1 << 12, np.int8)  # 1 number, 2 unit, 4 capitalised
 
     def __missing__(self, token: str) -> int:
         from xxhash import xxh64_intdigest
 
-        low = token.lower()
-        self.literal.append(xxh64_intdigest(low.encode()))
+        low, n = token.lower(), len(self)
+        if n == len(self.kind):
+            self.literal, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.literal, self.kind))
         number = any(c.isdigit() for c in token) or low in NUMBER_WORDS
-        self.kind.append(number * 1 | (low in UNITS) * 2 | token[0].isupper() * 4)
-        self[token] = n = len(self.kind) - 1
+        self.literal[n] = xxh64_intdigest(low.encode())
+        self.kind[n] = number * 1 | (low in UNITS) * 2 | token[0].isupper() * 4
+        self[token] = n
         return n
 
 
@@ -64,11 +66,7 @@ def canonical(text: str, lexicon: Lexicon) -> tuple[list[str], list[tuple[np.nda
     """Tokens, and for the plain and the named form the tokens' hashes and whether each is a slot."""
     tokens = TOKENS.findall(text)
     at = np.fromiter(map(lexicon.__getitem__, tokens), np.int64, len(tokens))
-    if len(at):
-        literal = np.array([lexicon.literal[i] for i in at.tolist()], np.uint64)
-        kind = np.array([lexicon.kind[i] for i in at.tolist()], np.int64)
-    else:
-        literal, kind = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    literal, kind = lexicon.literal[at], lexicon.kind[at]
     number = (kind & 1) > 0
     unit = ((kind & 2) > 0) & np.concatenate([[False], number[:-1]])[: len(kind)] & ~number
     plain = np.where(number, _NUM, np.where(unit, _UNIT, literal))
