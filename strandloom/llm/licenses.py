@@ -125,9 +125,9 @@ class Scanner:
                 template = self.templates[name]
                 slack = max(2, len(template) // 4)
                 a, b = max(0, p - i - slack), min(len(words), p - i + len(template) + slack)
-                if (name, a) in tried:
+                if (name, a, b) in tried:
                     continue
-                tried.add((name, a))
+                tried.add((name, a, b))
                 part = words[a:b]
                 if sum((Counter(template) & Counter(part)).values()) < self.threshold * len(template):
                     continue

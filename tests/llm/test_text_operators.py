@@ -263,6 +263,16 @@ def test_license_query_against_brute_force(spark, sf_dir):
     assert {(r["doc_id"], r["license_id"]) for r in queries.op1_licenses(spark, sf_dir).collect()} == want
 
 
+def licenses_of(text):
+    return [(m.license_id, text[m.start : m.end]) for m in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)]
+
+
+def test_license_below_a_heading():
+    for heading in ("License: ", "License\n\n", "Licensed software, released\n"):
+        assert licenses_of(f"{heading}Released under the MIT License.") == [("MIT", "Released under the MIT License")]
+    assert [x for x, _ in licenses_of("License\nThis work is licensed under the GNU General Public License, version 3.")] == ["GPL-3.0"]
+
+
 def test_patience():
     rng = random.Random(2)
     for _ in range(300):
