@@ -5,10 +5,12 @@ the longest increasing subsequence of their places is kept, and the gaps between
 same way (common words at a gap's ends first).  Coverage is the share of the template's words that are matched.
 
 A match of coverage ``threshold`` lacks at most (1 - threshold) of the template's words, so it holds at least
-one of any larger choice of them; a template's longest words are that choice.  A template is aligned with the
-surroundings of every place where the text has such a word, so whole texts are searched and none of those
-matches can be passed over for lack of a window.  Of overlapping matches the best stands: higher coverage, then
-more words, then the license id in order.
+one of any larger choice of them; a template's longest words are that choice.  A template is aligned with three
+surroundings of every place where the text has such a word: those that its other words fill first, those of its
+length and a little more, and those with room for ``INSERTED`` words of the text's own (half the template's
+number if that is more).  So whole texts are searched, and no match with as many inserted words at most is passed
+over for lack of a window.  Of overlapping matches the best stands: higher coverage, then more words, then the
+license id in order, then the shorter one.
 
 Defined results: null and empty texts hold no license; repeated rows give repeated rows; ids may be null; a
 license that stands several times in a text gives a row each.
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
+#: Words of the text's own that a match may hold, as a holder's name and years.
+INSERTED = 12
 
 # Public license notices.
 TEMPLATES = {
@@ -44,6 +48,7 @@ TEMPLATES = {
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
+    "Proprietary-notice": "All rights reserved.",
 }
 
 
@@ -112,6 +117,24 @@ class Scanner:
             for i in sorted(range(len(words)), key=lambda i: (-len(words[i]), i))[: lacking + 1]:
                 self.keys.setdefault(words[i], []).append((name, i))
 
+    def windows(self, template: list[str], i: int, words: list[str], p: int) -> Iterator[tuple[int, int]]:
+        """Surroundings of place ``p`` that may hold the template with its word ``i`` there."""
+        room, slack, n = max(INSERTED, len(template) // 2), max(2, len(template) // 4), len(words)
+        ends = []
+        for side, places in ((template[:i], range(p - 1, max(-1, p - i - room - 1), -1)), (template[i + 1 :], range(p + 1, min(n, p - i + len(template) + room)))):
+            lacking, last = Counter(side), p
+            for j in places:
+                if not lacking:
+                    break
+                if words[j] in lacking:
+                    last = j
+                    lacking[words[j]] -= 1
+                    lacking += Counter()
+            ends.append(last)
+        yield ends[0], ends[1] + 1
+        for more in (slack, room):
+            yield max(0, p - i - more), min(n, p - i + len(template) + more)
+
     def scan(self, text: str) -> list[Match]:
         low = text.lower()
         if len(low) != len(text):  # lower case may be longer for a few letters; keep offsets of the text
@@ -123,19 +146,20 @@ class Scanner:
         for p in [i for i, w in enumerate(words) if w in keys]:
             for name, i in keys[words[p]]:
                 template = self.templates[name]
-                slack = max(2, len(template) // 4)
-                a, b = max(0, p - i - slack), min(len(words), p - i + len(template) + slack)
-                if (name, a, b) in tried:
-                    continue
-                tried.add((name, a, b))
-                part = words[a:b]
-                if sum((Counter(template) & Counter(part)).values()) < self.threshold * len(template):
+                room = max(INSERTED, len(template) // 2)
+                if sum((Counter(template) & Counter(words[max(0, p - i - room) : p - i + len(template) + room])).values()) < self.threshold * len(template):
                     continue
-                pairs = patience(template, part)
-                if len(pairs) >= self.threshold * len(template):
-                    found.append(Match(name, len(pairs) / len(template), len(pairs), len(template), spots[a + pairs[0][1]][0], spots[a + pairs[-1][1]][1]))
+                for a, b in self.windows(template, i, words, p):
+                    if (name, a, b) in tried:
+                        continue
+                    tried.add((name, a, b))
+                    pairs = patience(template, words[a:b])
+                    if len(pairs) >= self.threshold * len(template):
+                        found.append(Match(name, len(pairs) / len(template), len(pairs), len(template), spots[a + pairs[0][1]][0], spots[a + pairs[-1][1]][1]))
+                    if len(pairs) == len(template):
+                        break
         kept: list[Match] = []
-        for m in sorted(found, key=lambda m: (-m.coverage, -m.matched, m.license_id, m.start)):
+        for m in sorted(found, key=lambda m: (-m.coverage, -m.matched, m.license_id, m.end - m.start, m.start)):
             if all(m.end <= k.start or k.end <= m.start for k in kept):
                 kept.append(m)
         return sorted(kept, key=lambda m: m.start)

@@ -267,6 +267,22 @@ def licenses_of(text):
     return [(m.license_id, text[m.start : m.end]) for m in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)]
 
 
+def test_rights_reserved():
+    assert licenses_of("Some words.\nAll rights reserved.\nMore words.") == [("Proprietary-notice", "All rights reserved")]
+    for holder in ("Foo", "2024 Foo Corporation", "(c) 2010-2024 The Regents of the University of Example"):
+        text = f"Copyright {holder}. All rights reserved."
+        assert licenses_of(text) == [("Proprietary", text[:-1])]
+        assert licenses_of(f"{text} {text}") == [("Proprietary", text[:-1])] * 2
+    assert licenses_of("Released, as of the third day of May 2024, under the MIT License.") == [("MIT", "Released, as of the third day of May 2024, under the MIT License")]
+    assert licenses_of("all rights " + "word " * 30 + "reserved") == []
+
+
+def test_rights_reserved_in_given_documents(spark, sf_dir):
+    docs = {r["doc_id"] for r in table(spark, sf_dir, "documents").where("text like '%All rights reserved.%'").collect()}
+    got = {r["doc_id"] for r in queries.op1_licenses(spark, sf_dir).where("license_id like 'Proprietary%'").collect()}
+    assert docs and got == docs
+
+
 def test_license_below_a_heading():
     for heading in ("License: ", "License\n\n", "Licensed software, released\n"):
         assert licenses_of(f"{heading}Released under the MIT License.") == [("MIT", "Released under the MIT License")]
