@@ -2,17 +2,21 @@
 
 Tokens are words and numbers.  Two canonical forms are taken of every text: ``plain`` (lower case; numbers, and
 units after numbers, become typed placeholders) and ``named`` (capitalised words become name placeholders as
-well).  Windows of ``WINDOW`` canonical tokens with ``LITERALS`` literal ones at least are hashed and joined
-with the benchmark's (items shorter than a window are one window of their own length).  Before the join, tasks
-drop windows whose hash is not in a bitmap of fixed size made from the benchmark's windows, which loses none.
+well).  Every window of ``WINDOW`` canonical tokens is hashed and joined with the benchmark's (items shorter than
+a window are one window of their own length); one of placeholders alone is hashed with its values, as it would fit
+any run of numbers or names.  Before the join, tasks drop windows whose hash is not in a bitmap of fixed size made
+from the benchmark's windows, which loses none.
 
 Hits of a document and an item that stand at one distance form an alignment.  Its slots must agree: a value of
 the item always stands for one value of the document, and no two values for the same, so a re-parameterised
-copy passes and a chance pattern does not.  An item leaks into a document if the consistent alignments of
-either form cover ``min_tokens`` of its tokens or ``min_share`` of them.
+copy passes and a chance pattern does not.  Windows of ``LITERALS`` literal tokens (fewer for short items) suffice
+alone.  An alignment with other windows counts if all its values are equal or if it matches ``LITERALS`` literal
+tokens; fewer if the item's form has no more, but half of its tokens besides numbers and units.  An item leaks into
+a document if the alignments that count, of either form, cover ``min_tokens`` of its tokens or ``min_share`` of them.
 
 Defined results: null and empty texts match nothing; null or repeated ids are kept apart by a hash of the text;
-repeated rows of one id and text count once; an empty benchmark gives no rows.
+repeated rows of one id and text count once; an empty benchmark gives no rows; items of less than ``LEAST`` tokens
+are words that stand anywhere, and match nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import stored
 
-WINDOW, LITERALS = 8, 5
+WINDOW, LITERALS, LEAST = 8, 5, 3
 BITMAP_BITS = 1 << 24
 TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[$€£]?\d+(?:[.,]\d+)*%?")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -62,8 +66,8 @@ class Lexicon(dict):
         return n
 
 
-def canonical(text: str, lexicon: Lexicon) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """Tokens, and for the plain and the named form the tokens' hashes and whether each is a slot."""
+def canonical(text: str, lexicon: Lexicon) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Tokens, their own hashes, and for the plain and the named form the tokens' hashes and whether each is a slot."""
     tokens = TOKENS.findall(text)
     at = np.fromiter(map(lexicon.__getitem__, tokens), np.int64, len(tokens))
     literal, kind = lexicon.literal[at], lexicon.kind[at]
@@ -71,49 +75,56 @@ def canonical(text: str, lexicon: Lexicon) -> tuple[list[str], list[tuple[np.nda
     unit = ((kind & 2) > 0) & np.concatenate([[False], number[:-1]])[: len(kind)] & ~number
     plain = np.where(number, _NUM, np.where(unit, _UNIT, literal))
     name = ((kind & 4) > 0) & ~number & ~unit
-    return tokens, [(plain, number | unit), (np.where(name, _NAME, plain), number | unit | name)]
+    return tokens, literal, [(plain, number | unit), (np.where(name, _NAME, plain), number | unit | name)]
 
 
-def windows(hashes: np.ndarray, slots: np.ndarray, size: int, form: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it has literals enough."""
+def windows(hashes: np.ndarray, slots: np.ndarray, values: np.ndarray, size: int, form: int) -> np.ndarray:
+    """Hash of each window."""
     n = len(hashes) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(size * 4 + form))
     for k in range(size):
         out += hashes[k : k + n] * _POWERS[k]
     total = np.concatenate([[0], np.cumsum(~slots)])
-    return mix(out), total[size:] - total[:-size] >= min(LITERALS, max(3, size - 3))
+    bare = np.flatnonzero(total[size:] == total[:-size])
+    if len(bare):
+        out[bare] = np.uint64(size * 4 + 2) + (values[bare[:, None] + np.arange(size)] * _POWERS[:size]).sum(1, dtype=np.uint64)
+    return mix(out)
 
 
 def window_rows(df: DataFrame, keys: list[str], sizes: tuple[int, ...], own_size: bool, bitmap: np.ndarray | None) -> DataFrame:
-    """``keys`` and (window, form, size, pos, slots, n_tokens) of every window, or of those in the bitmap.
+    """``keys`` and (window, form, size, pos, slots, n_tokens, literals, need) of every window, or of those in the
+    bitmap.
 
-    ``own_size``: only windows of WINDOW tokens, or one of all tokens if there are fewer.
+    ``own_size``: only windows of WINDOW tokens, or one of all tokens if there are fewer, with the places of their
+    literals and the number of literals that an alignment of the form needs.
     """
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
-    names = ["window", "form", "size", "pos", "slots", "n_tokens"]
+    names = ["window", "form", "size", "pos", "slots", "n_tokens", "literals", "need"]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lexicon = shared.value, Lexicon()
         for b in batches:
             if len(lexicon) > 1_000_000:
                 lexicon = Lexicon()
-            row, hashed, forms, sized, pos, slots, length = [], [], [], [], [], [], []
+            row, hashed, forms, sized, pos, slots, length, literals, need = [], [], [], [], [], [], [], [], []
             for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 if not text:
                     continue
-                tokens, both = canonical(text, lexicon)
+                tokens, values, both = canonical(text, lexicon)
+                words = int((~both[0][1]).sum())
                 for size in (min(WINDOW, len(tokens)),) if own_size else sizes:
-                    if not size:
+                    if size < LEAST:
                         continue
                     for form, (h, slot) in enumerate(both):
                         if form and not slot.any():
                             continue  # as the plain form
-                        w, good = windows(h, slot, size, form if slot.any() else 0)
+                        w = windows(h, slot, values, size, form if slot.any() else 0)
+                        good = np.ones(len(w), bool)
                         if bits is not None and len(w):
                             low = w & np.uint64(BITMAP_BITS - 1)
-                            good &= (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+                            good = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
                         for p in np.flatnonzero(good).tolist():
                             row.append(i)
                             hashed.append(w[p])
@@ -122,12 +133,14 @@ def window_rows(df: DataFrame, keys: list[str], sizes: tuple[int, ...], own_size
                             pos.append(p)
                             slots.append([tokens[p + int(k)].lower() for k in np.flatnonzero(slot[p : p + size])])
                             length.append(len(tokens))
+                            literals.append(p + np.flatnonzero(~slot[p : p + size]) if own_size else [])
+                            need.append(min(LITERALS, max(int((~slot).sum()), -(-words // 2))))
             head = [c.take(pa.array(row, pa.int64())) for c in b.columns[:-1]]
-            made = [pa.array(np.array(hashed, np.uint64).view(np.int64)), *(pa.array(x, pa.int32()) for x in (forms, sized, pos)), pa.array(slots, pa.list_(pa.string())), pa.array(length, pa.int32())]
+            made = [pa.array(np.array(hashed, np.uint64).view(np.int64)), *(pa.array(x, pa.int32()) for x in (forms, sized, pos)), pa.array(slots, pa.list_(pa.string())), pa.array(length, pa.int32()), pa.array(literals, pa.list_(pa.int32())), pa.array(need, pa.int32())]
             yield pa.RecordBatch.from_arrays([*head, *made], [*b.schema.names[:-1], *names])
 
     kept = df.select(*keys, "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "window bigint, form int, size int, pos int, slots array<string>, n_tokens int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "window bigint, form int, size int, pos int, slots array<string>, n_tokens int, literals array<int>, need int"])
     return kept.mapInArrow(fn, schema)
 
 
@@ -152,12 +165,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, min_share
     seen = seen.select("doc", "body", "window", "size", F.col("form").alias("seen_form"), F.col("pos").alias("seen_pos"), F.col("slots").alias("seen_slots"))
     hits = seen.join(wanted, ["window", "size"]).where(F.size("slots") == F.size("seen_slots"))
     pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("seen_slots").alias("b"))
-    lines = hits.groupBy("doc", "body", "item", "form", (F.col("seen_pos") - F.col("pos")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.collect_set("pos").alias("at"), F.max("size").alias("size"), F.max("n_tokens").alias("n_tokens"))
+    rich = F.size("literals") >= F.least(F.lit(LITERALS), F.greatest(F.lit(3), F.col("size") - 3))
+    hits = hits.withColumn("rich", F.explode(F.when(rich, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))  # by rich windows alone, and by all
+    lines = hits.groupBy("doc", "body", "item", "form", "rich", (F.col("seen_pos") - F.col("pos")).alias("shift")).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"), F.max("need").alias("need"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.collect_set("pos").alias("at"), F.max("size").alias("size"), F.max("n_tokens").alias("n_tokens"))
     one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    agreed = lines.where(one("a") & one("b"))
+    same = F.forall("pairs", lambda p: p["a"] == p["b"])
+    agreed = lines.where(one("a") & one("b")).where(F.col("rich") | same | ((F.col("need") > 0) & (F.col("literals") >= F.col("need"))))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
-    found = agreed.select("doc", "body", "item", "n_tokens", covered.alias("covered"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("same"))
+    found = agreed.select("doc", "body", "item", "n_tokens", covered.alias("covered"), same.alias("same"))
     each = found.groupBy("doc", "body", "item").agg(F.max("n_tokens").alias("item_tokens"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("matched_tokens"), F.max("same").alias("exact"))
     each = each.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens")).where((F.col("matched_tokens") >= min_tokens) | (F.col("coverage") >= min_share))
     return each.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "matched_tokens", "item_tokens", "coverage", "exact")

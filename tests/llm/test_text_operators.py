@@ -180,6 +180,15 @@ def test_decontamination(spark):
     assert (8, 1) not in got or not got[8, 1]["exact"]
 
 
+def test_decontamination_of_number_heavy_items(spark):
+    train, sums, names, row = "A train travels 60 km in 2 hours and then 90 km in 3 hours", "What is 12 + 7 * 3?", "Sea of Japan and Gulf of Siam", "4 8 15 16 23 42 108 815"
+    bench = spark.createDataFrame([(1, train), (2, sums), (3, names), (4, row), (5, "Yes"), (6, "Alice has 3 apples and Bob has 5")], "item_id bigint, text string")
+    texts = [train, train.replace("60", "45").replace("90", "75").replace("2", "8").replace("3", "6"), sums, "Well, what is 31 + 5 * 9?", names, "Bay of Bengal, and Strait of Hormuz", f"x {row} y", "1 2 3 4 5 6 7 9 10 11",
+             "Yes. It took 45 km in 8 hours and nothing more was said of it", "so Carol has 9 apples and Dan has 4", train.replace("90", "60").replace("2 hours", "3 hours").replace("A train travels 60", "A train travels 70").replace("in 3 hours and", "in 70 hours and")]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.leaks(frame(spark, texts), bench).collect()}
+    assert got == {(0, 1): True, (1, 1): False, (2, 2): True, (3, 2): False, (4, 3): True, (6, 4): True, (9, 6): False}
+
+
 def test_decontamination_of_rows(spark):
     item = BENCH[0][1]
     docs = spark.createDataFrame([(None, item, "a"), (1, item, "b"), (1, "clean", "c"), (2, None, "d"), (2, None, "d")], "doc_id bigint, text string, row string")
