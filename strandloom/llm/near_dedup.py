@@ -20,7 +20,7 @@ itself,
   exact similarity, so these pairs are decided in blocks of members by counting common bits, and a block
   returns a spanning forest of its links;
 * one may have less than 2t - 1: as 1 - similarity is a metric, the other is then not linked with h either, so
-  the members that are not plainly near the hub form a bucket of their own with a new hub.  What is left after
+  the members that are not linked with the hub form a bucket of their own with a new hub.  What is left after
   ``PEELS`` hubs, and pairs with such a far member alone, is compared block against block on bitmaps, across
   components only, whatever the bucket's size.
 
@@ -110,11 +110,6 @@ def cut_off(similarity: float, deviations: float = 4.0) -> int:
     return int(np.ceil(expected + 2 * np.sqrt(expected * (1 - expected / BITS))))
 
 
-def plainly_near(similarity: float = 0.95) -> int:
-    """XOR bits that are expected at this similarity."""
-    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - similarity))))
-
-
 def similarity_of(xor_bits: int) -> float:
     """Estimated share of equal samples from the XOR's population count."""
     inside = max(1e-9, 1 - 2 * xor_bits / BITS)
@@ -319,19 +314,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     sketch = classes.select("id", "sketch")
     members = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    star = None
+    digests = classes.select("id", "digest")
+    sets = near = None
     for _ in range(PEELS):
         members = hubs_of(members)
-        near = sketched(members, sketch, cut_off(2 * percent / 100 - 1))
-        star = near.select("x", "h") if star is None else star.unionByName(near.select("x", "h"))
-        seen = near.select(F.col("x").alias("id"), F.col("h").alias("hub"), (F.col("bits") <= plainly_near()).alias("plain"))
-        rest = members.where("id <> hub").join(seen, ["id", "hub"], "left").where("plain is null or not plain").select("bucket", "id", F.col("plain").isNull().alias("far"))
+        star = sketched(members, sketch, cut_off(2 * percent / 100 - 1))
+        ids = star.select(F.explode(F.array("x", "h")).alias("id")).distinct()
+        if near is not None:
+            star = stored(star.join(near.select("x", "h"), ["x", "h"], "left_anti"), "star")
+            ids = star.select(F.explode(F.array("x", "h")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
+        new = stored(sets_of(docs, ids.join(digests, "id"), shingle, id_col, text_col), "sets")
+        sets = new if sets is None else sets.unionByName(new)
+        new = measured(star, sets, percent)
+        near = new if near is None else near.unionByName(new)
+        # far is decided by full sets, as what is measured with the hub is; a bitmap alone lets through what neither sees
+        seen = near.select(F.col("x").alias("id"), F.col("h").alias("hub"), "linked")
+        rest = members.where("id <> hub").join(seen, ["id", "hub"], "left").where("linked is null or not linked").select("bucket", "id", F.col("linked").isNull().alias("far"))
         some = stored(rest.where("far").select("bucket").distinct(), "open-buckets")
         members = stored(rest.join(some, "bucket"), "rest")
-    digests = classes.select("id", "digest")
-    star = star.distinct()
-    sets = stored(sets_of(docs, star.select(F.explode(F.array("x", "h")).alias("id")).distinct().join(digests, "id"), shingle, id_col, text_col), "sets")
-    near = measured(star, sets, percent)
     direct = near.where("linked").select(F.least("x", "h").alias("u"), F.greatest("x", "h").alias("v"))
     links = stored(direct.unionByName(beside_hub(near, percent)), "links")
     comp = components(links)

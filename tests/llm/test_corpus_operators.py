@@ -71,6 +71,21 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert got == brute(texts)
 
 
+def test_members_that_only_sketches_put_near(spark, monkeypatch):
+    """Documents of shared passages in one bucket: sketches put them near its hub, full sets say less than 2t - 1."""
+    one = lambda *a, f=near_dedup.signatures: f(*a).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(1).cast("bigint"))))
+    monkeypatch.setattr(near_dedup, "signatures", one)
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}w{i}" for i in range(8)) for k in range(60)]
+    texts = [" ".join(rng.sample(passages, 40)) for _ in range(60)]
+    for i in range(0, 60, 4):
+        words = texts[i].split()
+        at = rng.randrange(len(words) - 25)
+        texts.append(" ".join(words[:at] + [f"new{i}x{k}" for k in range(25)] + words[at + 25 :]))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, texts), 2).collect())
+    assert got == brute(texts)
+
+
 def test_near_duplicates_odd_input(spark):
     assert near_dedup.near_duplicates(frame(spark, []), 2).count() == 0
     rows = spark.createDataFrame([(7, "a b c"), (7, "a b c"), (3, "a b c"), (None, "a b c"), (9, None)], "doc_id bigint, text string")
