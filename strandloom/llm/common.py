@@ -1,4 +1,4 @@
-"""What the text operators share: reading tables, shared intermediate tables, hashing."""
+"""What the text operators share: reading tables, shared intermediate tables, joins with small tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Rows of keys (three 64-bit columns at most, or a digest) that may be broadcast: some 100 MB in memory at worst.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,32 +29,55 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one is set only where there is none."""
+    """The folder that the cluster names in spark.checkpoint.dir; where there is none, a local session gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java.get() if java.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read again.
+class Scratch:
+    """The intermediate tables of one operator: Parquet in the shared folder, deleted after their last use.
 
-    It cuts the lineage, keeps column pruning for later readers, and outlives executors.
+    A table cuts the lineage, keeps column pruning for later readers, and outlives executors.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: small loop state, removed by Spark's cleaner once nothing refers to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written once and read again."""
+        path = f"{shared_dir(self.spark).rstrip('/')}/strandloom-{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((read, path))
+        return read
+
+    def drop(self, *gone: DataFrame) -> None:
+        """Deletes tables that nothing reads from now on."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        for _, path in [t for t in self.tables if any(t[0] is g for g in gone)]:
+            where = fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.tables = [t for t in self.tables if all(t[0] is not g for g in gone)]
+
+    def keep(self, *kept: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.drop(*(t for t, _ in self.tables if all(t is not k for k in kept)))
+
+
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``left`` joined with the stored table ``right``, which is broadcast if it has ``limit`` rows at most (they
+    are counted) and met by a shuffle of both sides otherwise."""
+    small = right.limit(limit + 1).count() <= limit
+    return left.join(F.broadcast(right) if small else right, on, how)
 
 
 def text_or_empty(col: str = "text") -> Column:

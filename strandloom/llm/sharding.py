@@ -19,62 +19,70 @@ of their place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import Scratch
 
 LOW_BITS = (1 << 33) - 1
 
 
-def line_links(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """(node, line): distinct long lines of each distinct text, by hash, those in two nodes at least."""
-    text = F.col(text_col)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.size(F.split(x, " ")) >= min_words)
-    keys = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
-    pairs = stored(docs.select(F.xxhash64(text).alias("node"), F.explode(keys).alias("line")).distinct(), "lines")
-    shared = stored(pairs.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "shared-lines")
-    return pairs.join(shared, "line")
+def line_links(nodes: DataFrame, work: Scratch) -> DataFrame:
+    """(node, line): the lines of each node that two nodes have at least.  ``nodes``: node, lines (hashes)."""
+    pairs = nodes.select("node", F.explode("lines").alias("line"))
+    shared = work.put(pairs.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "shared-lines")
+    links = work.put(pairs.join(shared, "line"), "links")
+    work.drop(shared)
+    return links
 
 
-def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int, slack: float = 0.1) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int, work: Scratch, slack: float = 0.1) -> DataFrame:
     """(node, weight, label, line): labels of linked nodes after ``rounds`` rounds under capacity quotas.
 
-    ``nodes``: node, weight.  ``links``: node, line.  Nodes without links keep ``start_label``.
+    ``nodes``: node, weight.  ``links``: node, line.  Nodes without links keep ``start_label``.  What changes from
+    round to round reaches the plans as tables of a row a shard or pair of shards, so every round runs the same code.
     """
-    total = nodes.agg(F.sum("weight")).first()[0] or 0
-    capacity = total / n_shards * (1 + slack)
+    spark = nodes.sparkSession
     loads = {r["label"]: r["load"] for r in nodes.groupBy(start_label(n_shards).alias("label")).agg(F.sum("weight").alias("load")).collect()}  # a row a shard
-    linked = links.select("node").distinct().join(nodes, "node")
-    state = stored(linked.select("node", "weight", start_label(n_shards).alias("label"), F.lit(None).cast("bigint").alias("line")), "labels")
+    capacity = sum(loads.values()) / n_shards * (1 + slack)
+    before = work.put(links.select("node").distinct().join(nodes.select("node", "weight"), "node"), "linked")
+    state = before.select("node", "weight", start_label(n_shards).alias("label"), F.lit(None).cast("bigint").alias("line"))
     for k in range(rounds):
-        votes = links.join(state.select("node", "weight", "label"), "node").groupBy("line", "label").agg(F.sum("weight").alias("votes"))
-        spare = [0.1 + max(0.0, 1 - loads.get(t, 0) / max(capacity, 1)) for t in range(n_shards)]
+        spare = {t: 0.1 + max(0.0, 1 - loads.get(t, 0) / max(capacity, 1)) for t in range(n_shards)}
         roomy = sorted(range(n_shards), key=lambda t: (-spare[t], t))[: max(1, n_shards // 4)]
-        of = lambda label: F.element_at(F.array(*map(F.lit, spare)), label + 1)  # noqa: E731, B023
-        best = votes.groupBy("line").agg(F.max(F.struct((F.col("votes") * of(F.col("label"))).alias("score"), (-F.col("label")).alias("l"), "votes")).alias("b"), F.count("*").alias("labels"))
-        refuge = F.element_at(F.array(*map(F.lit, roomy)), (F.pmod(F.xxhash64("line", F.lit(k)), F.lit(len(roomy))) + 1).cast("int"))
-        flees = (F.col("labels") > 1) & (F.col("b.score") < 0.5 * of(refuge))
-        leads = stored(best.select("line", F.when(flees, refuge).otherwise(-F.col("b.l")).alias("lead"), F.col("b.votes").alias("votes")), "leads")
+        room = F.broadcast(values(spark, [(t, x, k, len(roomy)) for t, x in spare.items()], "label, spare, round, n_roomy"))  # a row a shard
+        refuges = F.broadcast(values(spark, [(i, t, spare[t]) for i, t in enumerate(roomy)], "pick, refuge, refuge_spare"))
+        votes = links.join(state.select("node", "weight", "label"), "node").groupBy("line", "label").agg(F.sum("weight").alias("votes"))
+        scored = votes.join(room, "label").select("line", "round", "n_roomy", F.struct((F.col("votes") * F.col("spare")).alias("score"), (-F.col("label")).alias("l"), "votes").alias("s"))
+        best = scored.groupBy("line").agg(F.max("s").alias("b"), F.count("*").alias("labels"), F.max("round").alias("round"), F.max("n_roomy").alias("n_roomy"))
+        placed = best.withColumn("pick", F.pmod(F.xxhash64("line", "round"), F.col("n_roomy")).cast("int")).join(refuges, "pick")
+        flees = (F.col("labels") > 1) & (F.col("b.score") < 0.5 * F.col("refuge_spare"))
+        leads = work.put(placed.select("line", F.when(flees, F.col("refuge")).otherwise(-F.col("b.l")).alias("lead"), F.col("b.votes").alias("votes")), "leads")
         offers = links.join(leads, "line").groupBy("node", "lead").agg(F.count("*").alias("n"), F.max(F.struct("votes", "line")).alias("top"))
         wants = offers.groupBy("node").agg(F.max(F.struct("n", F.col("top.votes"), (-F.col("lead")).alias("l"), F.col("top.line"))).alias("b")).select("node", (-F.col("b.l")).alias("want"), F.col("b.line").alias("heavy"))
-        wishes = stored(state.select("node", "weight", "label").join(wants, "node"), "wishes")
-        flows = {(r["label"], r["want"]): r["w"] for r in wishes.where("label <> want").groupBy("label", "want").agg(F.sum("weight").alias("w")).collect()}  # n_shards squared at most
+        wishes = work.put(state.select("node", "weight", "label").join(wants, "node"), "wishes")
+        work.drop(before, leads)
+        before = wishes
+        flows = {(r["label"], r["want"]): r["w"] for r in wishes.where((F.col("label") != F.col("want")) & (F.col("weight") <= capacity)).groupBy("label", "want").agg(F.sum("weight").alias("w")).collect()}  # n_shards squared at most
         share = quotas(flows, {t: max(0.0, capacity - loads.get(t, 0)) for t in range(n_shards)})
-        dice = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) / (1 << 20)
-        goes = F.lit(False)
-        for (a, b), p in share.items():
-            goes = goes | ((F.col("label") == a) & (F.col("want") == b) & (dice < p))
-        moved = wishes.select("node", "weight", F.when(goes & (F.col("weight") <= capacity), F.col("want")).otherwise(F.col("label")).alias("label"), F.col("heavy").alias("line"), F.col("label").alias("before"))
-        state = stored(moved, "labels")
-        for r in state.where("label <> before").groupBy("before", "label").agg(F.sum("weight").alias("w")).collect():  # n_shards squared at most
-            loads[r["before"]] = loads.get(r["before"], 0) - r["w"]
-            loads[r["label"]] = loads.get(r["label"], 0) + r["w"]
-        state = state.drop("before")
+        allowed = F.broadcast(values(spark, [(a, b, p, k) for (a, b), p in share.items()] + [(-1, -1, 0.0, k)], "label, want, share, round"))  # n_shards squared at most
+        dice = F.pmod(F.xxhash64("node", "round"), F.lit(1 << 20)) / (1 << 20)
+        goes = F.coalesce((dice < F.col("share")) & (F.col("weight") <= F.lit(float(capacity))), F.lit(False))
+        moved = wishes.join(allowed, ["label", "want"], "left").withColumn("to", F.when(goes, F.col("want")).otherwise(F.col("label")))
+        for r in moved.where("label <> to").groupBy("label", "to").agg(F.sum("weight").alias("w")).collect():  # n_shards squared at most
+            loads[r["label"]] = loads.get(r["label"], 0) - r["w"]
+            loads[r["to"]] = loads.get(r["to"], 0) + r["w"]
+        state = moved.select("node", "weight", F.col("to").alias("label"), F.col("heavy").alias("line"))
     return state
 
 
+def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A small table of numbers, as SQL values."""
+    body = ", ".join("(" + ", ".join(f"{x!r}D" if isinstance(x, float) else str(x) for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
+
+
 def quotas(flows: dict[tuple[int, int], int], room: dict[int, float], rounds: int = 50) -> dict[tuple[int, int], float]:
     """The share of each wished flow that may go: a shard takes in what leaves it and what it has room for."""
     take = dict.fromkeys(room, 1.0)
@@ -91,9 +99,9 @@ def start_label(n_shards: int) -> Column:
     return F.pmod(F.col("node"), F.lit(n_shards)).cast("int")
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
+def numbered(df: DataFrame, work: Scratch, *order: str) -> DataFrame:
     """``df`` with ``position`` (gapless from 0 in ``order``) and ``total``: a range sort, then one count a partition."""
-    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    placed = work.put(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftrightunsigned("__at", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -105,14 +113,18 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 def shard(docs: DataFrame, n_shards: int = 16, rounds: int = 6, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard, label (the shard
     that propagation chose), node."""
-    text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = stored(docs.select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("node")), "rows")
-    nodes = stored(rows.groupBy("node").agg(F.count("*").alias("weight")), "nodes")
-    links = stored(line_links(docs, "text", min_words), "links")
-    state = propagate(nodes, links, n_shards, rounds).select("node", "label", "line")
-    named = rows.join(state, "node", "left").select("id", "size", "text_crc32", "node", F.coalesce("label", start_label(n_shards)).alias("label"), F.coalesce("line", "node").alias("line"))
-    at = numbered(named, "label", "line", "node", "id")
+    work = Scratch(docs.sparkSession)
+    text = F.col("text")
+    keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.size(F.split(x, " ")) >= min_words), lambda x: F.xxhash64(x)))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = work.put(read.select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("node"), keys.alias("lines")), "rows")
+    nodes = work.put(rows.groupBy("node").agg(F.count("*").alias("weight"), F.first("lines").alias("lines")), "nodes")
+    links = line_links(nodes, work)
+    state = work.put(propagate(nodes, links, n_shards, rounds, work).select("node", "label", "line"), "labels")
+    work.keep(rows, state)
+    named = rows.drop("lines").join(state, "node", "left").select("id", "size", "text_crc32", "node", F.coalesce("label", start_label(n_shards)).alias("label"), F.coalesce("line", "node").alias("line"))
+    at = numbered(named, work, "label", "line", "node", "id")
+    work.drop(rows, state)
     base, more = F.floor(F.col("total") / n_shards), F.col("total") % n_shards
     large = more * (base + 1)
     early = F.col("position") < large

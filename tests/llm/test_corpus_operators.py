@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandloom.llm import ann, near_dedup, queries, sharding
-from strandloom.llm.common import table
+from strandloom.llm.common import Scratch, table
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -134,11 +134,13 @@ def test_sharding(spark):
 
 
 def test_propagation_cuts_less(spark, sf_dir):
+    work = Scratch(spark)
     docs = table(spark, sf_dir, "documents").select("text")
-    nodes = docs.groupBy(F.xxhash64("text").alias("node")).agg(F.count("*").alias("weight"))
-    links = sharding.line_links(docs, "text", 6)
+    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.size(F.split(x, " ")) >= 6), lambda x: F.xxhash64(x)))
+    nodes = docs.groupBy(F.xxhash64("text").alias("node")).agg(F.count("*").alias("weight"), F.first(lines).alias("lines"))
+    links = sharding.line_links(nodes, work)
     before = nodes.select("node", sharding.start_label(16).alias("shard"))
-    after = sharding.propagate(nodes, links, 16, 4).select("node", F.col("label").alias("shard"))
+    after = sharding.propagate(nodes, links, 16, 4, work).select("node", F.col("label").alias("shard"))
     cut = lambda df: sharding.cut_weight(df, links).first()["cut"]
     assert cut(after) < 0.7 * cut(before)
 
