@@ -11,12 +11,18 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def parse_tags(fields: Column) -> Column:
-    """map of the K:T:V fields to V (V may hold colons); other fields are dropped, the later of equal keys counts."""
-    triples = F.filter(F.transform(fields, lambda f: F.split(f, ":", 3)), lambda t: F.size(t) == 3)
+def tag_triples(fields: Column) -> Column:
+    """array of [K, T, V] of the K:T:V fields (V may hold colons); other fields are dropped."""
+    return F.filter(F.transform(fields, lambda f: F.split(f, ":", 3)), lambda t: F.size(t) == 3)
+
+
+def tags_of(triples: Column) -> Column:
+    """map of K to V; the later of equal keys counts.  ``triples`` should be a column and no expression, as it is
+    used several times."""
     keys = F.transform(triples, lambda t: t[0])
     last = F.filter(F.transform(triples, lambda t, i: F.struct(t[0].alias("k"), t[2].alias("v"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.greatest(F.size(keys), F.lit(1))), e["k"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    slow = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(triples), F.map_from_arrays(keys, F.transform(triples, lambda t: t[2]))).otherwise(slow)
 
 
 def coverage(block: Column, query_length: Column) -> Column:

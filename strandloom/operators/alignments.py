@@ -22,14 +22,19 @@ def measured(gaf: DataFrame) -> DataFrame:
     return scored.withColumn("normalized_score", al.ratio(c("alignment_score"), c("query_length")))
 
 
-def best_alignment(rows: DataFrame, by: tuple[str, ...] = ("query_name",)) -> DataFrame:
+#: What the best row of a group carries; nodes follow from the path.
+CARRIED = ("path", "graph_class", "gene", "graph_id", "path_span", "identity", "coverage", "mapping_quality", "alignment_score", "normalized_score", "mismatches", "alignment_block_length")
+
+
+def best_alignment(rows: DataFrame, by: tuple[str, ...] = ("query_name",), carry: tuple[str, ...] = CARRIED) -> DataFrame:
     """The best measured row of each group: normalized score, identity, coverage, mapping quality, then the first line.
 
-    An aggregate and not a window: one row a group and task reaches the shuffle, whatever a query's rows.
+    An aggregate and not a window: one row a group and task reaches the shuffle, whatever a query's rows.  Only the
+    columns of ``carry`` that ``rows`` has go through it, and ``nodes`` if asked for is split from the winner's path.
     """
-    rest = [c for c in rows.columns if c not in by]
+    rest = [c for c in carry if c in rows.columns and c not in by and c != "nodes"]
     key = F.struct((-F.col("normalized_score")).alias("a"), (-F.col("identity")).alias("b"), (-F.col("coverage")).alias("c"), (-F.col("mapping_quality")).alias("d"), F.col("line_no").alias("e"))
-    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), key).alias("__b")).select(*by, "__b.*")
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), key).alias("__b")).select(*by, "__b.*", *([al.traversed_nodes(F.col("__b.path")).alias("nodes")] if "path" in rest else []))
 
 
 def alignment_rollup(records: DataFrame, by: str = "gene") -> DataFrame:
@@ -46,8 +51,10 @@ def alignment_rollup(records: DataFrame, by: str = "gene") -> DataFrame:
 
 
 def evaluate_alignments(gaf: DataFrame, queries: DataFrame) -> DataFrame:
-    """The rollup of queries (query_name, gene) with their best alignments; queries without any count as not aligned."""
-    best = best_alignment(measured(gaf)).drop("gene")
+    """The rollup of queries (query_name, gene) with their best alignments; queries without any count as not aligned.
+
+    ``gaf``: measured rows, or rows as read, which are measured here."""
+    best = best_alignment(gaf if "normalized_score" in gaf.columns else measured(gaf), carry=("identity", "coverage", "mapping_quality", "alignment_score"))
     return alignment_rollup(queries.join(best, "query_name", "left").withColumn("found", F.col("identity").isNotNull()))
 
 
@@ -83,8 +90,9 @@ def classify(classes: DataFrame) -> DataFrame:
 
 
 def detect_gene(rows: DataFrame, top: int = 3, order: str = "gene") -> DataFrame:
-    """query_name, rank, gene, normalized_score: genes by the best row against their combined graphs; the first is detected."""
-    best = best_alignment(rows, ("query_name", "gene"))
+    """query_name, rank, gene, normalized_score: genes by the best row against their combined graphs (rows of other
+    graphs are passed over); the first is detected."""
+    best = best_alignment(rows.where("graph_class = 'combined'"), ("query_name", "gene"), carry=("normalized_score", "identity", "coverage", "mapping_quality"))
     w = W.partitionBy("query_name").orderBy(F.desc("normalized_score"), F.desc("identity"), F.desc("coverage"), F.desc("mapping_quality"), order)
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_name", "rank", "gene", "normalized_score")
 
@@ -94,7 +102,7 @@ def analyze_queries(rows: DataFrame, gene: str | None = None) -> DataFrame:
 
     ``rows``: measured rows with gene and graph_class.
     """
-    chosen = rows.select("query_name").distinct().withColumn("gene", F.lit(gene)) if gene else detect_gene(rows.where("graph_class = 'combined'"), 1).select("query_name", "gene")
+    chosen = rows.select("query_name").distinct().withColumn("gene", F.lit(gene)) if gene else detect_gene(rows, 1).select("query_name", "gene")
     out = classify(by_class(rows.join(chosen, ["query_name", "gene"]), ("query_name", "gene")))
     note = F.when(F.col("any_available"), "aligned").otherwise("no alignment was found")
     return out.withColumn("note", note)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.operators.loops import cut, fingerprint
+from strandloom.operators.loops import cut, fingerprint, table_of
 
 EDGE = ["graph_id", "src", "dst"]
 NODE = ["graph_id", "node"]
@@ -72,17 +72,18 @@ def top_degree_subgraph(edges: DataFrame, k: int = 400) -> DataFrame:
 
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(graph_id, node, component): the smallest node reachable over undirected edges; alternating star rounds,
-    about as many as the logarithm of a component's size."""
+    about as many as the logarithm of a component's size; more than ``max_rounds`` are an error.  The join that
+    brings a hub's root to its neighbours has a stored table of one row a node on its other side."""
     nodes = edge_nodes(edges) if nodes is None else nodes
     g = "graph_id"
-    star = cut(edges.select(g, F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).where("hi <> lo").distinct())
+    star = table_of(edges.select(g, F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).where("hi <> lo").distinct(), "star")
     for _ in range(max_rounds):
         both = star.select(g, F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(star.select(g, F.col("lo").alias("n"), F.col("hi").alias("m")))
-        least = both.groupBy(g, "n").agg(F.min("m").alias("m0")).select(g, "n", F.least("n", "m0").alias("root"))
+        least = table_of(both.groupBy(g, "n").agg(F.min("m").alias("m0")).select(g, "n", F.least("n", "m0").alias("root")), "least")
         large = both.where("m > n").join(least, [g, "n"]).select(g, F.col("m").alias("hi"), F.col("root").alias("lo")).distinct()
         roots = large.groupBy(g, "hi").agg(F.min("lo").alias("root"))
         lower = large.join(roots, [g, "hi"]).select(g, F.col("lo").alias("hi"), F.col("root").alias("lo")).where("hi <> lo")
-        new = cut(lower.unionByName(roots.select(g, "hi", F.col("root").alias("lo"))).distinct())
+        new = table_of(lower.unionByName(roots.select(g, "hi", F.col("root").alias("lo"))).distinct(), "star")
         done = fingerprint(new, g, "hi", "lo") == fingerprint(star, g, "hi", "lo")
         star = new
         if done:
@@ -291,12 +292,14 @@ def add_cycles(edges: DataFrame) -> DataFrame:
     return add_if_absent(edges, both)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 64) -> DataFrame:
-    """(graph_id, src, dst, path): a path of fewest edges for each wanted pair that has one, the least by names."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(graph_id, src, dst, path): a path of fewest edges (of ``max_hops`` at most, if given) for each wanted pair that
+    has one, the least by names."""
     step = cut(edges.select("graph_id", F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
     front = cut(pairs.select("graph_id", "src").distinct().select("graph_id", "src", F.col("src").alias("at"), F.array("src").alias("path")))
-    known = front
-    for _ in range(max_hops):
+    known, hops = front, 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
         new = front.join(step, ["graph_id", "at"]).groupBy("graph_id", "src", F.col("next").alias("at")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
         front = cut(new.join(known, ["graph_id", "src", "at"], "left_anti"))
         if front.isEmpty():
@@ -320,8 +323,8 @@ def representative_nodes(edges: DataFrame, limit: int = 18, hubs: int = 6) -> Da
     return every.withColumn("pick", pick).where((F.col("n") <= limit) | (F.col("pick") <= limit)).select(*NODE)
 
 
-def representative_subgraph(edges: DataFrame, limit: int = 18) -> DataFrame:
-    return induced(edges, representative_nodes(edges, limit))
+def representative_subgraph(edges: DataFrame, limit: int = 18, hubs: int = 6) -> DataFrame:
+    return induced(edges, representative_nodes(edges, limit, hubs))
 
 
 def sample_walk(edges: DataFrame, max_steps: int = 8) -> DataFrame:
@@ -348,9 +351,9 @@ def walk_sequence(walk: DataFrame, segments: DataFrame, seg: int = 10) -> DataFr
     return rows.groupBy("graph_id").agg(text.alias("t")).select("graph_id", F.when(F.col("t") == "", "A").otherwise(F.col("t")).alias("sequence"))
 
 
-def context_snapshot(edges: DataFrame, limit: int = 18) -> DataFrame:
+def context_snapshot(edges: DataFrame, limit: int = 18, hubs: int = 6) -> DataFrame:
     """(graph_id, stage, nodes, edges, node_list): the graph, its representative part, and that with cycles added."""
-    part = cut(representative_subgraph(edges, limit))
+    part = cut(representative_subgraph(edges, limit, hubs))
     stages = {"original": edges.select(*EDGE), "representative": part.select(*EDGE), "cyclic": add_cycles(part).select(*EDGE)}
     out = None
     for name, e in stages.items():

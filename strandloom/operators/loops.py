@@ -3,19 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where there is none, a local session gets one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        java = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = java.get() if java.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="strandloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/strandloom-{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def table_of(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: unlike a checkpoint it has no partitioning, so a join with it
+    shuffles both sides and a hot partition of the other one can be split at run time."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(df: DataFrame, *cols: str) -> tuple:
     """Count and order-free digests of rows, to see whether a round changed anything."""
     h = F.xxhash64(*cols)

@@ -46,6 +46,11 @@ def stratified_split(seqs: DataFrame, test_fraction: float = 0.2, seed: int = 42
     return whole.unionByName(border).drop("__h", "__b", "__left", "__c")
 
 
+def in_order(split: DataFrame, keys: tuple[str, ...] = ("gene", "label", "split"), order: str = "ord") -> DataFrame:
+    """Adds place: the row's place (from 1) in input order within ``keys``, as an output file lists it."""
+    return split.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+
+
 def preprocess_summary(raw: DataFrame) -> DataFrame:
     """By gene and label: records, invalid ones, duplicates skipped, rows kept.  ``raw``: gene, label, sequence, valid."""
     per = raw.groupBy("gene", "label", F.when(F.col("valid"), F.sha2("sequence", 256)).alias("d")).agg(F.count("*").alias("n"), F.first("valid").alias("valid"))
@@ -96,5 +101,3 @@ def graph_samples(seqs: DataFrame) -> DataFrame:
 def sequence_lookup(ids: DataFrame, seqs: DataFrame) -> DataFrame:
     """Sequences of the wanted ids."""
     return ids.join(seqs, "sequence_id")
-
-

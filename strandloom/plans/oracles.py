@@ -76,6 +76,15 @@ strong AS (
   LEFT JOIN (SELECT a.graph_id, a.src, a.dst FROM reach a JOIN reach b ON a.graph_id = b.graph_id AND a.src = b.dst AND a.dst = b.src) r ON r.graph_id = s.graph_id AND r.src = s.node
   GROUP BY s.graph_id, s.node)"""
 
+# Edges within a strong component that do not climb by hops from its smallest node.
+BACK = """
+i AS (SELECT e.*, a.scc FROM e JOIN strong a ON a.graph_id = e.graph_id AND a.node = e.src JOIN strong b ON b.graph_id = e.graph_id AND b.node = e.dst WHERE a.scc = b.scc),
+      h AS (SELECT DISTINCT graph_id, scc, scc AS node, 0 AS hops FROM i UNION SELECT h.graph_id, h.scc, i.dst, h.hops + 1 FROM h JOIN i ON i.graph_id = h.graph_id AND i.scc = h.scc AND i.src = h.node WHERE h.hops < 5),
+      d AS (SELECT graph_id, scc, node, min(hops) AS depth FROM h GROUP BY ALL),
+bk AS (SELECT i.graph_id, i.src, i.dst FROM i JOIN d a ON a.graph_id = i.graph_id AND a.scc = i.scc AND a.node = i.src JOIN d b ON b.graph_id = i.graph_id AND b.scc = i.scc AND b.node = i.dst WHERE a.depth > b.depth OR (a.depth = b.depth AND i.src >= i.dst))"""
+
+DEGREE = "dg AS (SELECT graph_id, node, count(*) AS degree FROM (SELECT graph_id, src AS node FROM e UNION ALL SELECT graph_id, dst FROM e) GROUP BY ALL)"
+
 # The fixed graph of twelve nodes, its distances, and lineitem rows as anchors with their precedence pairs and gaps.
 CHAIN = """
 mini AS (
@@ -101,6 +110,46 @@ it AS (
   UNION ALL
   SELECT i.query_id, g.right_id, i.iter + 1, i.score + g.rw - g.gap, g.rw FROM it i JOIN gap g ON g.query_id = i.query_id AND g.left_id = i.anchor_id)"""
 
+BEST_CHAIN = """
+sc AS (SELECT i.query_id, i.anchor_id, i.score, a.weight, a.ord FROM (SELECT query_id, anchor_id, max(score) AS score FROM it GROUP BY ALL) i
+  JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c, d, anchor_id) AS ord FROM a) a USING (query_id, anchor_id)),
+pred AS (
+  SELECT query_id, right_id, left_id FROM (
+    SELECT g.query_id, g.right_id, g.left_id, row_number() OVER (PARTITION BY g.query_id, g.right_id ORDER BY l.ord) AS r
+    FROM gap g JOIN sc l ON l.query_id = g.query_id AND l.anchor_id = g.left_id JOIN sc x ON x.query_id = g.query_id AND x.anchor_id = g.right_id
+    WHERE x.score > x.weight AND l.score + g.rw - g.gap = x.score) WHERE r = 1),
+ends AS (SELECT query_id, anchor_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS r FROM sc) WHERE r = 1),
+back AS (
+  SELECT query_id, anchor_id, score AS chain_score, 0 AS back FROM ends
+  UNION ALL SELECT b.query_id, p.left_id, b.chain_score, b.back + 1 FROM back b JOIN pred p ON p.query_id = b.query_id AND p.right_id = b.anchor_id),
+bc AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY back DESC) - 1 AS INTEGER) AS pos, anchor_id, chain_score FROM back)"""
+
+# Layers of a graph's nodes by longest paths (0 in graphs with a cycle), and the nodes on cycles.
+LAYERS = """
+cyc AS (SELECT graph_id, src AS node FROM reach WHERE src = dst),
+own AS (SELECT graph_id, src AS node FROM e UNION SELECT graph_id, dst FROM e),
+pl AS (SELECT graph_id, node, 0 AS layer FROM own UNION SELECT p.graph_id, e.dst, p.layer + 1 FROM pl p JOIN e ON e.graph_id = p.graph_id AND e.src = p.node WHERE p.graph_id NOT IN (SELECT graph_id FROM cyc)),
+ly AS (SELECT graph_id, node, max(layer) AS layer FROM pl GROUP BY ALL)"""
+
+SAMPLE_WALK = """
+home AS (SELECT graph_id, min(node) AS home FROM cyc GROUP BY graph_id),
+      w AS (SELECT h.graph_id, home, e.dst AS cur, [e.dst] AS path FROM home h JOIN e ON e.graph_id = h.graph_id AND e.src = home
+        UNION ALL SELECT w.graph_id, home, e.dst, list_append(path, e.dst) FROM w JOIN e ON e.graph_id = w.graph_id AND e.src = w.cur WHERE w.cur <> home AND len(path) < 6),
+      c AS (SELECT graph_id, list_prepend(home, path)[1:9] AS nodes FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY len(path), path) AS r FROM w WHERE cur = home) WHERE r = 1),
+sw AS (SELECT graph_id, CAST(unnest(range(0, len(nodes))) AS INTEGER) AS pos, unnest(nodes) AS node FROM c
+      UNION ALL SELECT * FROM (SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY layer, node) - 1 AS INTEGER) AS pos, node FROM ly WHERE graph_id NOT IN (SELECT graph_id FROM cyc)) WHERE pos < 8)"""
+
+REPRESENTATIVE = f"""
+{DEGREE}, k AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY degree DESC, node) AS r FROM dg),
+      p AS (SELECT a.graph_id, a.node AS cur, b.node AS goal, [a.node] AS path FROM k a JOIN k b ON a.graph_id = b.graph_id AND a.r = 1 AND b.r = 2
+        UNION ALL SELECT p.graph_id, e.dst, goal, list_append(path, e.dst) FROM p JOIN e ON e.graph_id = p.graph_id AND e.src = p.cur WHERE p.cur <> goal AND len(path) < 5),
+      s AS (SELECT graph_id, unnest(path) AS node FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY len(path), path) AS r FROM p WHERE cur = goal) WHERE r = 1),
+      c AS (SELECT graph_id, node, min(cl) AS cl FROM (SELECT graph_id, node, 0 AS cl FROM k WHERE r <= 2 UNION ALL SELECT graph_id, node, 1 FROM s) GROUP BY ALL),
+rp AS (SELECT graph_id, node FROM (SELECT ly.graph_id, ly.node, row_number() OVER (PARTITION BY ly.graph_id ORDER BY coalesce(cl, 2), layer, ly.node) AS pick FROM ly LEFT JOIN c ON c.graph_id = ly.graph_id AND c.node = ly.node) WHERE pick <= 4)"""
+
+# Bases made from a node's name.
+BASES = "translate(md5({name}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
 WALK = """
 walk AS (
   SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY first, node) - 1 AS pos FROM (
@@ -140,8 +189,8 @@ ORACLES: dict[str, str] = {
         round(0.05 * least(normalized_score, 1), 9) AS score_part, round({COMPOSITE}, 9) AS total FROM (SELECT *, {BEST.format(by="query_name")} AS r FROM m) WHERE r = 1""",
     "rule_classify": f"""WITH {GAF}, {CLASSES} SELECT query_name, round(h, 9) AS healthy_score, round(u, 9) AS unhealthy_score, CASE WHEN h >= u THEN 'HEALTHY' ELSE 'UNHEALTHY' END AS label,
         round(least(1, abs(h - u) / (h + u + 1e-9)), 9) AS confidence, abs(h - u) < 1e-6 AS tie_like, round(u / greatest(h + u, 1e-9), 9) AS unhealthy_probability, true AS any_available, CAST(len(nodes) AS INTEGER) AS matched_nodes FROM cls""",
-    "gene_detect": f"""WITH {GAF}, b AS (SELECT * FROM (SELECT *, {BEST.format(by="query_name, gene")} AS r FROM m) WHERE r = 1)
-      SELECT query_name, CAST(row_number() OVER (PARTITION BY query_name ORDER BY normalized_score DESC, identity DESC, coverage DESC, mapping_quality DESC, gene) AS INTEGER) AS rank, gene, round(normalized_score, 9) AS normalized_score FROM b""",
+    "gene_detect": f"""WITH {GAF}, b AS (SELECT * FROM (SELECT *, {BEST.format(by="query_name, gene")} AS r FROM m WHERE graph_class = 'combined') WHERE r = 1)
+      SELECT query_name, rank, gene, normalized_score FROM (SELECT query_name, CAST(row_number() OVER (PARTITION BY query_name ORDER BY normalized_score DESC, identity DESC, coverage DESC, mapping_quality DESC, gene) AS INTEGER) AS rank, gene, round(normalized_score, 9) AS normalized_score FROM b) WHERE rank <= 3""",
     "analyze_queries": f"""WITH {GAF}, c AS (SELECT query_name, gene FROM (SELECT *, row_number() OVER (PARTITION BY query_name ORDER BY normalized_score DESC, identity DESC, coverage DESC, mapping_quality DESC, gene) AS r FROM
         (SELECT *, {BEST.format(by="query_name, gene")} AS r0 FROM m WHERE graph_class = 'combined') WHERE r0 = 1) WHERE r = 1),
       b AS (SELECT * FROM (SELECT m.*, {BEST.format(by="query_name, graph_class")} AS r FROM m JOIN c USING (query_name, gene)) WHERE r = 1),
@@ -190,11 +239,10 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'splittable', gene, label, count(*) FROM seq GROUP BY gene, label HAVING count(*) < 2""",
     "fasta_wrap": f"""WITH {SEQ}, w AS (SELECT sequence_id, list_transform(range(0, length(sequence), 80), lambda i: substr(sequence, i + 1, 80)) AS l FROM seq WHERE sequence <> '')
       SELECT sequence_id, CAST(len(l) AS INTEGER) AS lines, md5(array_to_string(l, chr(10))) AS digest FROM w""",
-    "kmer_counts": f"WITH {SEQ}, k AS ({KMERS.format(k=8)}) SELECT gene, label, kmer, count(*) AS n FROM k GROUP BY ALL",
-    "kmer_edges": f"WITH {SEQ}, k AS ({KMERS.format(k=7)}) SELECT gene, label, kmer[1:6] AS src, kmer[2:7] AS dst, count(*) AS n FROM k GROUP BY ALL",
-    "seed_hits": f"""WITH {SEQ}, k AS (SELECT gene, label, sequence_id, unnest(list_transform(range(1, len(sequence) - 13), lambda i: substr(sequence, i, 15))) AS kmer FROM seq WHERE len(sequence) >= 15),
-      rare AS (SELECT gene, label, kmer FROM k GROUP BY ALL HAVING count(*) <= 8), g AS (SELECT k.* FROM k JOIN rare USING (gene, label, kmer))
-      SELECT g.gene, lower(g.label) AS graph_class, k.sequence_id, g.sequence_id AS node, count(*) AS hits FROM k JOIN g USING (kmer) GROUP BY ALL""",
+    "kmer_counts": f"WITH {SEQ}, k AS ({KMERS.format(k=31)}) SELECT gene, label, kmer, count(*) AS n FROM k GROUP BY ALL",
+    "kmer_edges": f"WITH {SEQ}, k AS ({KMERS.format(k=32)}) SELECT gene, label, kmer[1:31] AS src, kmer[2:32] AS dst, count(*) AS n FROM k GROUP BY ALL",
+    "seed_hits": f"""WITH {SEQ}, k AS (SELECT gene, label, sequence_id, unnest(list_transform(range(1, len(sequence) - 29), lambda i: substr(sequence, i, 31))) AS kmer FROM kept WHERE len(sequence) >= 31)
+      SELECT g.gene, lower(g.label) AS graph_class, k.sequence_id, g.sequence_id AS node, count(*) AS hits FROM k JOIN k g USING (gene, kmer) GROUP BY ALL""",
     "edge_collapse": f"WITH {LINKS} SELECT graph_id, src, dst, src_orient, dst_orient FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY line_no DESC, src_orient DESC, dst_orient DESC) AS r FROM ln) WHERE r = 1",
     "degree": f"""WITH {LINKS} SELECT graph_id, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree
       FROM (SELECT graph_id, src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT graph_id, dst, 1, 0 FROM e) GROUP BY graph_id, node""",
@@ -214,11 +262,10 @@ ORACLES: dict[str, str] = {
       SELECT graph_id, src, dst, min(hops) AS hops FROM h GROUP BY ALL""",
     "topological_layers": f"""WITH RECURSIVE {LINKS}, p AS (SELECT graph_id, node, 0 AS layer FROM seg UNION SELECT p.graph_id, e.dst, p.layer + 1 FROM p JOIN e ON e.graph_id = p.graph_id AND e.src = p.node WHERE e.src < e.dst)
       SELECT graph_id, node, max(layer) AS layer FROM p GROUP BY ALL""",
-    "back_edges": f"""WITH RECURSIVE {LINKS}, {REACH}, {STRONG},
-      i AS (SELECT e.*, a.scc FROM e JOIN strong a ON a.graph_id = e.graph_id AND a.node = e.src JOIN strong b ON b.graph_id = e.graph_id AND b.node = e.dst WHERE a.scc = b.scc),
-      h AS (SELECT DISTINCT graph_id, scc, scc AS node, 0 AS hops FROM i UNION SELECT h.graph_id, h.scc, i.dst, h.hops + 1 FROM h JOIN i ON i.graph_id = h.graph_id AND i.scc = h.scc AND i.src = h.node WHERE h.hops < 5),
-      d AS (SELECT graph_id, scc, node, min(hops) AS depth FROM h GROUP BY ALL)
-      SELECT i.graph_id, i.src, i.dst FROM i JOIN d a ON a.graph_id = i.graph_id AND a.scc = i.scc AND a.node = i.src JOIN d b ON b.graph_id = i.graph_id AND b.scc = i.scc AND b.node = i.dst WHERE a.depth > b.depth OR (a.depth = b.depth AND i.src >= i.dst)""",
+    "back_edges": f"WITH RECURSIVE {LINKS}, {REACH}, {STRONG}, {BACK} SELECT graph_id, src, dst FROM bk",
+    "dag_after_break": f"""WITH RECURSIVE {LINKS}, {REACH}, {STRONG}, {BACK} SELECT graph_id, src, dst FROM e EXCEPT SELECT graph_id, src, dst FROM bk""",
+    "sample_walk": f"WITH RECURSIVE {LINKS}, {REACH}, {LAYERS}, {SAMPLE_WALK} SELECT graph_id, pos, node FROM sw",
+    "representative_nodes": f"WITH RECURSIVE {LINKS}, {REACH}, {LAYERS}, {REPRESENTATIVE} SELECT graph_id, node FROM rp",
     "synthetic_cycles": f"""WITH RECURSIVE {LINKS}, g AS (SELECT * FROM e WHERE src < dst), n AS (SELECT graph_id, src AS node FROM g UNION SELECT graph_id, dst FROM g),
       p AS (SELECT graph_id, node, 0 AS layer FROM n UNION SELECT p.graph_id, g.dst, p.layer + 1 FROM p JOIN g ON g.graph_id = p.graph_id AND g.src = p.node),
       o AS (SELECT graph_id, list(node ORDER BY layer, node) AS l FROM (SELECT graph_id, node, max(layer) AS layer FROM p GROUP BY ALL) GROUP BY graph_id HAVING count(*) >= 4),
@@ -227,9 +274,52 @@ ORACLES: dict[str, str] = {
     "precedence": f"WITH RECURSIVE {CHAIN} SELECT query_id, left_id, right_id FROM gap",
     "gap_cost": f"WITH RECURSIVE {CHAIN} SELECT query_id, left_id, right_id, query_gap, graph_gap, gap FROM gap",
     "chain_scores": f"WITH RECURSIVE {CHAIN} SELECT query_id, anchor_id, max(score) AS score FROM it GROUP BY ALL",
+    "best_chain": f"WITH RECURSIVE {CHAIN}, {BEST_CHAIN} SELECT query_id, pos, anchor_id, chain_score FROM bc",
+    "chain_gaps": f"""WITH RECURSIVE {CHAIN}, {BEST_CHAIN}, st AS (SELECT query_id, pos, anchor_id AS left_id, lead(anchor_id) OVER (PARTITION BY query_id ORDER BY pos) AS right_id FROM bc)
+      SELECT query_id, pos, left_id, right_id, query_gap, graph_gap, gap FROM st JOIN gap USING (query_id, left_id, right_id)""",
+    "chain_convergence": f"""WITH RECURSIVE {CHAIN}, top AS (SELECT query_id, anchor_id, max(score) AS s FROM it GROUP BY ALL),
+      last AS (SELECT max(first) AS k FROM (SELECT min(iter) AS first FROM it JOIN top USING (query_id, anchor_id) WHERE score = s GROUP BY query_id, anchor_id)),
+      by_iter AS (SELECT query_id, iter, max(score) AS best FROM it GROUP BY ALL), n AS (SELECT CAST(unnest(range(0, k + 1)) AS INTEGER) AS iter FROM last)
+      SELECT query_id, n.iter AS iter, max(best) AS best_score FROM by_iter JOIN n ON by_iter.iter <= n.iter GROUP BY ALL""",
     "anchor_offsets": f"""WITH {WALK}, s AS (SELECT *, least(8, node * 2) AS span FROM walk), c AS (SELECT *, CAST(coalesce(sum(span + CASE WHEN pos % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS c FROM s)
       SELECT query_id, 'A' || (pos + 1) AS anchor_id, node AS vertex, 1 AS x, CAST(span AS INTEGER) AS y, c, c + span - 1 AS d, CAST(span AS INTEGER) AS weight FROM c""",
     "distractors": f"""WITH {WALK}, l AS (SELECT query_id, CAST(sum(least(8, node * 2)) AS INTEGER) AS qlen FROM walk GROUP BY query_id), f AS (SELECT l.query_id, CAST(t.node AS INTEGER) AS node, qlen FROM l, range(1, 13) t(node) ANTI JOIN walk ON walk.query_id = l.query_id AND walk.node = t.node),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY node) AS INTEGER) AS i, CAST(least(6, node * 2) AS INTEGER) AS span FROM f)
       SELECT query_id, 'N' || i AS anchor_id, node AS vertex, 1 AS x, span AS y, greatest(1, qlen - 4 * i) AS c, greatest(1, qlen - 4 * i + span - 1) AS d, greatest(3, span - 2) AS weight FROM r WHERE i <= 2""",
+    "branching_nodes": f"""WITH {LINKS} SELECT graph_id, node FROM (SELECT graph_id, src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT graph_id, dst, 1, 0 FROM e) GROUP BY graph_id, node HAVING sum(i) > 1 OR sum(o) > 1""",
+    "all_nodes": f"""WITH {LINKS} SELECT graph_id, node FROM seg WHERE node <> 'n0' UNION SELECT graph_id, src FROM e UNION SELECT graph_id, dst FROM e""",
+    "cover_check": "SELECT true AS covers",
+    "walk_sequence": f"""WITH RECURSIVE {LINKS}, {REACH}, {LAYERS}, {SAMPLE_WALK}, sq AS (SELECT graph_id, pos, substr({BASES.format(name="node")}, 1, 10) AS s, max(pos) OVER (PARTITION BY graph_id) AS last FROM sw)
+      SELECT graph_id, string_agg(s || CASE WHEN pos % 2 = 0 AND pos < last THEN 'N' ELSE '' END, '' ORDER BY pos) AS sequence FROM sq GROUP BY graph_id""",
+    "context_snapshot": f"""WITH RECURSIVE {LINKS}, {REACH}, {LAYERS}, {REPRESENTATIVE}, pe AS (SELECT e.* FROM e JOIN rp a ON a.graph_id = e.graph_id AND a.node = e.src JOIN rp b ON b.graph_id = e.graph_id AND b.node = e.dst),
+      pr AS (SELECT graph_id, src, dst FROM pe UNION SELECT r.graph_id, r.src, p.dst FROM pr r JOIN pe p ON p.graph_id = r.graph_id AND p.src = r.dst),
+      po AS (SELECT graph_id, src AS node FROM pe UNION SELECT graph_id, dst FROM pe),
+      pp AS (SELECT graph_id, node, 0 AS layer FROM po WHERE graph_id NOT IN (SELECT graph_id FROM pr WHERE src = dst) UNION SELECT p.graph_id, e.dst, p.layer + 1 FROM pp p JOIN pe e ON e.graph_id = p.graph_id AND e.src = p.node),
+      ol AS (SELECT graph_id, list(node ORDER BY layer, node) AS l FROM (SELECT graph_id, node, max(layer) AS layer FROM pp GROUP BY ALL) GROUP BY graph_id HAVING count(*) >= 4),
+      ce AS (SELECT graph_id, src, dst FROM pe UNION SELECT graph_id, l[-1], l[2] FROM ol UNION SELECT graph_id, l[-2], l[1] FROM ol),
+      st AS (SELECT 'original' AS stage, * FROM e UNION ALL SELECT 'representative', * FROM pe UNION ALL SELECT 'cyclic', * FROM ce),
+      nl AS (SELECT stage, graph_id, list(node ORDER BY node) AS nodes FROM (SELECT stage, graph_id, src AS node FROM st UNION SELECT stage, graph_id, dst FROM st) GROUP BY ALL)
+      SELECT st.graph_id, st.stage, CAST(len(nodes) AS BIGINT) AS nodes, count(*) AS edges, array_to_string(nodes, ',') AS node_list FROM st JOIN nl USING (stage, graph_id) GROUP BY ALL""",
+    "anchors_per_node": f"WITH {WALK} SELECT query_id, CAST(t.node AS INTEGER) AS node, count(walk.node) AS anchors FROM (SELECT DISTINCT query_id FROM walk) q CROSS JOIN range(1, 13) t(node) LEFT JOIN walk USING (query_id, node) GROUP BY ALL",
+    "anchor_order": f"WITH RECURSIVE {CHAIN} SELECT query_id, anchor_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c, d, anchor_id) AS INTEGER) AS ord FROM a",
+    "explanations": f"""WITH {GAF}, {CLASSES} SELECT query_name, CASE WHEN abs(h - u) < 1e-6 THEN 'Evidence is balanced: healthy ' ELSE CASE WHEN h >= u THEN 'HEALTHY' ELSE 'UNHEALTHY' END || ' is better supported: healthy ' END
+        || CAST(round(CAST(h AS DECIMAL(18, 12)), 4)::DECIMAL(18, 4) AS VARCHAR) || ', unhealthy ' || CAST(round(CAST(u AS DECIMAL(18, 12)), 4)::DECIMAL(18, 4) AS VARCHAR) || '.' AS explanation FROM cls""",
+    "fasta_files": f"WITH {SEQ} SELECT sequence_id, gene, label, CAST(length(sequence) AS INTEGER) AS length, md5(sequence) AS digest, true AS valid FROM seq WHERE sequence <> ''",
+    "combined_fasta": f"""WITH {SEQ} SELECT gene, sequence_id, CAST(row_number() OVER (PARTITION BY gene ORDER BY label, doc_id) AS INTEGER) AS place FROM seq WHERE sequence <> ''""",
+    "gfa_segments": f"""SELECT 'all' AS graph_id, 'p' || p_partkey AS node, CAST(10 + p_partkey % 20 AS INTEGER) AS length, md5(substr({BASES.format(name="'p' || p_partkey")}, 1, CAST(10 + p_partkey % 20 AS INTEGER))) AS digest,
+        CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'chr' || p_partkey % 4 END AS sn, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey * 40 END AS so, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 0 END AS sr FROM part""",
+    "gfa_links": "SELECT 'all' AS graph_id, 'p' || l_partkey AS src, 's' || l_suppkey AS dst, '+' AS src_orient, CASE WHEN l_returnflag = 'A' THEN '-' ELSE '+' END AS dst_orient, count(*) AS n FROM lineitem GROUP BY ALL",
+    "gaf_files": f"""WITH {GAF} SELECT graph_class AS source, query_name, CASE WHEN nm = 3 THEN NULL ELSE path END AS path, CASE WHEN nm = 3 THEN NULL ELSE matches END AS residue_matches, nm = 3 AS corrupt FROM
+      (SELECT graph_class, nm, path, matches, CASE WHEN nm = 3 THEN NULL ELSE query_name END AS query_name FROM gaf)""",
+    "gaf_json": f"WITH {GAF} SELECT query_name, round(block / qlen, 9) AS coverage, round(matches / block, 9) AS identity, CAST(matches + has_as::INT AS DOUBLE) AS alignment_score, array_to_string(nodes, ',') AS traversed_nodes FROM gaf",
+    "manifest_files": f"""WITH {SEQ} SELECT gene, lower(label) AS bucket, sequence_id, 'seq/' || sequence_id || '.fa' AS path FROM kept
+      UNION ALL SELECT gene, 'reference', NULL, 'ref/' || gene || '.fa' FROM (SELECT DISTINCT gene FROM kept)""",
+    "feature_files": f"WITH {FEATURES} SELECT * FROM ft",
+    "unknown_genes": f"WITH {SEQ} SELECT sequence_id, gene FROM seq WHERE gene NOT IN (SELECT DISTINCT gene FROM seq WHERE label = 'UNHEALTHY' AND doc_id % 7 = 0)",
+    "missing_samples": f"""WITH {SEQ} SELECT g.gene, c.graph_class FROM (SELECT DISTINCT gene FROM seq) g CROSS JOIN (VALUES ('healthy'), ('unhealthy'), ('combined'), ('other')) c(graph_class)
+      WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.gene = g.gene AND (lower(k.label) = c.graph_class OR c.graph_class = 'combined'))""",
+    "graph_samples": f"WITH {SEQ} SELECT gene, lower(label) AS graph_class, sequence_id FROM kept UNION ALL SELECT gene, 'combined', sequence_id FROM kept",
+    "sequence_lookup": f"WITH {SEQ} SELECT sequence_id, md5(sequence) AS digest FROM seq WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "split_in_order": f"WITH {SEQ} SELECT gene, label, sequence_id, split, CAST(row_number() OVER (PARTITION BY gene, label, split ORDER BY doc_id) AS INTEGER) AS place FROM split",
+    "rule_records": f"WITH {JUDGED} SELECT query_name AS sequence_id, gene, truth AS label_name, label AS predicted, score AS probability FROM j WHERE split = 'test'",
 }

@@ -129,9 +129,9 @@ def prob_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table of every order: paths on a graph a gene, its edges the neighbours on all paths."""
+    """The feature table of every order: paths on one graph, its edges the neighbours on all paths."""
     rows = views.gaf(spark, sf_dir)
-    hops = rows.select("nodes", F.explode(F.sequence(F.lit(0), F.size("nodes") - 2)).alias("i")).where("size(nodes) > 1")
+    hops = rows.select(al.traversed_nodes(F.col("path")).alias("nodes")).select("nodes", F.explode(F.sequence(F.lit(0), F.size("nodes") - 2)).alias("i")).where("size(nodes) > 1")
     edges = hops.select(F.lit(0).alias("graph_id"), F.col("nodes")[F.col("i")].alias("src"), F.col("nodes")[F.col("i") + 1].alias("dst")).distinct()
     classes = alignments.by_class(rows).withColumn("graph_id", F.lit(0))
     labels = views.queries(spark, sf_dir).select("query_name", "split", "gene", F.col("truth").alias("label_name"))
@@ -228,21 +228,21 @@ def fasta_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sequences.valid(views.sequences(spark, sf_dir))
-    return kmers.kmer_counts(s, 8, ("gene", "label"))
+    return kmers.kmer_counts(s, 31, ("gene", "label"))
 
 
 @registered
 def kmer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sequences.valid(views.sequences(spark, sf_dir))
-    return kmers.kmer_edges(s, 6, ("gene", "label"))
+    return kmers.kmer_edges(s, 31, ("gene", "label"))
 
 
 @registered
 def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds of every rated document in the sequences of its label's documents, by document and graph sequence."""
-    s = sequences.valid(views.sequences(spark, sf_dir))
+    """Seeds of every distinct sequence in those of its gene, by sequence and graph sequence."""
+    s = sequences.dedup_first(sequences.valid(views.sequences(spark, sf_dir)))
     graph = s.select("gene", F.lower("label").alias("graph_class"), F.col("sequence_id").alias("node"), "sequence")
-    hits = kmers.seed_hits(s.select("sequence_id", "sequence"), graph, 15, 8)
+    hits = kmers.seed_hits(s.select("gene", "sequence_id", "sequence"), graph, 31, own=("gene",))
     return hits.groupBy("gene", "graph_class", "sequence_id", "node").agg(F.count("*").alias("hits"))
 
 
@@ -250,7 +250,7 @@ def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each language's k-mer graph of distinct documents."""
     s = sequences.dedup_first(sequences.valid(views.sequences(spark, sf_dir))).withColumn("graph_class", F.lit("combined"))
-    segments, _ = kmers.build_sequence_graph(s, 8)
+    segments, _ = kmers.build_sequence_graph(s)
     return segments.select("gene", "node", "length", F.md5("sequence").alias("digest"))
 
 
@@ -420,7 +420,7 @@ def distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir).persist()
-    models = {k: ml.train(ml.split_of(f, "train"), k, trees=20, max_iter=50) for k in ml.KINDS}
+    models = {k: ml.train(ml.split_of(f, "train"), k) for k in ml.KINDS}
     test = judged(spark, sf_dir).where("split = 'test'").select(F.col("query_name").alias("sequence_id"), "gene", F.col("truth").alias("label_name"), F.col("label").alias("predicted"), F.col("score").alias("probability"))
     return ml.compare(models, ml.split_of(f, "test"), test)
 
@@ -428,16 +428,16 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir).persist()
-    return ml.predict(ml.train(ml.split_of(f, "train"), trees=20), f)
+    return ml.predict(ml.train(ml.split_of(f, "train")), f)
 
 
 @registered
 def model_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir).persist()
-    return ml.contributions(ml.train(ml.split_of(f, "train"), "logistic_regression", max_iter=50), f)
+    return ml.contributions(ml.train(ml.split_of(f, "train"), "logistic_regression"), f)
 
 
 @registered
 def model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir).persist()
-    return ml.feature_importance(ml.train(ml.split_of(f, "train"), trees=20), spark)
+    return ml.feature_importance(ml.train(ml.split_of(f, "train")), spark)

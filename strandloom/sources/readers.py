@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions.alignment import parse_tags
+from strandloom.functions.alignment import tag_triples, tags_of
 from strandloom.functions.sequence import is_valid_dna, normalize_sequence, parse_header
 
 GAF_FIELDS = {
@@ -82,14 +82,15 @@ def parse_gaf(lines: DataFrame, mode: str = "failfast") -> DataFrame:
     in _corrupt_record.
     """
     f = F.split(F.regexp_replace("value", r"\s+$", ""), "\t")
-    cut = lines.where(F.trim(F.regexp_replace("value", r"\s", "")) != "").withColumn("__f", f)
+    cut = lines.where(F.col("value").rlike(r"\S")).withColumn("__f", f)
+    cut = cut.withColumn("__t", tag_triples(F.slice("__f", len(GAF_FIELDS) + 1, F.greatest(F.size("__f"), F.lit(1)))))
     short = F.size("__f") < len(GAF_FIELDS)
     bad = F.raise_error(F.concat(F.lit("a GAF line needs 12 fields: "), F.col("value"))) if mode == "failfast" else F.lit(None)
     cols = []
     for i, (name, kind) in enumerate(GAF_FIELDS.items()):
         x = F.col("__f")[i] if mode == "failfast" else F.get("__f", F.lit(i))
         cols.append(F.when(short, bad.cast(kind)).otherwise(x.cast(kind) if mode == "failfast" else x.try_cast(kind)).alias(name))
-    tags = F.when(~short, parse_tags(F.slice("__f", len(GAF_FIELDS) + 1, F.greatest(F.size("__f"), F.lit(1))))).alias("tags")
+    tags = F.when(~short, tags_of(F.col("__t"))).alias("tags")
     extra = [] if mode == "failfast" else [F.when(short, F.col("value")).alias("_corrupt_record")]
     keep = [c for c in lines.columns if c != "value"]
     return cut.select(*keep, *cols, tags, *extra)
