@@ -303,7 +303,7 @@ ORACLES: dict[str, str] = {
     "anchors_per_node": f"WITH {WALK} SELECT query_id, CAST(t.node AS INTEGER) AS node, count(walk.node) AS anchors FROM (SELECT DISTINCT query_id FROM walk) q CROSS JOIN range(1, 13) t(node) LEFT JOIN walk USING (query_id, node) GROUP BY ALL",
     "anchor_order": f"WITH RECURSIVE {CHAIN} SELECT query_id, anchor_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c, d, anchor_id) AS INTEGER) AS ord FROM a",
     "explanations": f"""WITH {GAF}, {CLASSES} SELECT query_name, CASE WHEN abs(h - u) < 1e-6 THEN 'Evidence is balanced: healthy ' ELSE CASE WHEN h >= u THEN 'HEALTHY' ELSE 'UNHEALTHY' END || ' is better supported: healthy ' END
-        || CAST(round(CAST(h AS DECIMAL(18, 12)), 4)::DECIMAL(18, 4) AS VARCHAR) || ', unhealthy ' || CAST(round(CAST(u AS DECIMAL(18, 12)), 4)::DECIMAL(18, 4) AS VARCHAR) || '.' AS explanation FROM cls""",
+        || CAST(round(CAST(CAST(h AS VARCHAR) AS DECIMAL(20, 17)), 4)::DECIMAL(18, 4) AS VARCHAR) || ', unhealthy ' || CAST(round(CAST(CAST(u AS VARCHAR) AS DECIMAL(20, 17)), 4)::DECIMAL(18, 4) AS VARCHAR) || '.' AS explanation FROM cls""",
     "fasta_files": f"WITH {SEQ} SELECT sequence_id, gene, label, CAST(length(sequence) AS INTEGER) AS length, md5(sequence) AS digest, true AS valid FROM seq WHERE sequence <> ''",
     "combined_fasta": f"""WITH {SEQ} SELECT gene, sequence_id, CAST(row_number() OVER (PARTITION BY gene ORDER BY label, doc_id) AS INTEGER) AS place FROM seq WHERE sequence <> ''""",
     "gfa_segments": f"""SELECT 'all' AS graph_id, 'p' || p_partkey AS node, CAST(10 + p_partkey % 20 AS INTEGER) AS length, md5(substr({BASES.format(name="'p' || p_partkey")}, 1, CAST(10 + p_partkey % 20 AS INTEGER))) AS digest,
