@@ -24,10 +24,18 @@ itself,
   ``PEELS`` hubs, and pairs with such a far member alone, is compared block against block on bitmaps, across
   components only, whatever the bucket's size.
 
-Pairs from bitmaps are confirmed on full sets: no cap, and no link between components lost.
+Bitmaps give no pairs either: they tell which members have a close one in their bucket, and these meet again in blocks
+with their full sets, a block returning a spanning forest of its links.  Nothing is capped; what bands and the bitmaps' cut-offs may miss is
+bounded by the probabilities above.
+
+Classes have numbers of their own, so an id may stand for several texts: each is compared, and ids come in at the
+end.  Joins whose keys may be hot (buckets, hubs, digests) have a stored table of one row a key on the other side,
+so a hot partition can be split at run time.
 
 Defined results: a null or empty text, or one of white space alone, has an empty set and is linked with
-nothing; repeated rows (equal ids too) each get a row; ties go to the smallest id.
+nothing; repeated rows (equal ids too) each get a row; of an id with several texts each row has its own text's
+component; a row with a null id is compared like others, is kept, and names no component; ties go to the
+smallest id.
 """
 
 from __future__ import annotations
@@ -40,13 +48,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import Scratch, small_join
 from strandloom.llm.components import components
 
 BANDS, ROWS, BITS = 32, 5, 512
 SAMPLES = BANDS * ROWS
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: The same where full sets are compared.
+SET_BLOCK = 256
 #: Hubs that a bucket gets, one after the other.
 PEELS = 2
 
@@ -117,7 +127,8 @@ def similarity_of(xor_bits: int) -> float:
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, digest (of the set), bands array<bigint>, sketch binary; bands and sketch null for empty sets."""
+    """id, body (a hash of the text), n_shingles, digest (of the set), bands array<bigint>, sketch binary; bands and
+    sketch null for empty sets."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -127,7 +138,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
             n, digests, bands, sketches = [], [], [], []
             if len(known) > 1_000_000:
                 known = {}
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text, shingle, known)
                 n.append(len(s))
                 digests.append(xxh3_128_digest(s.tobytes()))
@@ -141,31 +152,28 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ m[r::ROWS])
                 bands.append(h.view(np.int64))
                 sketches.append(odd_sketch(m).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "body", "n_shingles", "digest", "bands", "sketch"])
 
-    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(fn, "id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
+    text = F.col(text_col).cast("string")
+    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
+    return kept.mapInArrow(fn, "id bigint, body bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles array<bigint>) of the wanted ids; of an id's several texts the row of the wanted digest."""
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles array<bigint>) of the wanted classes; ``wanted``: id (the class), first (a row's id and body)."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
         known: dict[bytes, int] = {}
         for b in batches:
-            got = []
             if len(known) > 1_000_000:
                 known = {}
-            for i, text, digest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingle_set(text, shingle, known)
-                if xxh3_128_digest(s.tobytes()) == digest:
-                    got.append((i, s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.int64()))], ["id", "shingles"])
+            got = [shingle_set(text, shingle, known).view(np.int64) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).join(ids, F.col("doc") == F.col("id"))
-    return rows.select("id", "text", "digest").mapInArrow(fn, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
+    rows = rows.join(wanted.select("id", F.col("first.id").alias("doc"), F.col("first.body").alias("body")), ["doc", "body"])
+    return rows.groupBy("doc", "body").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text").mapInArrow(fn, "id bigint, shingles array<bigint>")
 
 
 def xor_bits(a: str, b: str):
@@ -177,29 +185,22 @@ def xor_bits(a: str, b: str):
     return out
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    rows = pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", both.alias("n"), (F.size("su") + F.size("sv")).alias("total"))
-    return rows.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("u", "v")
-
-
-def hubs_of(members: DataFrame) -> DataFrame:
+def hubs_of(members: DataFrame, work: Scratch) -> DataFrame:
     """(bucket, id, hub) of the buckets of several members; ``members``: bucket, id."""
-    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-    sized = stored(sized.select("bucket", "id", "n"), "sized")
+    several = work.put(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    sized = work.put(members.select("bucket", "id").join(several, "bucket"), "sized")
     company = sized.groupBy("id").agg(F.sum("n").alias("company"))
-    hubs = sized.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("i"))).alias("h")).select("bucket", (-F.col("h.i")).alias("hub"))
-    return stored(sized.select("bucket", "id").join(stored(hubs, "hubs"), "bucket"), "members")
+    hubs = work.put(sized.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("i"))).alias("h")).select("bucket", (-F.col("h.i")).alias("hub")), "hubs")
+    found = work.put(sized.select("bucket", "id").join(hubs, "bucket"), "members")
+    work.drop(several, sized, hubs)
+    return found
 
 
 def sketched(members: DataFrame, sketch: DataFrame, limit: int) -> DataFrame:
     """(x, h, bits) of members and their hubs whose bitmaps differ in at most ``limit`` bits."""
     pairs = members.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("h")).distinct()
     both = pairs.join(sketch.select(F.col("id").alias("x"), F.col("sketch").alias("a")), "x").join(sketch.select(F.col("id").alias("h"), F.col("sketch").alias("b")), "h")
-    return stored(both.select("x", "h", xor_bits("a", "b").alias("bits")).where(F.col("bits") <= limit), "near-hub")
+    return both.select("x", "h", xor_bits("a", "b").alias("bits")).where(F.col("bits") <= limit)
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,13 +210,13 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = pairs.select("x", "h").join(a, "x").join(b, "h").select("x", "h", F.size("sh").alias("nh"), F.array_except("sh", "sx").alias("gone"), F.array_except("sx", "sh").alias("news"))
     inter, union = F.col("nh") - F.size("gone"), F.col("nh") + F.size("news")
     rows = rows.withColumns({"linked": 100 * inter >= percent * union, "near": 100 * inter >= (2 * percent - 100) * union})
-    return stored(rows.where("near").drop("near"), "measured")
+    return rows.where("near").drop("near")
 
 
-def dealt(members: DataFrame, key: str, id_col: str) -> DataFrame:
+def dealt(members: DataFrame, key: str, id_col: str, work: Scratch, block: int | None = None) -> DataFrame:
     """``members`` dealt into blocks by a hash of their id, once for each meeting (first, second) of two blocks of
     one key; left: whether the row is on the first side; cross: whether the sides are two blocks."""
-    sized = stored(members.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sized")
+    sized = work.put(members.groupBy(key).agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("blocks")), "sized")
     rows = members.join(sized, key).withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
     met = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     first, second = F.least("block", "other"), F.greatest("block", "other")
@@ -254,7 +255,7 @@ def forest(pairs: list[tuple[int, np.ndarray]], n: int) -> list[tuple[int, int]]
     return out
 
 
-def beside_hub(near: DataFrame, percent: int) -> DataFrame:
+def beside_hub(near: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """(u, v): links of members measured with one hub, one of them at least not linked with it; a spanning forest
     of those of each meeting of blocks."""
 
@@ -276,81 +277,144 @@ def beside_hub(near: DataFrame, percent: int) -> DataFrame:
         u, v = (np.array([ids[p[k]] for p in kept], np.int64) for k in (0, 1))
         return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
-    open_hubs = stored(near.where("not linked").select("h").distinct(), "open-hubs")
-    rows = dealt(near.join(open_hubs, "h"), "h", "x")
+    open_hubs = work.put(near.where("not linked").select("h").distinct(), "open-hubs")
+    rows = dealt(near.join(open_hubs, "h"), "h", "x", work)
     return rows.groupBy("h", "first", "second").applyInArrow(fn, "u bigint, v bigint")
 
 
-def block_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components, one of them at least far, whose bitmaps differ in at
-    most ``limit`` bits.  ``members``: bucket, id, far, comp, sketch."""
+def close(bits: np.ndarray, comp: np.ndarray, far: np.ndarray, left: np.ndarray, cross: bool, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) over the two sides of a meeting: what of another component, one of them at least far, differs from i in
+    at most ``limit`` bits."""
+    a, b = np.flatnonzero(left), np.arange(len(bits)) if not cross else np.flatnonzero(~left)
+    for i in a.tolist():
+        near = np.bitwise_count(bits[b] ^ bits[i]).sum(1) <= limit
+        js = b[near & (comp[b] != comp[i]) & (far[b] | far[i])]
+        if len(js):
+            yield i, js
+
+
+def with_company(members: DataFrame, limit: int, work: Scratch) -> DataFrame:
+    """(bucket, id) of the members of a bucket that have a ``close`` one in it: a row each, and not one a pair.
+    ``members``: bucket, id, far, comp, sketch."""
 
     def fn(t: pa.Table) -> pa.Table:
         ids, comp, left, far = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "comp", "left", "far"))
         bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        a, b = np.flatnonzero(left), np.arange(len(ids)) if not t["cross"][0].as_py() else np.flatnonzero(~left)
+        seen = np.zeros(len(ids), bool)
+        for i, js in close(bits, comp, far, left, t["cross"][0].as_py(), limit):
+            seen[i] = True
+            seen[js] = True
+        kept = np.unique(ids[seen])
+        return pa.table({"bucket": pa.array(np.full(len(kept), t["bucket"][0].as_py(), np.int64)), "id": pa.array(kept)})
+
+    return dealt(members, "bucket", "id", work).groupBy("bucket", "first", "second").applyInArrow(fn, "bucket bigint, id bigint").distinct()
+
+
+def company_links(members: DataFrame, limit: int, percent: int, work: Scratch) -> DataFrame:
+    """(u, v): links between ``close`` members of a bucket, decided on full sets in blocks; a spanning forest of those
+    of each meeting.  ``members``: bucket, id, far, comp, sketch, shingles."""
+
+    def fn(t: pa.Table) -> pa.Table:
+        ids, comp, left, far = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "comp", "left", "far"))
+        bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        lists = [np.array(x, np.int64) for x in t["shingles"].to_pylist()]
+        size = np.array([len(x) for x in lists])
+        common = bit_rows(lists, 2)
         found = []
-        for i in a:
-            near = np.bitwise_count(bits[b] ^ bits[i]).sum(1) <= limit
-            j = b[near & (comp[b] != comp[i]) & (far[b] | far[i])]
-            if len(j):
-                found.append((np.full(len(j), ids[i]), ids[j]))
-        u, v = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        for i, js in close(bits, comp, far, left, t["cross"][0].as_py(), limit):
+            inter = np.bitwise_count(common[js] & common[i]).sum(1, dtype=np.int64)
+            found.append((i, js[100 * inter >= percent * (size[i] + size[js] - inter)]))
+        kept = forest(found, len(ids))
+        u, v = (np.array([ids[p[k]] for p in kept], np.int64) for k in (0, 1))
         return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
-    return dealt(members, "bucket", "id").groupBy("bucket", "first", "second").applyInArrow(fn, "u bigint, v bigint").distinct()
+    return dealt(members, "bucket", "id", work, min(BLOCK, SET_BLOCK)).groupBy("bucket", "first", "second").applyInArrow(fn, "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id, kept, class_id.
-
-    Documents are linked if 100 * intersection >= percent * union of their sets; component_id is the smallest
-    id reachable over links, class_id the smallest id with an equal set.
-    """
-    signed = stored(signatures(docs, shingle, id_col, text_col), "signatures")
-    full = signed.where("n_shingles > 0 and id is not null")
+def decide(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row for each row of ``docs``: id, body (a hash of the text), n_shingles, component_id, class_id, stands
+    (whether the row's id and text are the component's first, by id, then by body); a stored table."""
+    work = Scratch(docs.sparkSession)
+    signed = work.put(signatures(docs, shingle, id_col, text_col), "signatures")
     # bands and sketch follow from the set alone, so any of a class's rows has them
-    classes = stored(full.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "body")))
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = work.put(classes.where("first is not null").withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    sketch = classes.select("id", "sketch")
+    sketch, firsts = classes.select("id", "sketch"), classes.select("id", "first")
     members = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    digests = classes.select("id", "digest")
     sets = near = None
     for _ in range(PEELS):
-        members = hubs_of(members)
-        star = sketched(members, sketch, cut_off(2 * percent / 100 - 1))
-        ids = star.select(F.explode(F.array("x", "h")).alias("id")).distinct()
+        members = hubs_of(members, work)
+        star = work.put(sketched(members, sketch, cut_off(2 * percent / 100 - 1)), "near-hub")
         if near is not None:
-            star = stored(star.join(near.select("x", "h"), ["x", "h"], "left_anti"), "star")
-            ids = star.select(F.explode(F.array("x", "h")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
-        new = stored(sets_of(docs, ids.join(digests, "id"), shingle, id_col, text_col), "sets")
+            star = work.put(star.join(near.select("x", "h"), ["x", "h"], "left_anti"), "star")
+        ids = star.select(F.explode(F.array("x", "h")).alias("id")).distinct()
+        if sets is not None:
+            ids = ids.join(sets.select("id"), "id", "left_anti")
+        new = work.put(sets_of(docs, ids.join(firsts, "id"), shingle, id_col, text_col), "sets")
         sets = new if sets is None else sets.unionByName(new)
-        new = measured(star, sets, percent)
+        new = work.put(measured(star, sets, percent), "measured")
         near = new if near is None else near.unionByName(new)
         # far is decided by full sets, as what is measured with the hub is; a bitmap alone lets through what neither sees
         seen = near.select(F.col("x").alias("id"), F.col("h").alias("hub"), "linked")
-        rest = members.where("id <> hub").join(seen, ["id", "hub"], "left").where("linked is null or not linked").select("bucket", "id", F.col("linked").isNull().alias("far"))
-        some = stored(rest.where("far").select("bucket").distinct(), "open-buckets")
-        members = stored(rest.join(some, "bucket"), "rest")
+        rest = work.put(members.where("id <> hub").join(seen, ["id", "hub"], "left").where("linked is null or not linked").select("bucket", "id", F.col("linked").isNull().alias("far")), "rest")
+        some = work.put(rest.where("far").select("bucket").distinct(), "open-buckets")
+        left = work.put(rest.join(some, "bucket"), "left")
+        work.drop(members, star, rest, some)
+        members = left
     direct = near.where("linked").select(F.least("x", "h").alias("u"), F.greatest("x", "h").alias("v"))
-    links = stored(direct.unionByName(beside_hub(near, percent)), "links")
-    comp = components(links)
+    links = work.put(direct.unionByName(beside_hub(near, percent, work)), "links")
+    comp = components(links, work)
 
-    named = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", "far", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    late = stored(block_pairs(stored(named.join(stored(mixed, "mixed"), "bucket").join(sketch, "id"), "blocks"), cut_off(percent / 100)), "late")
+    named = work.put(members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", "far", F.coalesce("component", "id").alias("comp")), "named")
+    mixed = work.put(named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket"), "mixed")
+    blocks = work.put(named.join(mixed, "bucket").join(sketch, "id"), "blocks")
+    late = work.put(with_company(blocks, cut_off(percent / 100), work), "late")
     if not late.isEmpty():
-        more = stored(late.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti").join(digests, "id"), "more")
-        if not more.isEmpty():
-            sets = sets.unionByName(stored(sets_of(docs, more, shingle, id_col, text_col), "sets"))
-        found = stored(confirmed(late, sets, percent), "links")
+        more = late.select("id").distinct().join(sets.select("id"), "id", "left_anti").join(firsts, "id")
+        sets = sets.unionByName(work.put(sets_of(docs, more, shingle, id_col, text_col), "sets"))
+        whole = work.put(blocks.join(late, ["bucket", "id"]).join(sets, "id"), "whole")
+        found = work.put(company_links(whole, cut_off(percent / 100), percent, work), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = components(links)
-
-    class_of = classes.select("digest", F.col("id").alias("class_id"))
-    out = signed.select("id", "n_shingles", "digest").join(class_of, "digest", "left")
-    out = out.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id"))).join(comp.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "id")
-    kept = F.coalesce(F.col("id") == component, F.col("id").isNull())
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept"), "class_id")
+            comp = components(links.unionByName(found), work)
+    work.keep(signed, classes, comp)
+
+    member = work.put(comp.select(F.col("node").alias("id"), "component").join(firsts, "id"), "linked-classes")
+    leads = work.put(member.groupBy("component").agg(F.min("first").alias("lead")), "leads")
+    lead_of = work.put(member.join(leads, "component").select("id", "lead"), "lead-of")
+    class_of = work.put(classes.select("id", "digest", "first").join(lead_of, "id", "left").select("digest", F.col("first.id").alias("class_id"), F.coalesce("lead", "first").alias("lead")), "class-of")
+    out = signed.select("id", "body", "n_shingles", "digest").join(class_of, "digest", "left")
+    stands = F.coalesce((F.col("id") == F.col("lead.id")) & (F.col("body") == F.col("lead.body")), F.lit(True))
+    table = work.put(out.select("id", "body", "n_shingles", F.coalesce("lead.id", "id").alias("component_id"), "class_id", (stands | F.col("id").isNull()).alias("stands")), "decided")
+    work.keep(table)
+    return table
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id, kept, class_id.
+
+    Documents are linked if 100 * intersection >= percent * union of their sets; component_id is the smallest
+    id reachable over links, class_id the smallest id with an equal set.
+    """
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("id").isNull())
+    return decide(docs, shingle, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "class_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component.
+
+    Of rows with the same id and text, the first in order of the row's JSON stays; rows without words all stay, and
+    so do rows with a null id.  Only ids and hashes of dropped rows travel, unless they are too many to broadcast.
+    """
+    work = Scratch(docs.sparkSession)
+    found = decide(docs, shingle, percent, id_col, text_col)
+    key = [F.col(f"row.{id_col}").cast("bigint").alias("id"), F.xxhash64(F.col(f"row.{text_col}").cast("string")).alias("body")]
+    gone = work.put(found.where("not stands").select("id", "body").distinct(), "gone")
+    twice = work.put(found.where("stands and n_shingles > 0 and id is not null").groupBy("id", "body").agg(F.count("*").alias("n")).where("n > 1").select("id", "body"), "twice")
+    rows = docs.select(F.struct("*").alias("row")).select("row", *key)
+    left = small_join(rows, gone, ["id", "body"], "left_anti")
+    if twice.isEmpty():
+        return left.select("row.*")
+    once = small_join(left, twice, ["id", "body"], "left_semi").groupBy("id", "body").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return small_join(left, twice, ["id", "body"], "left_anti").select("row.*").unionByName(once.select("row.*"))
