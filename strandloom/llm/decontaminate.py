@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import Scratch, small_join
 
 WINDOW, LITERALS, LEAST = 8, 5, 3
 BITMAP_BITS = 1 << 24
@@ -157,8 +157,9 @@ def bitmap_of(wanted: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, min_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a document and item that leaks into it: id, item, matched_tokens, item_tokens, coverage, exact
     (whether some alignment has equal slot values)."""
+    work = Scratch(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    wanted = stored(window_rows(items, ["item"], (), True, None), "benchmark-windows")
+    wanted = work.put(window_rows(items, ["item"], (), True, None), "benchmark-windows")
     sizes = tuple(r["size"] for r in wanted.select("size").distinct().collect())  # WINDOW values at most
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.col(text_col).cast("string").alias("text"))
     seen = window_rows(texts, ["doc", "body"], sizes, False, bitmap_of(wanted))
@@ -181,7 +182,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, min_share
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, into which no item leaks; decided by text, so ids may be null or repeated."""
+    work = Scratch(docs.sparkSession)
     key = F.sha2(F.col(text_col).cast("string"), 256)
-    found = stored(leaks(docs.select(key.alias("doc_key"), F.col(text_col).alias("text")), benchmark, id_col="doc_key", **how).select("doc_key").distinct(), "leaks")
+    found = work.put(leaks(docs.select(key.alias("doc_key"), F.col(text_col).alias("text")), benchmark, id_col="doc_key", **how).select("doc_key").distinct(), "leaks")
     packed = docs.select(F.struct("*").alias("row"), key.alias("doc_key"))
-    return packed.join(found, "doc_key", "left_anti").select("row.*")
+    return small_join(packed, found, ["doc_key"], "left_anti").select("row.*")
