@@ -4,12 +4,14 @@ P(grade <= k) = sigmoid(theta_k - w.x): one weight vector over hashed text featu
 ordered thresholds (theta_0, then positive steps).  Features are the hashed distinct words of the whole text
 and its layout measures (shares of capitals, marks, digits, line ends and distinct words, mean word length),
 each in bands.  The fit is L-BFGS: every gradient is a Spark job over the stored sample, and only sums of the
-size of the weights reach the driver.
+size of the weights reach the driver.  Weights go only to the features that a screening by their own effect keeps
+(n / ln n of them for a sample of n rows), as thousands of indifferent words would otherwise drown the few that tell.
 
 Grades here are 0 for a low rating, 1 for a good but toxic text, 2 for a good and clean one.  A document is
 selected if P(grade >= ``min_grade``) reaches ``threshold``.
 
-The sample is bounded: at most about ``max_rows`` labelled rows, picked by a hash of their id.
+The sample is bounded: at most about ``max_rows`` labelled rows, picked by a hash of their id; an id counts with one
+text, and a text once.
 
 Defined results: a null text counts as empty; an empty text has layout features alone; labels with a null
 rating are not learned from, of several ratings of an id the lowest counts; without labels (or of one grade
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored, text_or_empty
+from strandloom.llm.common import Scratch, text_or_empty
 
 BUCKETS = 1 << 18
 
@@ -108,16 +110,20 @@ def _gradient(data: DataFrame, kept, weights: np.ndarray, thresholds: np.ndarray
     return sum(parts["loss"].to_pylist()), total("grad"), total("slope")
 
 
-def common_features(data: DataFrame, min_docs: int) -> np.ndarray:
-    """The hashed features that ``min_docs`` rows of the sample hold at least, in order."""
-    seen = data.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("f").toArrow()  # BUCKETS rows at most
-    return np.sort(seen["f"].to_numpy())
+def telling_features(data: DataFrame, min_docs: int) -> np.ndarray:
+    """The hashed features, in order, whose rows' mean grade differs most from the sample's, in standard errors: n /
+    ln n of those that ``min_docs`` rows hold at least."""
+    of = data.agg(F.count("*").alias("n"), F.avg("grade").alias("mean")).first()
+    seen = data.select(F.explode("features").alias("f"), "grade").groupBy("f").agg(F.count("*").alias("n"), F.avg("grade").alias("mean")).where(F.col("n") >= min_docs)
+    off = F.abs(F.col("mean") - of["mean"]) * F.sqrt("n")
+    size = int(of["n"] / max(1.0, np.log(of["n"])))
+    kept = seen.orderBy(F.desc(off), "f").limit(size).select("f").toArrow()  # fewer than the sample's rows
+    return np.sort(kept["f"].to_numpy())
 
 
 def fit(data: DataFrame, grades: int, ridge: float = 1.0, rounds: int = 30, memory: int = 8, min_docs: int = 5) -> Ordinal:
-    """``data``: features array<int>, grade int (0 to grades - 1), of a bounded sample.  Features in fewer than
-    ``min_docs`` rows get no weight: a text's own rare words would otherwise explain its grade."""
-    common = common_features(data, min_docs)
+    """``data``: features array<int>, grade int (0 to grades - 1; two grades at least occur), of a bounded sample."""
+    common = telling_features(data, min_docs)
     kept, size = data.sparkSession.sparkContext.broadcast(common), len(common)
 
     def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,10 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, grades: in
     picked = graded(labels.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share), id_col)
     # the sample's ids are bounded by max_rows, so they travel to the documents and not the other way
     rows = docs.select(id_col, text_or_empty(text_col).alias("__text")).join(F.broadcast(picked), id_col)
-    data = stored(rows.select(features(F.col("__text")).alias("features"), "grade").repartition(8), "graded")
+    body = F.xxhash64("__text")
+    one = rows.groupBy(id_col).agg(F.min_by("__text", body).alias("__text"), F.min("grade").alias("grade"))
+    once = one.groupBy(body.alias("__body")).agg(F.min("__text").alias("__text"), F.min("grade").alias("grade"))
+    work = Scratch(docs.sparkSession)
+    data = work.put(once.select(features(F.col("__text")).alias("features"), "grade").repartition(8), "graded")
     if data.select("grade").distinct().count() < 2:
         return None
-    return fit(data, grades)
+    model = fit(data, grades)
+    work.keep()
+    return model
 
 
 def score(docs: DataFrame, model: Ordinal | None, grades: int = 3, text_col: str = "text") -> Column:
@@ -197,7 +209,7 @@ def score(docs: DataFrame, model: Ordinal | None, grades: int = 3, text_col: str
     return of(features(text_or_empty(text_col)))
 
 
-def rate(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold: float = 0.3, grades: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def rate(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold: float = 0.5, grades: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row, expected_grade, tail_1.., and selected."""
     tails = docs.select(*keep, score(docs, model, grades, text_col).alias("__tails"))
     cols = [F.col("__tails")[k] for k in range(grades - 1)]
@@ -208,7 +220,7 @@ def rate(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold:
     return tails.select(*keep, expected.alias("expected_grade"), *(c.alias(f"tail_{k + 1}") for k, c in enumerate(cols)), chosen.alias("selected"))
 
 
-def select(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold: float = 0.3, grades: int = 3, text_col: str = "text") -> DataFrame:
+def select(docs: DataFrame, model: Ordinal | None, min_grade: int = 2, threshold: float = 0.5, grades: int = 3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier selects."""
     if model is None:
         return docs
