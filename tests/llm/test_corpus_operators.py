@@ -86,6 +86,30 @@ def test_members_that_only_sketches_put_near(spark, monkeypatch):
     assert got == brute(texts)
 
 
+def test_an_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(10))
+    rows = [(1, a), (1, b), (2, b + " t"), (3, a + " i"), (2, "alone here"), (4, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, 2).collect())
+    assert got == [(1, 9, 1), (1, 9, 1), (2, 1, 2), (2, 10, 1), (3, 10, 1), (4, 1, 2)]
+    one = near_dedup.one_of_each(df.withColumn("row", F.lit(1)).withColumn("body", F.lit(2)), 2)
+    assert sorted(r["text"] for r in one.collect()) == sorted([a, b, "alone here"])
+
+
+def test_left_over_members_meet_on_full_sets(spark, monkeypatch):
+    """Members far from both hubs of a bucket, with near copies among them, in blocks of few rows."""
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PEELS", 1)
+    rng = random.Random(7)
+    texts = []
+    for family in range(12):
+        words = [f"c{i}" for i in range(24)] + [f"f{family}x{i}" for i in range(26)]
+        rng.shuffle(words)
+        texts += [" ".join(edited(rng, words, 0.05)) for _ in range(5)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, texts), 2).collect())
+    assert got == brute(texts)
+
+
 def test_near_duplicates_odd_input(spark):
     assert near_dedup.near_duplicates(frame(spark, []), 2).count() == 0
     rows = spark.createDataFrame([(7, "a b c"), (7, "a b c"), (3, "a b c"), (None, "a b c"), (9, None)], "doc_id bigint, text string")
@@ -164,6 +188,18 @@ def test_nearest(spark, sf_dir):
     assert sum(len(set(got[q]) & set(v)) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
+def test_nearest_within_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=32)
+    rows = [base + rng.normal(size=32) * scale for scale in (0.001, 0.03) for _ in range(600)] + [rng.normal(size=32) for _ in range(1200)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 50 == 0, books=8, query_group=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = exact({i: [float(x) for x in v] for i, v in enumerate(rows)})
+    assert sum(len(set(got[q]) & set(v)) for q, v in want.items()) / sum(map(len, want.values())) >= 0.95
+
+
 def test_nearest_odd_input(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(1, 200)]
