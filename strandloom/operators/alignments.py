@@ -23,7 +23,7 @@ def measured(gaf: DataFrame) -> DataFrame:
 
 
 #: What the best row of a group carries; nodes follow from the path.
-CARRIED = ("path", "graph_class", "gene", "graph_id", "path_span", "identity", "coverage", "mapping_quality", "alignment_score", "normalized_score", "mismatches", "alignment_block_length")
+CARRIED = ("line_no", "path", "graph_class", "gene", "graph_id", "path_span", "identity", "coverage", "mapping_quality", "alignment_score", "normalized_score", "mismatches", "alignment_block_length")
 
 
 def best_alignment(rows: DataFrame, by: tuple[str, ...] = ("query_name",), carry: tuple[str, ...] = CARRIED) -> DataFrame:
@@ -68,7 +68,7 @@ def summary(prefix: Column | None = None) -> Column:
 
 def by_class(rows: DataFrame, keys: tuple[str, ...] = ("query_name",)) -> DataFrame:
     """One row a query: a summary struct of its best row in each class graph (null where it has none)."""
-    best = best_alignment(rows, (*keys, "graph_class")).withColumn("s", summary())
+    best = best_alignment(rows, (*keys, "graph_class"), carry=CARRIED[1:]).withColumn("s", summary())
     return best.groupBy(*keys).agg(*(F.max(F.when(F.col("graph_class") == k, F.col("s"))).alias(k) for k in CLASSES))
 
 

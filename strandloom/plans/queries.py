@@ -50,13 +50,13 @@ def gaf_tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def best_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = alignments.best_alignment(views.gaf(spark, sf_dir))
+    best = alignments.best_alignment(views.gaf(spark, sf_dir), carry=alignments.CARRIED[1:])
     return rounded(best.select("query_name", "path", "graph_class", "identity", "coverage", "normalized_score", "mapping_quality"), "identity", "coverage", "normalized_score")
 
 
 @registered
 def composite_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = alignments.best_alignment(views.gaf(spark, sf_dir))
+    best = alignments.best_alignment(views.gaf(spark, sf_dir), carry=("identity", "coverage", "mapping_quality", "normalized_score"))
     parts = best.select("query_name", al.score_breakdown(F.col("identity"), F.col("coverage"), F.col("mapping_quality"), F.col("normalized_score")).alias("b")).select("query_name", "b.*")
     return rounded(parts, *parts.columns[1:])
 
