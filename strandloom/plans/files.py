@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.operators import chaining, graphs, ml, sequences
-from strandloom.operators.loops import new_folder
+from strandloom.operators.loops import new_folder, table_of
 from strandloom.plans import views
 from strandloom.plans.queries import classified, features, judged, registered, rounded, walks
 from strandloom.sources import readers, writers
@@ -206,7 +206,7 @@ def anchor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def prediction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows with the label and probability that each of two linear models gives."""
-    f = features(spark, sf_dir)
+    f = table_of(features(spark, sf_dir), "features")
     models = {k: ml.train(ml.split_of(f, "train"), k) for k in ("logistic_regression", "svm")}
     return ml.prediction_records(models, ml.split_of(f, "test"))
 

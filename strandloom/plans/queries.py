@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignment as al
 from strandloom.functions.sequence import gene_from_reference, is_valid_dna, label_to_int, normalize_sequence, parse_header, wrapped
 from strandloom.operators import alignments, chaining, graphs, kmers, metrics, ml, sequences
+from strandloom.operators.loops import table_of
 from strandloom.plans import views
 from strandloom.sources.readers import parse_gaf
 
@@ -419,7 +420,7 @@ def distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir).persist()
+    f = table_of(features(spark, sf_dir), "features")
     models = {k: ml.train(ml.split_of(f, "train"), k) for k in ml.KINDS}
     test = judged(spark, sf_dir).where("split = 'test'").select(F.col("query_name").alias("sequence_id"), "gene", F.col("truth").alias("label_name"), F.col("label").alias("predicted"), F.col("score").alias("probability"))
     return ml.compare(models, ml.split_of(f, "test"), test)
@@ -427,17 +428,17 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir).persist()
+    f = table_of(features(spark, sf_dir), "features")
     return ml.predict(ml.train(ml.split_of(f, "train")), f)
 
 
 @registered
 def model_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir).persist()
+    f = table_of(features(spark, sf_dir), "features")
     return ml.contributions(ml.train(ml.split_of(f, "train"), "logistic_regression"), f)
 
 
 @registered
 def model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir).persist()
+    f = table_of(features(spark, sf_dir), "features")
     return ml.feature_importance(ml.train(ml.split_of(f, "train")), spark)
