@@ -23,11 +23,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from strandloom.llm.common import Scratch, small_join
 
@@ -38,7 +41,8 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles meter meters metre metres mg g kg gram grams kilogram kilograms oz lb lbs pound pounds ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kph w kw v hz".split())
 
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0xA5A5A5A500000001, 0xA5A5A5A500000002, 0xA5A5A5A500000003))
-_POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15 | 1, np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+CHUNK_TOKENS = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,87 +58,142 @@ class Lexicon(dict):
         self.kind = np.zeros(1 << 12, np.int8)  # 1 number, 2 unit, 4 capitalised
 
     def __missing__(self, token: str) -> int:
-        from xxhash import xxh64_intdigest
-
         low, n = token.lower(), len(self)
         if n == len(self.kind):
             self.literal, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.literal, self.kind))
-        number = any(c.isdigit() for c in token) or low in NUMBER_WORDS
+        number = low in NUMBER_WORDS or (not token.isalpha() and any(c.isdigit() for c in token))
         self.literal[n] = xxh64_intdigest(low.encode())
         self.kind[n] = number * 1 | (low in UNITS) * 2 | token[0].isupper() * 4
         self[token] = n
         return n
 
 
-def canonical(text: str, lexicon: Lexicon) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Tokens, their own hashes, and for the plain and the named form the tokens' hashes and whether each is a slot."""
-    tokens = TOKENS.findall(text)
-    at = np.fromiter(map(lexicon.__getitem__, tokens), np.int64, len(tokens))
+def canonical(lists: list[list[str]], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of several texts' tokens, one text after the other: where each text ends, the tokens' own hashes, and for the
+    plain and the named form the tokens' hashes and whether each is a slot."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    ends = np.cumsum(lengths)
+    at = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(lists)), np.int64, int(ends[-1]))
     literal, kind = lexicon.literal[at], lexicon.kind[at]
     number = (kind & 1) > 0
-    unit = ((kind & 2) > 0) & np.concatenate([[False], number[:-1]])[: len(kind)] & ~number
+    after = np.concatenate([[False], number[:-1]])[: len(kind)]
+    after[(ends - lengths)[lengths > 0]] = False
+    unit = ((kind & 2) > 0) & after & ~number
     plain = np.where(number, _NUM, np.where(unit, _UNIT, literal))
     name = ((kind & 4) > 0) & ~number & ~unit
-    return tokens, literal, [(plain, number | unit), (np.where(name, _NAME, plain), number | unit | name)]
+    return ends, literal, [(plain, number | unit), (np.where(name, _NAME, plain), number | unit | name)]
+
+
+@lru_cache(maxsize=4)
+def powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
+
+
+def rolled(x: np.ndarray, size: int) -> np.ndarray:
+    """The polynomial of every ``size`` values in a row, by differences of running sums (modulo 2 ** 64)."""
+    n = max(CHUNK_TOKENS, 1 << len(x).bit_length())
+    total = np.concatenate([[np.uint64(0)], np.cumsum(x * powers(_BASE, n)[: len(x)])])
+    return (total[size:] - total[:-size]) * powers(pow(_BASE, -1, 1 << 64), n)[: len(x) - size + 1]
 
 
 def windows(hashes: np.ndarray, slots: np.ndarray, values: np.ndarray, size: int, form: int) -> np.ndarray:
-    """Hash of each window."""
-    n = len(hashes) - size + 1
-    if n <= 0:
+    """Hash of each window; those that reach from one text into the next are for the caller to leave out."""
+    if len(hashes) < size:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(size * 4 + form))
-    for k in range(size):
-        out += hashes[k : k + n] * _POWERS[k]
+    out = rolled(hashes, size) + np.uint64(size * 4 + form)
     total = np.concatenate([[0], np.cumsum(~slots)])
     bare = np.flatnonzero(total[size:] == total[:-size])
     if len(bare):
-        out[bare] = np.uint64(size * 4 + 2) + (values[bare[:, None] + np.arange(size)] * _POWERS[:size]).sum(1, dtype=np.uint64)
+        out[bare] = np.uint64(size * 4 + 2) + rolled(values, size)[bare]
     return mix(out)
 
 
-def window_rows(df: DataFrame, keys: list[str], sizes: tuple[int, ...], own_size: bool, bitmap: np.ndarray | None) -> DataFrame:
-    """``keys`` and (window, form, size, pos, slots, n_tokens, literals, need) of every window, or of those in the
-    bitmap.
+def found_windows(lists: list[list[str]], lexicon: Lexicon, sizes: tuple[int, ...] | None, bitmap: np.ndarray | None) -> Iterator[tuple]:
+    """(text, form, size, place in the text, hash, slots, literals, need) of every window, or of those in the bitmap.
 
-    ``own_size``: only windows of WINDOW tokens, or one of all tokens if there are fewer, with the places of their
-    literals and the number of literals that an alignment of the form needs.
+    Without ``sizes``: only windows of WINDOW tokens, or one of all tokens if there are fewer, with the places of
+    their literals and the number of literals that an alignment of the form needs.
     """
+    ends, values, both = canonical(lists, lexicon)
+    lengths = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(len(lists)), lengths)
+    left = ends[text] - np.arange(len(text))  # tokens from here to the text's end
+    for size in sorted(set(np.minimum(lengths, WINDOW).tolist())) if sizes is None else sizes:
+        if size < LEAST or len(text) < size:
+            continue
+        fits = left >= size
+        if sizes is None:
+            fits &= np.minimum(lengths, WINDOW)[text] == size
+        for form, (h, slot) in enumerate(both):
+            here = fits
+            if form:  # a text without slots is as in the plain form
+                here = fits & (np.bincount(text[slot], minlength=len(lists)) > 0)[text]
+                if not here.any():
+                    continue
+            w = windows(h, slot, values, size, form)
+            here = here[: len(w)]
+            if bitmap is not None:
+                low = w & np.uint64(BITMAP_BITS - 1)
+                here = here & ((bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
+            for p in np.flatnonzero(here).tolist():
+                t = int(text[p])
+                begin, end = int(ends[t] - lengths[t]), int(ends[t])
+                held = [lists[t][p - begin + int(k)].lower() for k in np.flatnonzero(slot[p : p + size])]
+                if sizes is not None:
+                    yield t, form, size, p - begin, w[p], held, [], 0
+                else:
+                    words = int((~both[0][1][begin:end]).sum())
+                    yield t, form, size, p - begin, w[p], held, p - begin + np.flatnonzero(~slot[p : p + size]), min(LITERALS, max(int((~slot[begin:end]).sum()), -(-words // 2)))
+
+
+def chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Places and tokens of texts, by as many as hold CHUNK_TOKENS tokens, or one longer text."""
+    places, lists, held = [], [], 0
+    for i, text in enumerate(texts):
+        tokens = TOKENS.findall(text) if text else []
+        if lists and held + len(tokens) > CHUNK_TOKENS:
+            yield places, lists
+            places, lists, held = [], [], 0
+        if tokens:
+            places.append(i)
+            lists.append(tokens)
+            held += len(tokens)
+    if lists:
+        yield places, lists
+
+
+_LEXICON = Lexicon()
+
+
+def lexicon_of_worker() -> Lexicon:
+    """One lexicon for all tasks of a Python worker, begun anew when it has grown to a million tokens."""
+    global _LEXICON
+    if len(_LEXICON) > 1_000_000:
+        _LEXICON = Lexicon()
+    return _LEXICON
+
+
+def window_rows(df: DataFrame, keys: list[str], sizes: tuple[int, ...] | None, bitmap: np.ndarray | None) -> DataFrame:
+    """``keys`` and (window, form, size, pos, slots, n_tokens, literals, need) of every window, or of those in the
+    bitmap; ``sizes`` as in ``found_windows``."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
     names = ["window", "form", "size", "pos", "slots", "n_tokens", "literals", "need"]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, lexicon = shared.value, Lexicon()
+        bits = shared.value
         for b in batches:
-            if len(lexicon) > 1_000_000:
-                lexicon = Lexicon()
             row, hashed, forms, sized, pos, slots, length, literals, need = [], [], [], [], [], [], [], [], []
-            for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                if not text:
-                    continue
-                tokens, values, both = canonical(text, lexicon)
-                words = int((~both[0][1]).sum())
-                for size in (min(WINDOW, len(tokens)),) if own_size else sizes:
-                    if size < LEAST:
-                        continue
-                    for form, (h, slot) in enumerate(both):
-                        if form and not slot.any():
-                            continue  # as the plain form
-                        w = windows(h, slot, values, size, form if slot.any() else 0)
-                        good = np.ones(len(w), bool)
-                        if bits is not None and len(w):
-                            low = w & np.uint64(BITMAP_BITS - 1)
-                            good = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
-                        for p in np.flatnonzero(good).tolist():
-                            row.append(i)
-                            hashed.append(w[p])
-                            forms.append(form)
-                            sized.append(size)
-                            pos.append(p)
-                            slots.append([tokens[p + int(k)].lower() for k in np.flatnonzero(slot[p : p + size])])
-                            length.append(len(tokens))
-                            literals.append(p + np.flatnonzero(~slot[p : p + size]) if own_size else [])
-                            need.append(min(LITERALS, max(int((~slot).sum()), -(-words // 2))))
+            for places, lists in chunks(b.column(b.num_columns - 1).to_pylist()):
+                for t, form, size, p, w, held, where, needs in found_windows(lists, lexicon_of_worker(), sizes, bits):
+                    row.append(places[t])
+                    hashed.append(w)
+                    forms.append(form)
+                    sized.append(size)
+                    pos.append(p)
+                    slots.append(held)
+                    length.append(len(lists[t]))
+                    literals.append(where)
+                    need.append(needs)
             head = [c.take(pa.array(row, pa.int64())) for c in b.columns[:-1]]
             made = [pa.array(np.array(hashed, np.uint64).view(np.int64)), *(pa.array(x, pa.int32()) for x in (forms, sized, pos)), pa.array(slots, pa.list_(pa.string())), pa.array(length, pa.int32()), pa.array(literals, pa.list_(pa.int32())), pa.array(need, pa.int32())]
             yield pa.RecordBatch.from_arrays([*head, *made], [*b.schema.names[:-1], *names])
@@ -159,10 +218,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, min_share
     (whether some alignment has equal slot values)."""
     work = Scratch(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    wanted = work.put(window_rows(items, ["item"], (), True, None), "benchmark-windows")
+    wanted = work.put(window_rows(items, ["item"], None, None), "benchmark-windows")
     sizes = tuple(r["size"] for r in wanted.select("size").distinct().collect())  # WINDOW values at most
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.col(text_col).cast("string").alias("text"))
-    seen = window_rows(texts, ["doc", "body"], sizes, False, bitmap_of(wanted))
+    seen = window_rows(texts, ["doc", "body"], sizes, bitmap_of(wanted))
     seen = seen.select("doc", "body", "window", "size", F.col("form").alias("seen_form"), F.col("pos").alias("seen_pos"), F.col("slots").alias("seen_slots"))
     hits = seen.join(wanted, ["window", "size"]).where(F.size("slots") == F.size("seen_slots"))
     pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("seen_slots").alias("b"))
