@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, sharding, token_counts
+from strandloom.llm import ann, bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, rank_bpe, sharding, token_counts
 from strandloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -54,7 +54,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontaminate, op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op7_pii, op8_nearest, op9_byte_bpe, op10_token_counts)}
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontaminate, op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op7_pii, op8_nearest, op9_byte_bpe, op10_token_counts, op11_rank_bpe)}
 
 OP6_SQL = """
 WITH RECURSIVE w AS (
