@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, rank_bpe, runs, sharding, token_counts
+from strandloom.llm import ann, bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, rank_bpe, runs, sharding, spelling, token_counts
 from strandloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,11 +58,16 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents"))
+    return spelling.variants(found.select(spelling.without_one(F.col("run"), F.col("doc_id")).alias("word")))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontaminate, op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op7_pii, op8_nearest, op9_byte_bpe, op10_token_counts, op11_rank_bpe, op13_runs)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontaminate, op3_quality, op4_language_id, op5_sharding, op6_near_dedup, op7_pii, op8_nearest, op9_byte_bpe, op10_token_counts, op11_rank_bpe, op12_spelling, op13_runs)}
 
 OP6_SQL = """
 WITH RECURSIVE w AS (
