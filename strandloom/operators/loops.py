@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did (a cluster ships it with --py-files)."""
+    env = spark.sparkContext.environment
+    path = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if ROOT not in path:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *path])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where there is none, a local session gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,3 +59,44 @@ def fingerprint(df: DataFrame, *cols: str) -> tuple:
     h = F.xxhash64(*cols)
     r = df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum((h % 1_000_003).cast("bigint")).alias("s")).first()
     return r["n"], r["x"], r["s"]
+
+
+#: Rows of narrow tables (keys and numbers) that may be broadcast: some 100 MB in memory at worst.
+BROADCAST_ROWS = 1_000_000
+
+
+class Scratch:
+    """Intermediate tables of one operator: Parquet in the shared folder, deleted after their last use.  A table cuts
+    the lineage, outlives executors, and keeps column pruning for what reads it."""
+
+    def __init__(self, spark: SparkSession):
+        importable(spark)
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written once and read again."""
+        path = new_folder(self.spark, label)
+        df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((read, path))
+        return read
+
+    def drop(self, *gone: DataFrame) -> None:
+        """Deletes tables that nothing reads from now on."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        for _, path in [t for t in self.tables if any(t[0] is g for g in gone)]:
+            where = fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.tables = [t for t in self.tables if all(t[0] is not g for g in gone)]
+
+    def keep(self, *kept: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.drop(*(t for t, _ in self.tables if all(t is not k for k in kept)))
+
+
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``left`` joined with the stored table ``right``, broadcast if it has ``limit`` rows at most (they are counted), met
+    by a shuffle of both sides otherwise."""
+    small = right.limit(limit + 1).count() <= limit
+    return left.join(F.broadcast(right) if small else right, on, how)

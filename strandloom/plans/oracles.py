@@ -175,6 +175,27 @@ METRICS = "round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 9) AS ac
 
 KMERS = "SELECT gene, label, unnest(list_transform(range(1, len(sequence) - {k} + 2), lambda i: substr(sequence, i, {k}))) AS kmer FROM seq WHERE len(sequence) >= {k}"
 
+
+def _doubled(name: str, rounds: int) -> str:
+    """``name``0 (id, pred, step, low) after so many rounds of pointer doubling; a path's first node is its own pred."""
+    return ", ".join(f"{name}{r} AS MATERIALIZED (SELECT x.id, y.pred, x.step + y.step AS step, least(x.low, y.low) AS low FROM {name}{r - 1} x JOIN {name}{r - 1} y ON y.id = x.pred)" for r in range(1, rounds + 1))
+
+
+# The graph of 31-mers of each gene's kept sequences: spot (id, head, step) places every k-mer in its segment.
+UNITIGS = f"""
+k1 AS (SELECT DISTINCT gene, unnest(list_transform(range(1, len(sequence) - 29), lambda i: substr(sequence, i, 31))) AS node FROM kept WHERE len(sequence) >= 31),
+kn AS MATERIALIZED (SELECT gene, node, row_number() OVER (ORDER BY gene, node) AS id FROM k1 WHERE regexp_full_match(node, '[ACGTN]+')),
+k2 AS (SELECT DISTINCT gene, unnest(list_transform(range(1, len(sequence) - 30), lambda i: substr(sequence, i, 32))) AS pair FROM kept WHERE len(sequence) >= 32),
+ke AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM k2 JOIN kn a ON a.gene = k2.gene AND a.node = k2.pair[1:31] JOIN kn b ON b.gene = k2.gene AND b.node = k2.pair[2:32]),
+un AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, count(*) OVER (PARTITION BY a) AS o, count(*) OVER (PARTITION BY b) AS i FROM ke) WHERE o = 1 AND i = 1 AND a <> b),
+pt0 AS MATERIALIZED (SELECT id, coalesce(a, id) AS pred, CAST(a IS NOT NULL AS BIGINT) AS step, least(id, coalesce(a, id)) AS low FROM kn LEFT JOIN un ON b = id),
+{_doubled("pt", 15)},
+ring AS MATERIALIZED (SELECT id, low FROM pt15 WHERE pred IN (SELECT b FROM un)),
+qt0 AS MATERIALIZED (SELECT id, CASE WHEN id = low THEN id ELSE a END AS pred, CAST(id <> low AS BIGINT) AS step, low FROM ring JOIN un ON b = id),
+{_doubled("qt", 15)},
+spot AS MATERIALIZED (SELECT id, pred AS head, step FROM pt15 WHERE id NOT IN (SELECT id FROM ring) UNION ALL SELECT id, pred, step FROM qt15)"""
+
+
 ORACLES: dict[str, str] = {
     "alignment_rollup": f"""WITH {GAF}, {QUERY}, b AS (SELECT * FROM (SELECT *, {BEST.format(by="query_name")} AS r FROM m) WHERE r = 1)
       SELECT coalesce(qry.gene, 'ALL') AS gene, count(*) AS queries, count(b.identity) AS aligned, round(count(b.identity) / count(*), 9) AS alignment_rate, round(coalesce(avg(identity), 0), 9) AS mean_identity,
@@ -241,6 +262,11 @@ ORACLES: dict[str, str] = {
       SELECT sequence_id, CAST(len(l) AS INTEGER) AS lines, md5(array_to_string(l, chr(10))) AS digest FROM w""",
     "kmer_counts": f"WITH {SEQ}, k AS ({KMERS.format(k=31)}) SELECT gene, label, kmer, count(*) AS n FROM k GROUP BY ALL",
     "kmer_edges": f"WITH {SEQ}, k AS ({KMERS.format(k=32)}) SELECT gene, label, kmer[1:31] AS src, kmer[2:32] AS dst, count(*) AS n FROM k GROUP BY ALL",
+    "unitigs": f"""WITH {SEQ}, {UNITIGS}, sg AS (SELECT h.gene, h.node, string_agg(CASE WHEN step = 0 THEN n.node ELSE right(n.node, 1) END, '' ORDER BY step) AS sequence
+      FROM spot JOIN kn n ON n.id = spot.id JOIN kn h ON h.id = spot.head GROUP BY h.gene, h.node)
+      SELECT gene, node, CAST(len(sequence) AS INTEGER) AS length, md5(sequence) AS digest FROM sg""",
+    "unitig_links": f"""WITH {SEQ}, {UNITIGS} SELECT DISTINCT h.gene, h.node AS src, g.node AS dst FROM ke JOIN spot x ON x.id = ke.a JOIN spot y ON y.id = ke.b JOIN kn h ON h.id = x.head JOIN kn g ON g.id = y.head
+      WHERE NOT (x.head = y.head AND y.step = x.step + 1)""",
     "seed_hits": f"""WITH {SEQ}, k AS (SELECT gene, label, sequence_id, unnest(list_transform(range(1, len(sequence) - 29), lambda i: substr(sequence, i, 31))) AS kmer FROM kept WHERE len(sequence) >= 31)
       SELECT g.gene, lower(g.label) AS graph_class, k.sequence_id, g.sequence_id AS node, count(*) AS hits FROM k JOIN k g USING (gene, kmer) GROUP BY ALL""",
     "edge_collapse": f"WITH {LINKS} SELECT graph_id, src, dst, src_orient, dst_orient FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY line_no DESC, src_orient DESC, dst_orient DESC) AS r FROM ln) WHERE r = 1",

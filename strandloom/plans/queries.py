@@ -11,6 +11,7 @@ from strandloom.functions import alignment as al
 from strandloom.functions.sequence import gene_from_reference, is_valid_dna, label_to_int, normalize_sequence, parse_header, wrapped
 from strandloom.operators import alignments, chaining, graphs, kmers, metrics, ml, sequences
 from strandloom.operators.loops import table_of
+from strandloom.operators.sequence_graph import build_sequence_graph
 from strandloom.plans import views
 from strandloom.sources.readers import parse_gaf
 
@@ -247,12 +248,20 @@ def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("gene", "graph_class", "sequence_id", "node").agg(F.count("*").alias("hits"))
 
 
+def sequence_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(segments, links) of each language's k-mer graph of distinct documents."""
+    s = sequences.dedup_first(sequences.valid(views.sequences(spark, sf_dir)))
+    return build_sequence_graph(s.select("gene", F.lit("combined").alias("graph_class"), "sequence"))
+
+
 @registered
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of each language's k-mer graph of distinct documents."""
-    s = sequences.dedup_first(sequences.valid(views.sequences(spark, sf_dir))).withColumn("graph_class", F.lit("combined"))
-    segments, _ = kmers.build_sequence_graph(s)
-    return segments.select("gene", "node", "length", F.md5("sequence").alias("digest"))
+    return sequence_graphs(spark, sf_dir)[0].select("gene", "node", "length", F.md5("sequence").alias("digest"))
+
+
+@registered
+def unitig_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_graphs(spark, sf_dir)[1].select("gene", "src", "dst")
 
 
 # ---- graphs
