@@ -186,7 +186,7 @@ UNITIGS = f"""
 k1 AS (SELECT DISTINCT gene, unnest(list_transform(range(1, len(sequence) - 29), lambda i: substr(sequence, i, 31))) AS node FROM kept WHERE len(sequence) >= 31),
 kn AS MATERIALIZED (SELECT gene, node, row_number() OVER (ORDER BY gene, node) AS id FROM k1 WHERE regexp_full_match(node, '[ACGTN]+')),
 k2 AS (SELECT DISTINCT gene, unnest(list_transform(range(1, len(sequence) - 30), lambda i: substr(sequence, i, 32))) AS pair FROM kept WHERE len(sequence) >= 32),
-ke AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM k2 JOIN kn a ON a.gene = k2.gene AND a.node = k2.pair[1:31] JOIN kn b ON b.gene = k2.gene AND b.node = k2.pair[2:32]),
+ke AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM k2 JOIN kn a ON a.gene || a.node = k2.gene || k2.pair[1:31] JOIN kn b ON b.gene || b.node = k2.gene || k2.pair[2:32]),
 un AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, count(*) OVER (PARTITION BY a) AS o, count(*) OVER (PARTITION BY b) AS i FROM ke) WHERE o = 1 AND i = 1 AND a <> b),
 pt0 AS MATERIALIZED (SELECT id, coalesce(a, id) AS pred, CAST(a IS NOT NULL AS BIGINT) AS step, least(id, coalesce(a, id)) AS low FROM kn LEFT JOIN un ON b = id),
 {_doubled("pt", 15)},
