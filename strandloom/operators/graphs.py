@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.operators.loops import cut, fingerprint, table_of
+from strandloom.operators import splice
+from strandloom.operators.loops import Scratch, cut, fingerprint, table_of
 
 EDGE = ["graph_id", "src", "dst"]
 NODE = ["graph_id", "node"]
@@ -93,9 +94,18 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds
     return nodes.select(*NODE).join(star.select(g, F.col("hi").alias("node"), "lo"), NODE, "left").select(*NODE, F.coalesce("lo", "node").alias("component"))
 
 
+#: Rounds of plain expansion or peeling before a graph counts as deep and its paths are contracted.
+SHALLOW = 8
+
+
 def hop_distance(edges: DataFrame, sources: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
     """(graph_id, src, dst, hops): least number of edges from each source (all nodes unless given), itself at 0;
-    pairs without a path have no row.  A round extends only the pairs found in the one before."""
+    pairs without a path have no row.  A round extends only the pairs found in the one before.
+
+    Graphs that eight rounds do not settle are contracted first: unbranched paths and bubbles become weighted edges,
+    rounds run over what is left, and distances to and from the nodes taken out follow from those of the nodes
+    beside them.
+    """
     start = (edge_nodes(edges) if sources is None else sources).select("graph_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops")).distinct()
     step = cut(edges.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("next")).distinct())
     known = delta = cut(start)
@@ -107,9 +117,40 @@ def hop_distance(edges: DataFrame, sources: DataFrame | None = None, max_hops: i
         if delta.isEmpty():
             break
         known = cut(known.unionByName(delta)) if hops % 8 == 0 else known.unionByName(delta)
+        if hops == SHALLOW and (max_hops is None or max_hops > 4 * SHALLOW):
+            return _deep_hops(step.select("graph_id", F.col("dst").alias("src"), F.col("next").alias("dst")), start.select("graph_id", F.col("src").alias("node")), sources is None, max_hops)
     return known
 
 
+def _deep_hops(edges: DataFrame, sources: DataFrame, every: bool, max_hops: int | None) -> DataFrame:
+    """``hop_distance`` over contracted graphs; ``sources`` stay, unless they are all nodes (``every``)."""
+    g, work = "graph_id", Scratch(edges.sparkSession)
+    weighted = work.put(edges.where("src <> dst").select(*EDGE, F.lit(1).cast("bigint").alias("weight")), "weighted")
+    taken, left = splice.levels(weighted, work, None if every else sources)
+    start = sources
+    for t in taken if every else []:
+        start = start.join(t.select(*NODE), NODE, "left_anti")
+    known = work.put(start.select(g, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("bigint").alias("hops")), "known")
+    delta = known
+    while not delta.isEmpty():  # a round sends on the distances that the last one lowered
+        offers = delta.join(left.select(g, F.col("src").alias("dst"), F.col("dst").alias("next"), "weight"), [g, "dst"]).groupBy(g, "src", F.col("next").alias("dst")).agg(F.min(F.col("hops") + F.col("weight")).alias("offer"))
+        if max_hops is not None:
+            offers = offers.where(F.col("offer") <= max_hops)
+        new = work.put(known.join(offers, EDGE, "full_outer").select(*EDGE, F.least("hops", "offer").alias("hops"), (F.col("offer") < F.coalesce("hops", F.lit(1 << 62))).alias("moved")), "known")
+        known, delta = new.drop("moved"), new.where("moved").drop("moved")
+    for t in reversed(taken):  # each level's nodes from the nodes beside their paths
+        enter = t.select(g, F.col("before").alias("dst"), F.col("node").alias("inner"), "off")
+        reached = known.unionByName(known.join(enter, [g, "dst"]).select(g, "src", F.col("inner").alias("dst"), (F.col("hops") + F.col("off")).alias("hops")))
+        if every:
+            leave = t.select(g, F.col("after").alias("src"), F.col("node").alias("inner"), "tail")
+            ahead = t.select(g, "first", F.col("node").alias("src"), F.col("off").alias("a")).join(t.select(g, "first", F.col("node").alias("dst"), F.col("off").alias("b")), [g, "first"]).where("a <= b").select(*EDGE, (F.col("b") - F.col("a")).alias("hops"))
+            reached = reached.unionByName(reached.join(leave, [g, "src"]).select(g, F.col("inner").alias("src"), "dst", (F.col("hops") + F.col("tail")).alias("hops"))).unionByName(ahead)
+            reached = reached.groupBy(*EDGE).agg(F.min("hops").alias("hops"))
+        known = work.put(reached if max_hops is None else reached.where(F.col("hops") <= max_hops), "known")
+    work.keep(known)
+    return known.withColumn("hops", F.col("hops").cast("int"))
+
+
 def reachability(edges: DataFrame, sources: DataFrame | None = None, reflexive: bool = True) -> DataFrame:
     """(graph_id, src, dst) of reachable pairs; without ``reflexive``, a node's own pair needs a cycle."""
     pairs = hop_distance(edges, sources)
@@ -119,59 +160,82 @@ def reachability(edges: DataFrame, sources: DataFrame | None = None, reflexive:
     return onward.join(pairs, ["graph_id", "src"]).select("graph_id", F.col("first").alias("src"), "dst").distinct()
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(graph_id, node, scc): scc is the smallest node of the component.
 
-    Rounds of forward and backward colours: every node takes the smallest colour that reaches it; a node is in
-    the component of its colour if it reaches the colour's node in turn, within that colour.  Settled nodes
-    leave, with nodes that no edge enters or none leaves, and the rest is coloured anew.
+    A round trims nodes that no edge enters or none leaves; then every node points at one node before it (at one that
+    it also leads to, if any), and the circles of these pointers, all at once, become single nodes.  Where rounds go
+    on, unbranched paths and bubbles are spliced too.  A spliced node belongs to a component if the nodes on both sides
+    of its path do, which is read back in the end, last round first.  Each round takes out nodes of every part that is
+    left, so it needs no bound.
     """
     nodes = edge_nodes(edges) if nodes is None else nodes
-    left = cut(edges.where("src <> dst").select(*EDGE).distinct())
-    found = []
-    for _ in range(max_rounds):
-        left = _trimmed(left)
+    g, work = "graph_id", Scratch(edges.sparkSession)
+    left = work.put(edges.where("src <> dst").select(*EDGE, F.lit(1).cast("bigint").alias("weight")).distinct(), "left")
+    undo, turn = [], 0
+    while True:
+        left = _trimmed(left, work)
         if left.isEmpty():
             break
-        colour = _least_label(left, edge_nodes(left).withColumn("label", F.col("node")))
-        a = colour.select("graph_id", F.col("node").alias("src"), F.col("label").alias("ls"))
-        b = colour.select("graph_id", F.col("node").alias("dst"), F.col("label").alias("ld"))
-        inside = cut(left.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).where("ls = ld").select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("ls").alias("label")))
-        roots = colour.where("node = label").select(*NODE)
-        back = hop_distance(inside, roots).select("graph_id", F.col("src").alias("scc"), F.col("dst").alias("node"))
-        settled = cut(back)
-        found.append(settled)
-        ends = settled.select(*NODE)
-        left = cut(left.join(ends.select("graph_id", F.col("node").alias("src")), ["graph_id", "src"], "left_anti").join(ends.select("graph_id", F.col("node").alias("dst")), ["graph_id", "dst"], "left_anti").select(*EDGE))
-    else:
-        raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
-    if not found:
+        turn += 1
+        if turn > 2 and (level := splice.splice(left, work)) is not None:
+            undo.append(level.spliced.select(*NODE, "before", "after"))
+            left = level.edges
+            if level.circles is not None:  # a component of its own
+                undo.append(level.circles.where("node <> low").select(*NODE, F.col("low").alias("before"), F.col("low").alias("after")))
+                left = left.join(level.circles.select(g, F.col("node").alias("src")), [g, "src"], "left_anti")
+            left = work.put(left.where("src <> dst"), "left")
+            continue
+        merged = _pointer_circles(left, work, turn)
+        undo.append(merged.select(*NODE, F.col("low").alias("before"), F.col("low").alias("after")))
+        name = lambda end: merged.select(g, F.col("node").alias(end), F.col("low").alias(f"{end}_low"))
+        moved = left.join(name("src"), [g, "src"], "left").join(name("dst"), [g, "dst"], "left").select(g, F.coalesce("src_low", "src").alias("src"), F.coalesce("dst_low", "dst").alias("dst"), F.lit(1).cast("bigint").alias("weight"))
+        left = work.put(moved.where("src <> dst").distinct(), "left")
+    # names of components by node, for nodes that were merged or spliced; the rest stand for themselves
+    found = None
+    for u in reversed(undo):
+        if found is None:
+            found = work.put(u.where("before = after").select(*NODE, F.col("before").alias("scc")), "found")
+            continue
+        side = lambda end, name: found.select(g, F.col("node").alias(end), F.col("scc").alias(name))  # noqa: B023, E731
+        both = u.join(side("before", "a"), [g, "before"], "left").join(side("after", "b"), [g, "after"], "left").select(*NODE, F.coalesce("a", "before").alias("a"), F.coalesce("b", "after").alias("b"))
+        found = work.put(found.unionByName(both.where("a = b").select(*NODE, F.col("a").alias("scc"))), "found")
+    if found is None:
         return nodes.select(*NODE, F.col("node").alias("scc"))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return nodes.select(*NODE).join(every, NODE, "left").select(*NODE, F.coalesce("scc", "node").alias("scc"))
+    least = found.groupBy(g, "scc").agg(F.min("node").alias("m")).select(g, "scc", F.least("m", "scc").alias("least"))
+    named = work.put(found.join(least, [g, "scc"]).select(*NODE, "least").unionByName(least.select(g, F.col("scc").alias("node"), "least")), "named")
+    work.keep(named)
+    return nodes.select(*NODE).join(named, NODE, "left").select(*NODE, F.coalesce("least", "node").alias("scc"))
 
 
-def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
+def _trimmed(edges: DataFrame, work: Scratch, rounds: int = 2) -> DataFrame:
     """``edges`` less those at nodes that no edge enters or none leaves, a few layers deep."""
     for _ in range(rounds):
         into = edges.select("graph_id", F.col("dst").alias("src")).distinct()
         out = edges.select("graph_id", F.col("src").alias("dst")).distinct()
-        edges = cut(edges.join(into, ["graph_id", "src"], "left_semi").join(out, ["graph_id", "dst"], "left_semi").select(*EDGE))
+        edges = work.put(edges.join(into, ["graph_id", "src"], "left_semi").join(out, ["graph_id", "dst"], "left_semi").select(*EDGE, "weight"), "left")
     return edges
 
 
-def _least_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(graph_id, node, label): the least label among the nodes that reach a node."""
-    state = changed = cut(labels.select(*NODE, "label"))
+def _pointer_circles(edges: DataFrame, work: Scratch, turn: int) -> DataFrame:
+    """(graph_id, node, low) of the nodes of circles, other than the least of each, among one pointer a node.  Where the
+    ends of pointers of length n and of length 2 n are the same set, all of them are on circles."""
+    g = "graph_id"
+    back = edges.select(g, F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("far"))
+    choice = F.min(F.struct(F.coalesce("far", F.lit(1)), F.xxhash64("src", F.lit(turn)), F.col("src"))).alias("c")
+    at = edges.join(back, EDGE, "left").groupBy(g, F.col("dst").alias("node")).agg(choice).select(*NODE, F.col("c.src").alias("to"))
+    # a node that no edge enters has no pointer, and pointers that end there leave
+    at = work.put(at.select(*NODE, "to", F.least("node", "to").alias("low")), "pointers")
+    ends = -1
     while True:
-        sent = edges.join(changed.select("graph_id", F.col("node").alias("src"), "label"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        new = cut(state.join(sent, NODE, "left").select(*NODE, F.least("label", F.coalesce("new", "label")).alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("moved")))
-        changed = new.where("moved")
-        state = new.drop("moved")
-        if changed.isEmpty():
-            return state
+        ahead = at.select(g, F.col("node").alias("to"), F.col("to").alias("further"), F.col("low").alias("other"))
+        at = work.put(at.join(ahead, [g, "to"]).select(*NODE, F.col("further").alias("to"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("moved")), "pointers")
+        n = at.select(g, "to").distinct().count()
+        if n == ends and at.where("moved").isEmpty():
+            break
+        ends = n
+    on = at.select(g, F.col("to").alias("node")).distinct()
+    return work.put(at.join(on, NODE, "left_semi").where("node <> low").select(*NODE, "low"), "circles")
 
 
 def cyclic_nodes(scc: DataFrame, edges: DataFrame) -> DataFrame:
@@ -224,26 +288,48 @@ def to_dag(edges: DataFrame) -> DataFrame:
 
 def topological_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(graph_id, node, layer, is_dag): layer is the most edges on a path that ends in the node.  Nodes of graphs
-    with a cycle have layer 0, so that (layer, node) is the order by name there.  Peels nodes that no edge enters."""
-    nodes = cut(edge_nodes(edges) if nodes is None else nodes.select(*NODE).distinct())
-    left, rest = cut(edges.select(*EDGE).distinct()), nodes
-    layers, layer = [], 0
+    with a cycle have layer 0, so that (layer, node) is the order by name there.
+
+    Peels nodes that no edge enters.  What eight rounds leave is contracted first, with the longest of parallel paths
+    as weight, and peeled by weights; layers of the nodes taken out follow from those before them.
+    """
+    g, work = "graph_id", Scratch(edges.sparkSession)
+    nodes = work.put(edge_nodes(edges) if nodes is None else nodes.select(*NODE).distinct(), "nodes")
+    left = work.put(edges.select(*EDGE, F.lit(1).cast("bigint").alias("weight")).distinct(), "left")
+    state = work.put(nodes.withColumn("layer", F.lit(0).cast("bigint")), "state")  # the layer as far as known
+    rest, peeled, taken, turn = state, [], [], 0
     while True:
-        entered = left.select("graph_id", F.col("dst").alias("node")).distinct()
-        free = cut(rest.join(entered, NODE, "left_anti").withColumn("layer", F.lit(layer)))
+        entered = left.select(g, F.col("dst").alias("node")).distinct()
+        free = work.put(rest.join(entered, NODE, "left_anti"), "free")
         if free.isEmpty():
             break
-        layers.append(free)
-        gone = free.select(*NODE)
-        rest = cut(rest.join(gone, NODE, "left_anti"))
-        left = cut(left.join(gone.select("graph_id", F.col("node").alias("src")), ["graph_id", "src"], "left_anti").select(*EDGE))
-        layer += 1
-    peeled = nodes.withColumn("layer", F.lit(0)).limit(0)
-    for x in layers:
-        peeled = peeled.unionByName(x)
-    cyclic = rest.select("graph_id").distinct().withColumn("cyclic", F.lit(True))
-    out = peeled.unionByName(rest.withColumn("layer", F.lit(0))).join(cyclic, "graph_id", "left")
-    return out.select(*NODE, F.when(F.col("cyclic"), 0).otherwise(F.col("layer")).alias("layer"), F.col("cyclic").isNull().alias("is_dag"))
+        peeled.append(free)
+        gone = left.join(free.select(g, F.col("node").alias("src"), "layer"), [g, "src"])
+        raised = gone.groupBy(g, F.col("dst").alias("node")).agg(F.max(F.col("layer") + F.col("weight")).alias("offer"))
+        rest = work.put(rest.join(free.select(*NODE), NODE, "left_anti").join(raised, NODE, "left").select(*NODE, F.greatest("layer", F.coalesce("offer", "layer")).alias("layer")), "rest")
+        left = work.put(left.join(free.select(g, F.col("node").alias("src")), [g, "src"], "left_anti"), "left")
+        turn += 1
+        if turn == SHALLOW and not left.isEmpty():
+            # nodes that a peeled node led to keep what it gave them, so they stay
+            taken, left = splice.levels(left, work, rest.where("layer > 0"), best=F.max)
+            for t in taken:
+                rest = rest.join(t.select(*NODE), NODE, "left_anti")
+            rest = work.put(rest, "rest")
+    placed = peeled[0] if peeled else rest.limit(0)
+    for x in peeled[1:]:
+        placed = placed.unionByName(x)
+    placed, cyclic = work.put(placed, "placed"), [rest.select(g)]
+    for t in reversed(taken):
+        inner = t.join(placed.select(g, F.col("node").alias("before"), "layer"), [g, "before"], "left")
+        cyclic.append(inner.where("layer is null").select(g))
+        placed = work.put(placed.unionByName(inner.where("layer is not null").select(*NODE, (F.col("layer") + F.col("off")).alias("layer"))), "placed")
+    bad = cyclic[0]
+    for c in cyclic[1:]:
+        bad = bad.unionByName(c)
+    bad = bad.distinct().withColumn("cyclic", F.lit(True))
+    out = work.put(nodes.join(placed, NODE, "left").join(bad, g, "left").select(*NODE, F.when(F.col("cyclic"), 0).otherwise(F.col("layer")).cast("int").alias("layer"), F.col("cyclic").isNull().alias("is_dag")), "order")
+    work.keep(out)
+    return out
 
 
 def path_cover(dag: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -294,18 +380,35 @@ def add_cycles(edges: DataFrame) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(graph_id, src, dst, path): a path of fewest edges (of ``max_hops`` at most, if given) for each wanted pair that
-    has one, the least by names."""
-    step = cut(edges.select("graph_id", F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
-    front = cut(pairs.select("graph_id", "src").distinct().select("graph_id", "src", F.col("src").alias("at"), F.array("src").alias("path")))
-    known, hops = front, 0
+    has one, the least by names.
+
+    Rounds go back from each dst and note for every node reached the least of the nodes after it (one pointer a node
+    and dst), until all of the dst's sources are found; the paths are then read off the pointers from their sources.
+    """
+    g, work = "graph_id", Scratch(edges.sparkSession)
+    want = work.put(pairs.select(*EDGE).distinct(), "want")
+    back = work.put(edges.select(g, F.col("dst").alias("node"), F.col("src").alias("prior")).distinct(), "back")
+    known = front = work.put(want.select(g, "dst", F.col("dst").alias("node"), F.col("dst").alias("next")).distinct(), "front")
+    hops, open_ = 0, want.where("src <> dst")
     while max_hops is None or hops < max_hops:
         hops += 1
-        new = front.join(step, ["graph_id", "at"]).groupBy("graph_id", "src", F.col("next").alias("at")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-        front = cut(new.join(known, ["graph_id", "src", "at"], "left_anti"))
+        front = front.join(open_.select(g, "dst").distinct(), [g, "dst"], "left_semi")
+        new = front.join(back, [g, "node"]).groupBy(g, "dst", F.col("prior").alias("node")).agg(F.min("node").alias("next"))
+        front = work.put(new.join(known, [g, "dst", "node"], "left_anti"), "front")
         if front.isEmpty():
             break
         known = known.unionByName(front)
-    return pairs.join(known.withColumnRenamed("at", "dst"), EDGE).select(*EDGE, "path")
+        known = work.put(known, "known") if hops % SHALLOW == 0 else known
+        open_ = work.put(open_.join(front.select(g, "dst", F.col("node").alias("src")), EDGE, "left_anti"), "open")
+    at = work.put(want.join(known.select(g, "dst", F.col("node").alias("src")), EDGE, "left_semi").select(*EDGE, F.col("src").alias("node"), F.lit(0).alias("pos")), "walk")
+    walked = at
+    while not at.isEmpty():
+        at = work.put(at.where("node <> dst").join(known, [g, "dst", "node"]).select(*EDGE, F.col("next").alias("node"), (F.col("pos") + 1).alias("pos")), "walk")
+        walked = walked.unionByName(at)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"])
+    paths = work.put(walked.groupBy(*EDGE).agg(names.alias("path")), "paths")
+    work.keep(paths)
+    return pairs.join(paths, EDGE).select(*EDGE, "path")
 
 
 def representative_nodes(edges: DataFrame, limit: int = 18, hubs: int = 6) -> DataFrame:
