@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import alignment as al
 from strandloom.functions.sequence import gene_from_reference, is_valid_dna, label_to_int, normalize_sequence, parse_header, wrapped
-from strandloom.operators import alignments, chaining, graphs, kmers, metrics, ml, sequences
+from strandloom.operators import alignments, chain_pass, chaining, graphs, kmers, metrics, ml, sequences
 from strandloom.operators.loops import table_of
 from strandloom.operators.sequence_graph import build_sequence_graph
 from strandloom.plans import views
@@ -358,12 +358,15 @@ def path_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- chaining
 
 
+def mini_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hops, cyclic nodes, lengths) of the fixed graph (node length 4)."""
+    mini = views.mini_graph(spark)
+    return graphs.hop_distance(mini).drop("graph_id"), graphs.cyclic_nodes(graphs.strong_components(mini), mini).select("node"), graphs.edge_nodes(mini).select("node", F.lit(4).alias("length"))
+
+
 def chain_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Anchors, and their precedence pairs with gaps, on the fixed graph (node length 4)."""
-    mini, a = views.mini_graph(spark), views.anchors(spark, sf_dir)
-    hops = graphs.hop_distance(mini).drop("graph_id")
-    loops = graphs.cyclic_nodes(graphs.strong_components(mini), mini).select("node")
-    lengths = graphs.edge_nodes(mini).select("node", F.lit(4).alias("length"))
+    """Anchors, and their precedence pairs with gaps, on the fixed graph."""
+    a, (hops, loops, lengths) = views.anchors(spark, sf_dir), mini_tables(spark)
     return a, chaining.gap_cost(chaining.precedes(a, hops, loops), hops, lengths)
 
 
@@ -379,20 +382,18 @@ def gap_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def chain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, pairs = chain_inputs(spark, sf_dir)
-    return chaining.chain_scores(a, pairs).select("query_id", "anchor_id", "score")
+    return chain_pass.chained(views.anchors(spark, sf_dir), *mini_tables(spark)).select("query_id", "anchor_id", "score")
 
 
 @registered
 def best_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, pairs = chain_inputs(spark, sf_dir)
-    return chaining.best_chain(chaining.chain_scores(a, pairs))
+    return chain_pass.best_chain(chain_pass.chained(views.anchors(spark, sf_dir), *mini_tables(spark)))
 
 
 @registered
 def chain_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, pairs = chain_inputs(spark, sf_dir)
-    return chaining.chain_gaps(chaining.best_chain(chaining.chain_scores(a, pairs)), pairs)
+    a, (hops, loops, lengths) = views.anchors(spark, sf_dir), mini_tables(spark)
+    return chain_pass.chain_gaps(chain_pass.best_chain(chain_pass.chained(a, hops, loops, lengths)), a, hops, lengths)
 
 
 @registered
