@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignment as al
 from strandloom.functions.sequence import gene_from_reference, is_valid_dna, label_to_int, normalize_sequence, parse_header, wrapped
 from strandloom.operators import alignments, chain_pass, chaining, graphs, kmers, metrics, ml, sequences
+from strandloom.operators.graph_alignment import align_to_graph
 from strandloom.operators.loops import table_of
 from strandloom.operators.sequence_graph import build_sequence_graph
 from strandloom.plans import views
@@ -264,6 +265,15 @@ def unitig_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_graphs(spark, sf_dir)[1].select("gene", "src", "dst")
 
 
+@registered
+def graph_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out sequences aligned to the graph of their gene, built from the other ones."""
+    s = table_of(split(spark, sf_dir), "split")
+    segments, links = build_sequence_graph(s.where("split = 'train'").select("gene", F.lit("combined").alias("graph_class"), "sequence"))
+    rows = align_to_graph(s.where("split = 'test'").select("gene", "sequence_id", "sequence"), segments, links, own=("gene",))
+    return rows.select("query_name", "query_length", "query_start", "query_end", F.md5("path").alias("path_digest"), "path_length", "path_start", "path_end", "residue_matches", "alignment_block_length", "mapping_quality", "gene")
+
+
 # ---- graphs
 
 
