@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.operators import splice
+from strandloom.operators import small_graphs, splice
 from strandloom.operators.loops import Scratch, cut, fingerprint, table_of
 
 EDGE = ["graph_id", "src", "dst"]
@@ -102,10 +102,18 @@ def hop_distance(edges: DataFrame, sources: DataFrame | None = None, max_hops: i
     """(graph_id, src, dst, hops): least number of edges from each source (all nodes unless given), itself at 0;
     pairs without a path have no row.  A round extends only the pairs found in the one before.
 
-    Graphs that eight rounds do not settle are contracted first: unbranched paths and bubbles become weighted edges,
-    rounds run over what is left, and distances to and from the nodes taken out follow from those of the nodes
-    beside them.
+    All pairs of small graphs are found in one shuffle.  Graphs that eight rounds do not settle are contracted first:
+    unbranched paths and bubbles become weighted edges, rounds run over what is left, and distances to and from the
+    nodes taken out follow from those of the nodes beside them.
     """
+    if sources is None and max_hops is None:
+        small, large = small_graphs.parted(edges, Scratch(edges.sparkSession))
+        found = small_graphs.solved(small, small_graphs.distances, ("src", "dst", "hops"), ("node", "node", "int"))
+        return found if large is None else found.unionByName(_hops_in_rounds(large, None, None))
+    return _hops_in_rounds(edges, sources, max_hops)
+
+
+def _hops_in_rounds(edges: DataFrame, sources: DataFrame | None, max_hops: int | None) -> DataFrame:
     start = (edge_nodes(edges) if sources is None else sources).select("graph_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops")).distinct()
     step = cut(edges.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("next")).distinct())
     known = delta = cut(start)
@@ -163,15 +171,27 @@ def reachability(edges: DataFrame, sources: DataFrame | None = None, reflexive:
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(graph_id, node, scc): scc is the smallest node of the component.
 
-    A round trims nodes that no edge enters or none leaves; then every node points at one node before it (at one that
+    Small graphs are solved in one shuffle.  In others a round trims nodes that no edge enters or none leaves; then every node points at one node before it (at one that
     it also leads to, if any), and the circles of these pointers, all at once, become single nodes.  Where rounds go
     on, unbranched paths and bubbles are spliced too.  A spliced node belongs to a component if the nodes on both sides
     of its path do, which is read back in the end, last round first.  Each round takes out nodes of every part that is
     left, so it needs no bound.
     """
     nodes = edge_nodes(edges) if nodes is None else nodes
-    g, work = "graph_id", Scratch(edges.sparkSession)
-    left = work.put(edges.where("src <> dst").select(*EDGE, F.lit(1).cast("bigint").alias("weight")).distinct(), "left")
+    work = Scratch(edges.sparkSession)
+    small, large = small_graphs.parted(edges.where("src <> dst").select(*EDGE).distinct(), work)
+    named = small_graphs.solved(small, small_graphs.components, ("node", "least"), ("node", "node"))
+    if large is not None:
+        named = named.unionByName(_components_in_rounds(large, work))
+    named = work.put(named, "named")
+    work.keep(named)
+    return nodes.select(*NODE).join(named, NODE, "left").select(*NODE, F.coalesce("least", "node").alias("scc"))
+
+
+def _components_in_rounds(edges: DataFrame, work: Scratch) -> DataFrame:
+    """(graph_id, node, least) of the nodes in components of several, by rounds over all graphs of ``edges``."""
+    g = "graph_id"
+    left = work.put(edges.select(*EDGE, F.lit(1).cast("bigint").alias("weight")), "left")
     undo, turn = [], 0
     while True:
         left = _trimmed(left, work)
@@ -201,20 +221,19 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         both = u.join(side("before", "a"), [g, "before"], "left").join(side("after", "b"), [g, "after"], "left").select(*NODE, F.coalesce("a", "before").alias("a"), F.coalesce("b", "after").alias("b"))
         found = work.put(found.unionByName(both.where("a = b").select(*NODE, F.col("a").alias("scc"))), "found")
     if found is None:
-        return nodes.select(*NODE, F.col("node").alias("scc"))
+        return edges.select(g, F.col("src").alias("node"), F.col("src").alias("least")).limit(0)
     least = found.groupBy(g, "scc").agg(F.min("node").alias("m")).select(g, "scc", F.least("m", "scc").alias("least"))
-    named = work.put(found.join(least, [g, "scc"]).select(*NODE, "least").unionByName(least.select(g, F.col("scc").alias("node"), "least")), "named")
-    work.keep(named)
-    return nodes.select(*NODE).join(named, NODE, "left").select(*NODE, F.coalesce("least", "node").alias("scc"))
+    return found.join(least, [g, "scc"]).select(*NODE, "least").unionByName(least.select(g, F.col("scc").alias("node"), "least"))
 
 
 def _trimmed(edges: DataFrame, work: Scratch, rounds: int = 2) -> DataFrame:
     """``edges`` less those at nodes that no edge enters or none leaves, a few layers deep."""
+    trimmed = edges
     for _ in range(rounds):
-        into = edges.select("graph_id", F.col("dst").alias("src")).distinct()
-        out = edges.select("graph_id", F.col("src").alias("dst")).distinct()
-        edges = work.put(edges.join(into, ["graph_id", "src"], "left_semi").join(out, ["graph_id", "dst"], "left_semi").select(*EDGE, "weight"), "left")
-    return edges
+        into = trimmed.select("graph_id", F.col("dst").alias("src"))
+        out = trimmed.select("graph_id", F.col("src").alias("dst"))
+        trimmed = trimmed.join(into, ["graph_id", "src"], "left_semi").join(out, ["graph_id", "dst"], "left_semi").select(*EDGE, "weight")
+    return work.put(trimmed, "left")
 
 
 def _pointer_circles(edges: DataFrame, work: Scratch, turn: int) -> DataFrame:
@@ -230,8 +249,8 @@ def _pointer_circles(edges: DataFrame, work: Scratch, turn: int) -> DataFrame:
     while True:
         ahead = at.select(g, F.col("node").alias("to"), F.col("to").alias("further"), F.col("low").alias("other"))
         at = work.put(at.join(ahead, [g, "to"]).select(*NODE, F.col("further").alias("to"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("moved")), "pointers")
-        n = at.select(g, "to").distinct().count()
-        if n == ends and at.where("moved").isEmpty():
+        n, moved = at.agg(F.count_distinct(F.struct(g, "to")), F.coalesce(F.max("moved"), F.lit(False))).first()
+        if n == ends and not moved:
             break
         ends = n
     on = at.select(g, F.col("to").alias("node")).distinct()

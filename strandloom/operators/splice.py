@@ -25,16 +25,17 @@ def places(heads: DataFrame, going: DataFrame, work: Scratch, key: tuple[str, ..
     step), and the rows that no head leads to (circles), if any.  A round doubles the reach; rows that have met their
     head leave, and a round in which none does ends it."""
     k, done = list(key), heads
-    going = work.put(going.select(*k, "node", "to", "step"), "going")
+    last = going = work.put(going.select(*k, "node", "to", "step"), "going")
     while not going.isEmpty():
         side = lambda df, to, met: df.select(*k, F.col("node").alias("to"), F.col(to).alias("further"), F.col("step").alias("more"), F.lit(met).alias("met"))
         ahead = side(done, "head", True).unionByName(side(going, "to", False))
         new = work.put(going.join(ahead, [*k, "to"]).select(*k, "node", F.col("further").alias("to"), (F.col("step") + F.col("more")).alias("step"), "met"), "going")
-        arrived = new.where("met").select(*k, "node", F.col("to").alias("head"), "step")
+        arrived = work.put(new.where("met").select(*k, "node", F.col("to").alias("head"), "step"), "arrived")
         if arrived.isEmpty():
             return done, going
         done = done.unionByName(arrived)
-        going = new.where("not met").select(*k, "node", "to", "step")
+        work.drop(last)
+        last, going = new, new.where("not met").select(*k, "node", "to", "step")
     return done, None
 
 

@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from strandloom.operators import graphs, loops, splice
+from strandloom.operators import graphs, loops, small_graphs, splice
 
 SCHEMA = "graph_id int, src int, dst int"
 
@@ -49,14 +49,17 @@ def strong(edges):
     return {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
 
 
-def test_strong_components(world):
+@pytest.mark.parametrize("small", [0, 10, 2000])
+def test_strong_components(world, monkeypatch, small):
+    monkeypatch.setattr(small_graphs, "SMALL", small)
     got = {(r["graph_id"], r["node"]): r["scc"] for r in graphs.strong_components(world[1]).collect()}
     assert got == {(g, n): c for g, es in world[0].items() for n, c in strong(es).items()}
 
 
-@pytest.mark.parametrize("limit", [None, 40])
-def test_hops_of_contracted_graphs(world, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "small"), [(None, 12), (40, 0), (None, 2000)])
+def test_hops_of_contracted_graphs(world, monkeypatch, limit, small):
     monkeypatch.setattr(graphs, "SHALLOW", 1)
+    monkeypatch.setattr(small_graphs, "SMALL", small)
     every = {(r["graph_id"], r["src"], r["dst"]): r["hops"] for r in graphs.hop_distance(world[1], max_hops=limit).collect()}
     want = {(g, s, t): h for g, es in world[0].items() for s in {x for e in es for x in e} for t, h in searched(es, s).items()}
     assert every == want
