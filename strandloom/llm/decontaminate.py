@@ -2,7 +2,9 @@
 
 Tokens are words and numbers.  Two canonical forms are taken of every text: ``plain`` (lower case; numbers, and
 units after numbers, become typed placeholders) and ``named`` (capitalised words become name placeholders as
-well).  Every window of ``WINDOW`` canonical tokens is hashed and joined with the benchmark's (items shorter than
+well).  A number of several words ("three hundred") is one placeholder in both forms, and a run of capitalised words
+("Mary Ann") one in the named form, if only a space or a hyphen parts its words; a number's value is the whole run, a
+name's its last word, so that a sentence's first word is no part of it.  Every window of ``WINDOW`` canonical tokens is hashed and joined with the benchmark's (items shorter than
 a window are one window of their own length); one of placeholders alone is hashed with its values, as it would fit
 any run of numbers or names.  Before the join, tasks drop windows whose hash is not in a bitmap of fixed size made
 from the benchmark's windows, which loses none.
@@ -15,16 +17,19 @@ tokens; fewer if the item's form has no more, but half of its tokens besides num
 a document if the alignments that count, of either form, cover ``min_tokens`` of its tokens or ``min_share`` of them.
 
 Defined results: null and empty texts match nothing; null or repeated ids are kept apart by a hash of the text;
-repeated rows of one id and text count once; an empty benchmark gives no rows; items of less than ``LEAST`` tokens
-are words that stand anywhere, and match nothing.
+repeated rows of one id and text count once; an empty benchmark gives no rows; columns beside id and text are not
+read.  Items of less than ``LEAST`` tokens have no windows: an item of two tokens leaks into a document that has its
+tokens as a line or a sentence, one of a single token if they are a line, letter case aside (anywhere else they are
+words that clean texts share).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,9 @@ from strandloom.llm.common import Scratch, small_join
 
 WINDOW, LITERALS, LEAST = 8, 5, 3
 BITMAP_BITS = 1 << 24
-TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[$€£]?\d+(?:[.,]\d+)*%?")
+#: A token, with the space or hyphen behind it if nothing else parts it from the next.
+TOKENS = re.compile(r"(?:[^\W\d_]+(?:['’][^\W\d_]+)*|[$€£]?\d+(?:[.,]\d+)*%?)(?:[ -](?=[^\W_]))?")
+LINES, SENTENCES = re.compile(r"[\r\n]+"), re.compile(r"(?<=[.!?])\s+")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles meter meters metre metres mg g kg gram grams kilogram kilograms oz lb lbs pound pounds ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kph w kw v hz".split())
 
@@ -55,33 +62,60 @@ class Lexicon(dict):
 
     def __init__(self):
         self.literal = np.zeros(1 << 12, np.uint64)
-        self.kind = np.zeros(1 << 12, np.int8)  # 1 number, 2 unit, 4 capitalised
+        self.kind = np.zeros(1 << 12, np.int8)  # 1 number, 2 unit, 4 capitalised, 8 number in letters, 16 next word close behind
 
     def __missing__(self, token: str) -> int:
-        low, n = token.lower(), len(self)
+        word, n = token.rstrip(" -"), len(self)
+        low = word.lower()
         if n == len(self.kind):
             self.literal, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.literal, self.kind))
-        number = low in NUMBER_WORDS or (not token.isalpha() and any(c.isdigit() for c in token))
+        spelled = low in NUMBER_WORDS
+        number = spelled or (not word.isalpha() and any(c.isdigit() for c in word))
         self.literal[n] = xxh64_intdigest(low.encode())
-        self.kind[n] = number * 1 | (low in UNITS) * 2 | token[0].isupper() * 4
+        self.kind[n] = number * 1 | (low in UNITS) * 2 | word[0].isupper() * 4 | spelled * 8 | (word != token) * 16
         self[token] = n
         return n
 
 
-def canonical(lists: list[list[str]], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Of several texts' tokens, one text after the other: where each text ends, the tokens' own hashes, and for the
-    plain and the named form the tokens' hashes and whether each is a slot."""
+@dataclass(frozen=True)
+class Form:
+    """Several texts in one canonical form, one after the other.  A place is a token or a folded run of tokens."""
+
+    starts: np.ndarray  # first token of each place
+    hashes: np.ndarray
+    slots: np.ndarray
+    values: np.ndarray  # hashes of the places' own tokens
+    numbers: np.ndarray
+
+
+def canonical(lists: list[list[str]], lexicon: Lexicon) -> tuple[np.ndarray, list[Form]]:
+    """Of several texts' tokens: where each text ends, and the plain and the named form."""
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
     ends = np.cumsum(lengths)
     at = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(lists)), np.int64, int(ends[-1]))
     literal, kind = lexicon.literal[at], lexicon.kind[at]
+
+    def before(x: np.ndarray) -> np.ndarray:
+        """Of each token, what holds for the one before it in its text."""
+        out = np.concatenate([[False], x[:-1]])[: len(x)]
+        out[(ends - lengths)[lengths > 0]] = False
+        return out
+
     number = (kind & 1) > 0
-    after = np.concatenate([[False], number[:-1]])[: len(kind)]
-    after[(ends - lengths)[lengths > 0]] = False
-    unit = ((kind & 2) > 0) & after & ~number
-    plain = np.where(number, _NUM, np.where(unit, _UNIT, literal))
+    unit = ((kind & 2) > 0) & before(number) & ~number
     name = ((kind & 4) > 0) & ~number & ~unit
-    return ends, literal, [(plain, number | unit), (np.where(name, _NAME, plain), number | unit | name)]
+    close = before((kind & 16) > 0)
+    in_number = ((kind & 8) > 0) & before(number) & close
+    plain = np.where(number, _NUM, np.where(unit, _UNIT, literal))
+    forms = []
+    for hashes, slots, folded in ((plain, number | unit, in_number), (np.where(name, _NAME, plain), number | unit | name, in_number | (name & before(name) & close))):
+        starts, rest = np.flatnonzero(~folded), np.flatnonzero(folded)
+        values = literal[starts]
+        if len(rest):
+            place = np.cumsum(~folded)[rest] - 1
+            np.add.at(values, place, mix(literal[rest] + (rest - starts[place]).astype(np.uint64)))
+        forms.append(Form(starts, hashes[starts], slots[starts], values, number[starts]))
+    return ends, forms
 
 
 @lru_cache(maxsize=4)
@@ -109,41 +143,51 @@ def windows(hashes: np.ndarray, slots: np.ndarray, values: np.ndarray, size: int
 
 
 def found_windows(lists: list[list[str]], lexicon: Lexicon, sizes: tuple[int, ...] | None, bitmap: np.ndarray | None) -> Iterator[tuple]:
-    """(text, form, size, place in the text, hash, slots, literals, need) of every window, or of those in the bitmap.
+    """(text, form, size, place in the text, hash, slots, literals, need, first token, token behind) of every window, or of those in the bitmap.
 
     Without ``sizes``: only windows of WINDOW tokens, or one of all tokens if there are fewer, with the places of
     their literals and the number of literals that an alignment of the form needs.
     """
-    ends, values, both = canonical(lists, lexicon)
-    lengths = np.diff(ends, prepend=0)
-    text = np.repeat(np.arange(len(lists)), lengths)
-    left = ends[text] - np.arange(len(text))  # tokens from here to the text's end
-    for size in sorted(set(np.minimum(lengths, WINDOW).tolist())) if sizes is None else sizes:
-        if size < LEAST or len(text) < size:
-            continue
-        fits = left >= size
-        if sizes is None:
-            fits &= np.minimum(lengths, WINDOW)[text] == size
-        for form, (h, slot) in enumerate(both):
-            here = fits
+    ends, forms = canonical(lists, lexicon)
+    n, begins = len(lists), np.concatenate([[0], ends[:-1]])
+    words = None
+    for form, x in enumerate(forms):
+        text = np.searchsorted(ends, x.starts, side="right")
+        lengths = np.bincount(text, minlength=n)
+        last = np.cumsum(lengths)
+        firsts = last - lengths
+        left = last[text] - np.arange(len(text))  # places from here to the text's end
+        literals = np.bincount(text[~x.slots], minlength=n)
+        if form == 0:
+            words = literals
+        for size in sorted(set(np.minimum(lengths, WINDOW).tolist())) if sizes is None else sizes:
+            if size < LEAST or len(text) < size:
+                continue
+            fits = left >= size
+            if sizes is None:
+                fits &= np.minimum(lengths, WINDOW)[text] == size
             if form:  # a text without slots is as in the plain form
-                here = fits & (np.bincount(text[slot], minlength=len(lists)) > 0)[text]
-                if not here.any():
-                    continue
-            w = windows(h, slot, values, size, form)
-            here = here[: len(w)]
+                fits &= (literals < lengths)[text]
+            w = windows(x.hashes, x.slots, x.values, size, form)
+            fits = fits[: len(w)]
             if bitmap is not None:
                 low = w & np.uint64(BITMAP_BITS - 1)
-                here = here & ((bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
-            for p in np.flatnonzero(here).tolist():
+                fits = fits & ((bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
+            for p in np.flatnonzero(fits).tolist():
                 t = int(text[p])
-                begin, end = int(ends[t] - lengths[t]), int(ends[t])
-                held = [lists[t][p - begin + int(k)].lower() for k in np.flatnonzero(slot[p : p + size])]
+                begin, stop = int(begins[t]), int(ends[t])
+                tokens = [int(k) - begin for k in x.starts[p : p + size + 1]]
+                if left[p] == size:  # the next place, if any, is another text's
+                    tokens[size:] = [stop - begin]
+                held = []
+                for k in np.flatnonzero(x.slots[p : p + size]).tolist():
+                    run = [token.rstrip(" -").lower() for token in lists[t][tokens[k] : tokens[k + 1]]]
+                    held.append(" ".join(run) if x.numbers[p + k] else run[-1])
+                place = p - int(firsts[t])
                 if sizes is not None:
-                    yield t, form, size, p - begin, w[p], held, [], 0
+                    yield t, form, size, place, w[p], held, [], 0, tokens[0], tokens[size]
                 else:
-                    words = int((~both[0][1][begin:end]).sum())
-                    yield t, form, size, p - begin, w[p], held, p - begin + np.flatnonzero(~slot[p : p + size]), min(LITERALS, max(int((~slot[begin:end]).sum()), -(-words // 2)))
+                    yield t, form, size, place, w[p], held, place + np.flatnonzero(~x.slots[p : p + size]), min(LITERALS, max(int(literals[t]), -(-int(words[t]) // 2))), tokens[0], tokens[size]
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
@@ -174,17 +218,17 @@ def lexicon_of_worker() -> Lexicon:
 
 
 def window_rows(df: DataFrame, keys: list[str], sizes: tuple[int, ...] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """``keys`` and (window, form, size, pos, slots, n_tokens, literals, need) of every window, or of those in the
+    """``keys`` and (window, form, size, pos, slots, n_tokens, literals, need, first, behind) of every window, or of those in the
     bitmap; ``sizes`` as in ``found_windows``."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
-    names = ["window", "form", "size", "pos", "slots", "n_tokens", "literals", "need"]
+    names = ["window", "form", "size", "pos", "slots", "n_tokens", "literals", "need", "first", "behind"]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
-            row, hashed, forms, sized, pos, slots, length, literals, need = [], [], [], [], [], [], [], [], []
+            row, hashed, forms, sized, pos, slots, length, literals, need, first, behind = ([] for _ in range(11))
             for places, lists in chunks(b.column(b.num_columns - 1).to_pylist()):
-                for t, form, size, p, w, held, where, needs in found_windows(lists, lexicon_of_worker(), sizes, bits):
+                for t, form, size, p, w, held, where, needs, begin, stop in found_windows(lists, lexicon_of_worker(), sizes, bits):
                     row.append(places[t])
                     hashed.append(w)
                     forms.append(form)
@@ -194,15 +238,57 @@ def window_rows(df: DataFrame, keys: list[str], sizes: tuple[int, ...] | None, b
                     length.append(len(lists[t]))
                     literals.append(where)
                     need.append(needs)
+                    first.append(begin)
+                    behind.append(stop)
             head = [c.take(pa.array(row, pa.int64())) for c in b.columns[:-1]]
-            made = [pa.array(np.array(hashed, np.uint64).view(np.int64)), *(pa.array(x, pa.int32()) for x in (forms, sized, pos)), pa.array(slots, pa.list_(pa.string())), pa.array(length, pa.int32()), pa.array(literals, pa.list_(pa.int32())), pa.array(need, pa.int32())]
+            made = [pa.array(np.array(hashed, np.uint64).view(np.int64)), *(pa.array(x, pa.int32()) for x in (forms, sized, pos)), pa.array(slots, pa.list_(pa.string())), pa.array(length, pa.int32()), pa.array(literals, pa.list_(pa.int32())), pa.array(need, pa.int32()), pa.array(first, pa.int32()), pa.array(behind, pa.int32())]
             yield pa.RecordBatch.from_arrays([*head, *made], [*b.schema.names[:-1], *names])
 
     kept = df.select(*keys, "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "window bigint, form int, size int, pos int, slots array<string>, n_tokens int, literals array<int>, need int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "window bigint, form int, size int, pos int, slots array<string>, n_tokens int, literals array<int>, need int, first int, behind int"])
     return kept.mapInArrow(fn, schema)
 
 
+def short_rows(df: DataFrame, keys: list[str], bitmap: np.ndarray | None) -> DataFrame:
+    """``keys`` and (short, window, n_tokens, is_line): the lower-cased tokens, less than LEAST, of every whole text; or,
+    with a bitmap of their hashes, of every line and sentence."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def parts(text: str) -> Iterator[tuple[str, bool]]:
+        if shared.value is None:
+            yield text, True
+            return
+        for line in LINES.split(text):
+            yield line, True
+            sentences = SENTENCES.split(line)
+            if len(sentences) > 1:
+                yield from ((x, False) for x in sentences)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            row, short, hashed, counts, lines = [], [], [], [], []
+            for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                for part, is_line in parts(text or ""):
+                    tokens = [m[0].rstrip(" -").lower() for m in islice(TOKENS.finditer(part), LEAST)]
+                    if not 0 < len(tokens) < LEAST:
+                        continue
+                    w = xxh64_intdigest(" ".join(tokens).encode())
+                    low = w % BITMAP_BITS
+                    if bits is None or int(bits[low >> 6]) >> (low & 63) & 1:
+                        row.append(i)
+                        short.append(" ".join(tokens))
+                        hashed.append(w)
+                        counts.append(len(tokens))
+                        lines.append(is_line)
+            head = [c.take(pa.array(row, pa.int64())) for c in b.columns[:-1]]
+            made = [pa.array(short, pa.string()), pa.array(np.array(hashed, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.array(lines, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*head, *made], [*b.schema.names[:-1], "short", "window", "n_tokens", "is_line"])
+
+    kept = df.select(*keys, "text")
+    return kept.mapInArrow(fn, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "short string, window bigint, n_tokens int, is_line boolean"]))
+
+
 def bitmap_of(wanted: DataFrame) -> np.ndarray:
     """The bitmap of the windows' hashes; its size is fixed."""
     low = F.col("window").bitwiseAND(F.lit(BITMAP_BITS - 1))
@@ -222,20 +308,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, min_share
     sizes = tuple(r["size"] for r in wanted.select("size").distinct().collect())  # WINDOW values at most
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.col(text_col).cast("string").alias("text"))
     seen = window_rows(texts, ["doc", "body"], sizes, bitmap_of(wanted))
-    seen = seen.select("doc", "body", "window", "size", F.col("form").alias("seen_form"), F.col("pos").alias("seen_pos"), F.col("slots").alias("seen_slots"))
-    hits = seen.join(wanted, ["window", "size"]).where(F.size("slots") == F.size("seen_slots"))
+    seen = seen.select("doc", "body", "window", "size", "form", F.col("pos").alias("seen_pos"), F.col("slots").alias("seen_slots"))
+    hits = small_join(seen, wanted, ["window", "size", "form"], "inner").where(F.size("slots") == F.size("seen_slots"))
     pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("seen_slots").alias("b"))
     rich = F.size("literals") >= F.least(F.lit(LITERALS), F.greatest(F.lit(3), F.col("size") - 3))
     hits = hits.withColumn("rich", F.explode(F.when(rich, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))  # by rich windows alone, and by all
     lines = hits.groupBy("doc", "body", "item", "form", "rich", (F.col("seen_pos") - F.col("pos")).alias("shift")).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"), F.max("need").alias("need"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.collect_set("pos").alias("at"), F.max("size").alias("size"), F.max("n_tokens").alias("n_tokens"))
+        F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"), F.max("need").alias("need"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.collect_set(F.struct("first", "behind")).alias("at"), F.max("n_tokens").alias("n_tokens"))
     one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
     same = F.forall("pairs", lambda p: p["a"] == p["b"])
     agreed = lines.where(one("a") & one("b")).where(F.col("rich") | same | ((F.col("need") > 0) & (F.col("literals") >= F.col("need"))))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p["first"], p["behind"] - 1))))
     found = agreed.select("doc", "body", "item", "n_tokens", covered.alias("covered"), same.alias("same"))
     each = found.groupBy("doc", "body", "item").agg(F.max("n_tokens").alias("item_tokens"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("matched_tokens"), F.max("same").alias("exact"))
     each = each.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens")).where((F.col("matched_tokens") >= min_tokens) | (F.col("coverage") >= min_share))
+    short = work.put(short_rows(items, ["item"], None).select("item", "short", "window", F.col("n_tokens").alias("item_tokens")).distinct(), "short-items")
+    if not short.isEmpty():
+        alone = short_rows(texts, ["doc", "body"], bitmap_of(short)).select("doc", "body", "short", "is_line")
+        alone = small_join(alone, short.drop("window"), ["short"], "inner").where("item_tokens = 2 or is_line")
+        alone = alone.groupBy("doc", "body", "item").agg(F.max("item_tokens").alias("item_tokens"))
+        each = each.unionByName(alone.select("*", F.col("item_tokens").alias("matched_tokens"), F.lit(True).alias("exact"), F.lit(1.0).alias("coverage")))
     return each.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "matched_tokens", "item_tokens", "coverage", "exact")
 
 

@@ -189,7 +189,7 @@ def test_decontamination(spark):
     assert {k for k in got if k[1] == 1} >= {(2, 1), (3, 1), (4, 1), (7, 1)} and (6, 2) in got
     assert not {k for k in got if k[0] in (0, 1, 5)}
     assert got[2, 1]["exact"] and got[2, 1]["coverage"] == 1.0 and not got[3, 1]["exact"]
-    assert (8, 1) not in got or not got[8, 1]["exact"]
+    assert not got[8, 1]["exact"]  # the words after its slots are a copy
 
 
 def test_decontamination_of_number_heavy_items(spark):
@@ -201,6 +201,32 @@ def test_decontamination_of_number_heavy_items(spark):
     assert got == {(0, 1): True, (1, 1): False, (2, 2): True, (3, 2): False, (4, 3): True, (6, 4): True, (9, 6): False}
 
 
+def test_decontamination_of_runs(spark):
+    item = "Alice has 3 apples and Bob has 5"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    found = ["Alice has 3 apples and Mary Ann has 5", "Alice has three hundred apples and Bob has 5", "Mary-Jane Watson has 3 million apples and John Paul Jones has twenty-one", f"Here is one. {item}. Think.", "Carol has 12 apples and Dan has 7"]
+    not_found = ["Alice has 3 pears, Bob has none", "Carol has 4 apples and Carol has 9", "Mary Ann has three hundred apples and Sally Ann has 5", "Alice has 3. Apples and Bob"]
+    got = {r["doc_id"]: (r["matched_tokens"], r["item_tokens"], r["exact"]) for r in decontaminate.leaks(frame(spark, found + not_found), bench).collect()}
+    assert got == {0: (8, 8, False), 1: (8, 8, False), 2: (8, 8, False), 3: (8, 8, True), 4: (8, 8, False)}
+    bench = spark.createDataFrame([(1, "Mary Ann Smith has three hundred apples and Bob has 5")], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["matched_tokens"], r["item_tokens"], r["exact"]) for r in decontaminate.leaks(frame(spark, found), bench).collect()}
+    assert got == {i: (11, 11, False) for i in range(5)}
+
+
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "Define osmosis"), (2, "Why?"), (3, "?!"), (4, "Define osmosis")], "item_id bigint, text string")
+    texts = ["Define osmosis", "Part one\ndefine  OSMOSIS.\nPart two", "It rained. Define osmosis. It rained.", "we define osmosis as a flow", "why", "Why? Because.", "x\nWhy?\ny", None, "", "?!"]
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.leaks(frame(spark, texts), bench).collect()}
+    assert got == {**{(d, i): 1.0 for d in (0, 1, 2) for i in (1, 4)}, (4, 2): 1.0, (6, 2): 1.0}
+
+
+def test_decontamination_of_odd_rows(spark):
+    item = BENCH[0][1]
+    docs = spark.createDataFrame([(None, item, 1, "x"), (None, item, 1, "x"), (None, "word " * 200_000 + item, 2, "y")], "doc_id bigint, text string, window int, item string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(1, item, "z")], "item_id bigint, text string, form string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["coverage"], r["exact"]) for r in got] == [(None, 1, 1.0, True)] * 2
+
+
 def test_decontamination_of_rows(spark):
     item = BENCH[0][1]
     docs = spark.createDataFrame([(None, item, "a"), (1, item, "b"), (1, "clean", "c"), (2, None, "d"), (2, None, "d")], "doc_id bigint, text string, row string")
