@@ -24,6 +24,9 @@ itself,
   ``PEELS`` hubs, and pairs with such a far member alone, is compared block against block on bitmaps, across
   components only, whatever the bucket's size.
 
+In both kinds of blocks, members that need no test among themselves (linked with the hub, or measured with it) meet
+only the others.
+
 Bitmaps give no pairs either: they tell which members have a close one in their bucket, and these meet again in blocks
 with their full sets, a block returning a spanning forest of its links.  Nothing is capped; what bands and the bitmaps' cut-offs may miss is
 bounded by the probabilities above.
@@ -44,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,14 +216,24 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where("near").drop("near")
 
 
-def dealt(members: DataFrame, key: str, id_col: str, work: Scratch, block: int | None = None) -> DataFrame:
+def dealt(members: DataFrame, key: str, id_col: str, meets: Column, work: Scratch, block: int | None = None) -> DataFrame:
     """``members`` dealt into blocks by a hash of their id, once for each meeting (first, second) of two blocks of
-    one key; left: whether the row is on the first side; cross: whether the sides are two blocks."""
-    sized = work.put(members.groupBy(key).agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("blocks")), "sized")
-    rows = members.join(sized, key).withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
-    met = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    one key; left: whether the row is on the first side; cross: whether the sides are two blocks.
+
+    Where ``meets`` holds, a row meets all rows of its key; other rows meet only those, in blocks of their own, so
+    their number counts once and not squared.  A key that fits into one block is one meeting.
+    """
+    size = block or BLOCK
+    counts = members.groupBy(key).agg(F.count("*").alias("n"), F.count_if(meets).alias("n_meets")).where("n_meets > 0")
+    number = lambda n: F.ceil(n / size).cast("int")
+    one = F.col("n") <= size
+    sized = work.put(counts.select(key, F.when(one, 1).otherwise(number(F.col("n_meets"))).alias("hosts"), F.when(one, 0).otherwise(number(F.col("n") - F.col("n_meets"))).alias("guests")), "sized")
+    host, hosts, guests = meets | (F.col("guests") == 0), F.col("hosts"), F.col("guests")
+    own = F.pmod(F.xxhash64(id_col), F.when(host, hosts).otherwise(guests)) + F.when(host, 0).otherwise(hosts)
+    rows = members.join(sized, key).withColumns({"block": own.cast("int"), "last": F.when(host, hosts + guests).otherwise(hosts) - 1})
+    met = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     first, second = F.least("block", "other"), F.greatest("block", "other")
-    return met.withColumns({"first": first, "second": second, "left": F.col("block") == first, "cross": first != second}).drop("blocks", "block", "other")
+    return met.withColumns({"first": first, "second": second, "left": F.col("block") == first, "cross": first != second}).drop("hosts", "guests", "block", "last", "other")
 
 
 def bit_rows(lists: list[np.ndarray], least: int) -> np.ndarray:
@@ -277,8 +290,7 @@ def beside_hub(near: DataFrame, percent: int, work: Scratch) -> DataFrame:
         u, v = (np.array([ids[p[k]] for p in kept], np.int64) for k in (0, 1))
         return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
-    open_hubs = work.put(near.where("not linked").select("h").distinct(), "open-hubs")
-    rows = dealt(near.join(open_hubs, "h"), "h", "x", work)
+    rows = dealt(near, "h", "x", ~F.col("linked"), work)
     return rows.groupBy("h", "first", "second").applyInArrow(fn, "u bigint, v bigint")
 
 
@@ -307,7 +319,7 @@ def with_company(members: DataFrame, limit: int, work: Scratch) -> DataFrame:
         kept = np.unique(ids[seen])
         return pa.table({"bucket": pa.array(np.full(len(kept), t["bucket"][0].as_py(), np.int64)), "id": pa.array(kept)})
 
-    return dealt(members, "bucket", "id", work).groupBy("bucket", "first", "second").applyInArrow(fn, "bucket bigint, id bigint").distinct()
+    return dealt(members, "bucket", "id", F.col("far"), work).groupBy("bucket", "first", "second").applyInArrow(fn, "bucket bigint, id bigint").distinct()
 
 
 def company_links(members: DataFrame, limit: int, percent: int, work: Scratch) -> DataFrame:
@@ -328,7 +340,7 @@ def company_links(members: DataFrame, limit: int, percent: int, work: Scratch) -
         u, v = (np.array([ids[p[k]] for p in kept], np.int64) for k in (0, 1))
         return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
-    return dealt(members, "bucket", "id", work, min(BLOCK, SET_BLOCK)).groupBy("bucket", "first", "second").applyInArrow(fn, "u bigint, v bigint").distinct()
+    return dealt(members, "bucket", "id", F.col("far"), work, min(BLOCK, SET_BLOCK)).groupBy("bucket", "first", "second").applyInArrow(fn, "u bigint, v bigint").distinct()
 
 
 def decide(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -110,6 +110,30 @@ def test_left_over_members_meet_on_full_sets(spark, monkeypatch):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("n, odd", [(1000, 3), (1000, 40), (40, 40), (12, 2), (17, 1), (500, 0)])
+def test_blocks_meet_only_whom_they_must(spark, n, odd):
+    rows = spark.range(n).select(F.lit(7).alias("h"), F.col("id").alias("x"), (F.col("id") < odd).alias("far"))
+    work = Scratch(spark)
+    met = near_dedup.dealt(rows, "h", "x", F.col("far"), work, 16).select("x", "far", "first", "second", "left", "cross").collect()
+    work.keep()
+    times, sides = {}, {}
+    for r in met:
+        sides.setdefault((r["first"], r["second"], r["cross"]), ([], []))[not r["left"]].append((r["x"], r["far"]))
+    for (_, _, cross), (left, right) in sides.items():
+        for i in left:
+            for j in right if cross else left:
+                if i < j or cross and i != j:
+                    pair = tuple(sorted((i[0], j[0])))
+                    times[pair] = times.get(pair, 0) + 1
+    wanted = {(i, j) for i in range(odd) for j in range(i + 1, n)}
+    assert wanted <= times.keys() and all(v == 1 for v in times.values())
+    if n > 16:
+        assert len(met) <= (n - odd) * -(-odd // 16) + odd * (-(-odd // 16) + -(-(n - odd) // 16))
+        assert all(min(p) < odd for p in times)
+    else:
+        assert len(met) == n
+
+
 def test_near_duplicates_odd_input(spark):
     assert near_dedup.near_duplicates(frame(spark, []), 2).count() == 0
     rows = spark.createDataFrame([(7, "a b c"), (7, "a b c"), (3, "a b c"), (None, "a b c"), (9, None)], "doc_id bigint, text string")
