@@ -33,8 +33,12 @@ def best_alignment(rows: DataFrame, by: tuple[str, ...] = ("query_name",), carry
     columns of ``carry`` that ``rows`` has go through it, and ``nodes`` if asked for is split from the winner's path.
     """
     rest = [c for c in carry if c in rows.columns and c not in by and c != "nodes"]
-    key = F.struct((-F.col("normalized_score")).alias("a"), (-F.col("identity")).alias("b"), (-F.col("coverage")).alias("c"), (-F.col("mapping_quality")).alias("d"), F.col("line_no").alias("e"))
-    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), key).alias("__b")).select(*by, "__b.*", *([al.traversed_nodes(F.col("__b.path")).alias("nodes")] if "path" in rest else []))
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), order_of_rows()).alias("__b")).select(*by, "__b.*", *([al.traversed_nodes(F.col("__b.path")).alias("nodes")] if "path" in rest else []))
+
+
+def order_of_rows() -> Column:
+    """Measured rows, the best first."""
+    return F.struct((-F.col("normalized_score")).alias("a"), (-F.col("identity")).alias("b"), (-F.col("coverage")).alias("c"), (-F.col("mapping_quality")).alias("d"), F.col("line_no").alias("e"))
 
 
 def alignment_rollup(records: DataFrame, by: str = "gene") -> DataFrame:
@@ -58,18 +62,19 @@ def evaluate_alignments(gaf: DataFrame, queries: DataFrame) -> DataFrame:
     return alignment_rollup(queries.join(best, "query_name", "left").withColumn("found", F.col("identity").isNotNull()))
 
 
-def summary(prefix: Column | None = None) -> Column:
-    """struct of a best row's measures with an ``available`` flag; missing measures count 0."""
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-    return F.struct(
-        F.col("identity").isNotNull().alias("available"), zero("identity"), zero("coverage"), zero("mapping_quality"), zero("alignment_score"), zero("normalized_score"),
-        F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"), F.coalesce("mismatches", F.lit(0)).alias("mismatches"), zero("alignment_block_length"))
+def summary(best: Column) -> Column:
+    """struct of a best row's measures with an ``available`` flag, null without a row; missing measures count 0."""
+    zero = lambda c: F.coalesce(best[c].cast("double"), F.lit(0.0)).alias(c)
+    return F.when(best.isNotNull(), F.struct(
+        best["identity"].isNotNull().alias("available"), zero("identity"), zero("coverage"), zero("mapping_quality"), zero("alignment_score"), zero("normalized_score"),
+        F.coalesce(al.traversed_nodes(best["path"]), F.array().cast("array<string>")).alias("nodes"), F.coalesce(best["mismatches"], F.lit(0)).alias("mismatches"), zero("alignment_block_length")))
 
 
 def by_class(rows: DataFrame, keys: tuple[str, ...] = ("query_name",)) -> DataFrame:
-    """One row a query: a summary struct of its best row in each class graph (null where it has none)."""
-    best = best_alignment(rows, (*keys, "graph_class"), carry=CARRIED[1:]).withColumn("s", summary())
-    return best.groupBy(*keys).agg(*(F.max(F.when(F.col("graph_class") == k, F.col("s"))).alias(k) for k in CLASSES))
+    """One row a query: a summary struct of its best row in each class graph (null where it has none); one shuffle."""
+    carried = F.struct("path", "identity", "coverage", "mapping_quality", "alignment_score", "normalized_score", "mismatches", "alignment_block_length")
+    best = rows.groupBy(*keys).agg(*(F.min_by(carried, F.when(F.col("graph_class") == k, order_of_rows())).alias(k) for k in CLASSES))
+    return best.select(*keys, *(summary(F.col(k)).alias(k) for k in CLASSES))
 
 
 def part(k: str, name: str) -> Column:
