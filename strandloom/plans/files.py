@@ -106,7 +106,8 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table written as CSV in a folder a split, and read again."""
     path, ratio = new_folder(spark, "features"), "healthy_unhealthy_score_ratio"
-    rows = rounded(rounded(features(spark, sf_dir), *(c for c in ml.NUMERIC if c != ratio)), ratio, digits=3)
+    # written once, as each split reads it
+    rows = table_of(rounded(rounded(features(spark, sf_dir), *(c for c in ml.NUMERIC if c != ratio)), ratio, digits=3), "features")
     for part in ("train", "test"):
         writers.write_csv(ml.split_of(rows, part), f"{path}/{part}")
     return readers.read_features(spark, f"{path}/*")

@@ -1,7 +1,9 @@
 """Steps that the alignment queries share are done once: read off plans, and small results beside."""
 
+from pyspark.sql import functions as F
+
 from strandloom.operators import alignments
-from strandloom.plans import queries
+from strandloom.plans import files, queries
 from strandloom.sources.readers import parse_gaf
 
 
@@ -19,6 +21,15 @@ def test_features_take_alignments_apart_once_for_edges(spark, sf_dir):
     assert plan.count("concat_ws(") == 1
 
 
+def test_feature_files_make_features_once(spark, sf_dir, monkeypatch):
+    made, made_of = [], files.features
+    monkeypatch.setattr(files, "features", lambda *a: made_of(*a).withColumn("mapq", F.col("mapq") + F.lit(0.0)))
+    monkeypatch.setattr(files.writers, "write_csv", lambda df, path: made.append(optimized(df)))
+    monkeypatch.setattr(files.readers, "read_features", lambda spark, path: None)
+    files.feature_files(spark, sf_dir)
+    assert len(made) == 2 and all("Join" not in p and "Aggregate" not in p for p in made)
+
+
 def test_blank_and_padded_lines(spark):
     line = "\t".join(["q", "100", "0", "90", "+", ">a<b", "1000", "0", "90", "80", "90", "60", "NM:i:3", "NM:i:4"])
     rows = parse_gaf(spark.createDataFrame([(line + " \t\r\n",), ("",), (" \t ",), ("\n",), (None,)], "value string")).collect()
