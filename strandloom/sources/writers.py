@@ -28,7 +28,8 @@ def combined_order(seqs: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+    """Files of one object a line, compressed: names of fields in each line are most of the text."""
+    df.write.option("compression", "gzip").json(path)
 
 
 def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -81,3 +81,11 @@ def test_align_to_graph(spark):
     rows = kmers.align_to_graph(spark.createDataFrame([("q", base)], "sequence_id string, sequence string"), segments, links, 15).collect()
     # segments overlap by k - 1, so the chain passes over the branch at the one differing base
     assert len(rows) == 1 and rows[0]["residue_matches"] == 299 and (rows[0]["query_start"], rows[0]["query_end"]) == (0, 300)
+
+
+def test_json_is_compressed_and_comes_back(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"name{i}", [str(i)]) for i in range(50)], "n int, name string, parts array<string>")
+    writers.write_json(rows, f"{tmp_path}/out")
+    files = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert sorted(spark.read.schema(rows.schema).json(f"{tmp_path}/out").collect()) == sorted(rows.collect())
