@@ -7,6 +7,8 @@ follows what changed in the one before where that can be had.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,6 +73,15 @@ def top_degree_subgraph(edges: DataFrame, k: int = 400) -> DataFrame:
     return induced(edges, top_degree_nodes(edges, k))
 
 
+def each_graph(edges: DataFrame, solve: Callable, names: tuple[str, ...], types: tuple[str, ...], rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """graph_id and ``names``: small graphs by ``solve``, all in one shuffle, others by ``rounds`` over their edges.  The
+    edges are written first, as they are read twice."""
+    work = Scratch(edges.sparkSession)
+    small, large = small_graphs.parted(work.put(edges.select(*EDGE), "edges"), work)
+    found = small_graphs.solved(small, solve, names, types)
+    return found if large is None else found.unionByName(rounds(large))
+
+
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(graph_id, node, component): the smallest node reachable over undirected edges; alternating star rounds,
     about as many as the logarithm of a component's size; more than ``max_rounds`` are an error.  The join that
@@ -452,6 +463,10 @@ def representative_subgraph(edges: DataFrame, limit: int = 18, hubs: int = 6) ->
 def sample_walk(edges: DataFrame, max_steps: int = 8) -> DataFrame:
     """(graph_id, pos, node): a shortest cycle through the least cyclic node, closed, of max_steps + 1 nodes at most;
     in acyclic graphs the first ``max_steps`` nodes in topological order."""
+    return each_graph(edges, small_graphs.walk(max_steps), ("pos", "node"), ("int", "node"), lambda e: _walk_in_rounds(e, max_steps))
+
+
+def _walk_in_rounds(edges: DataFrame, max_steps: int) -> DataFrame:
     cyclic = cyclic_nodes(strong_components(edges), edges)
     start = cyclic.groupBy("graph_id").agg(F.min("node").alias("src"))
     first = start.join(edges, ["graph_id", "src"]).select("graph_id", F.col("src").alias("home"), F.col("dst").alias("src"))
