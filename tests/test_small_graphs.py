@@ -33,3 +33,16 @@ def both_ways(monkeypatch, rounds, query):
 @pytest.mark.parametrize("steps", [2, 8])
 def test_sample_walk(monkeypatch, edges, steps):
     both_ways(monkeypatch, "topological_order", lambda: graphs.sample_walk(edges, steps))
+
+
+def test_walk_sequence(monkeypatch, edges):
+    parts = graphs.edge_nodes(edges).withColumn("sequence", F.md5("node"))
+    both_ways(monkeypatch, "topological_order", lambda: graphs.walk_sequence(graphs.sample_walk(edges), parts))
+
+
+def test_walk_sequence_reads_its_walk_once(spark, edges):
+    walk = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x")], "graph_id int, pos int, node string")
+    parts = spark.createDataFrame([(1, "a", "AC"), (1, "b", "GG"), (1, "c", "T")], "graph_id int, node string, sequence string")
+    out = graphs.walk_sequence(walk, parts)
+    assert {tuple(r) for r in out.collect()} == {(1, "ACNGGT"), (2, "A")}
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
