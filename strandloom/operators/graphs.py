@@ -444,6 +444,11 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = No
 def representative_nodes(edges: DataFrame, limit: int = 18, hubs: int = 6) -> DataFrame:
     """(graph_id, node): all nodes of graphs within ``limit``; else hubs by degree, the shortest paths between
     consecutive hubs (by name order of their ranks), and further nodes in topological order, up to ``limit``."""
+    one = lambda es: [(n,) for n in small_graphs.representatives(es, limit, hubs)]
+    return each_graph(edges, one, ("node",), ("node",), lambda e: _representatives_in_rounds(e, limit, hubs))
+
+
+def _representatives_in_rounds(edges: DataFrame, limit: int, hubs: int) -> DataFrame:
     order = topological_order(edges)
     size = order.groupBy("graph_id").agg(F.count("*").alias("n"))
     top = top_degree_nodes(edges, min(hubs, limit))

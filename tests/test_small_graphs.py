@@ -46,3 +46,11 @@ def test_walk_sequence_reads_its_walk_once(spark, edges):
     out = graphs.walk_sequence(walk, parts)
     assert {tuple(r) for r in out.collect()} == {(1, "ACNGGT"), (2, "A")}
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_representative_nodes(monkeypatch, edges):
+    both_ways(monkeypatch, "topological_order", lambda: graphs.representative_nodes(edges, 4, 2))
+
+
+def test_representative_nodes_by_more_hubs(monkeypatch, edges):
+    both_ways(monkeypatch, "topological_order", lambda: graphs.representative_nodes(edges, 5, 3))
