@@ -494,7 +494,11 @@ def walk_sequence(walk: DataFrame, segments: DataFrame, seg: int = 10) -> DataFr
 
 def context_snapshot(edges: DataFrame, limit: int = 18, hubs: int = 6) -> DataFrame:
     """(graph_id, stage, nodes, edges, node_list): the graph, its representative part, and that with cycles added."""
-    part = cut(representative_subgraph(edges, limit, hubs))
+    return each_graph(edges, small_graphs.snapshot(limit, hubs), ("stage", "nodes", "edges", "node_list"), ("string", "bigint", "bigint", "nodes"), lambda e: _snapshot_in_rounds(e, limit, hubs))
+
+
+def _snapshot_in_rounds(edges: DataFrame, limit: int, hubs: int) -> DataFrame:
+    part = cut(induced(edges, _representatives_in_rounds(edges, limit, hubs)))
     stages = {"original": edges.select(*EDGE), "representative": part.select(*EDGE), "cyclic": add_cycles(part).select(*EDGE)}
     out = None
     for name, e in stages.items():

@@ -54,3 +54,7 @@ def test_representative_nodes(monkeypatch, edges):
 
 def test_representative_nodes_by_more_hubs(monkeypatch, edges):
     both_ways(monkeypatch, "topological_order", lambda: graphs.representative_nodes(edges, 5, 3))
+
+
+def test_context_snapshot(monkeypatch, edges):
+    both_ways(monkeypatch, "topological_order", lambda: graphs.context_snapshot(edges, 4, 2))
