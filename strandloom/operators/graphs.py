@@ -18,6 +18,7 @@ from strandloom.operators.loops import Scratch, cut, fingerprint, table_of
 
 EDGE = ["graph_id", "src", "dst"]
 NODE = ["graph_id", "node"]
+STATS = ("nodes", "edges", "self_loops", "wcc", "largest_wcc", "scc", "largest_scc", "has_cycle")
 
 
 def simple_edges(links: DataFrame) -> DataFrame:
@@ -283,6 +284,12 @@ def has_cycle(edges: DataFrame) -> DataFrame:
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """By graph: nodes, edges, self_loops, weak and strong components, the largest of each, has_cycle."""
+    rows = edges.select(*EDGE).where("dst is not null").unionByName(nodes.select("graph_id", F.col("node").alias("src"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst")))
+    own = lambda df: df.where("dst is null").select("graph_id", F.col("src").alias("node"))
+    return each_graph(rows, small_graphs.stats, STATS, ("bigint",) * 7 + ("boolean",), lambda r: _stats_in_rounds(own(r), r.where("dst is not null")))
+
+
+def _stats_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     weak, strong = weak_components(edges, nodes), strong_components(edges, nodes)
 
     def sizes(df: DataFrame, key: str, many: str, largest: str) -> DataFrame:

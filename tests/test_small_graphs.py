@@ -58,3 +58,8 @@ def test_representative_nodes_by_more_hubs(monkeypatch, edges):
 
 def test_context_snapshot(monkeypatch, edges):
     both_ways(monkeypatch, "topological_order", lambda: graphs.context_snapshot(edges, 4, 2))
+
+
+def test_graph_stats(spark, monkeypatch, edges):
+    alone = spark.createDataFrame([(1, "z"), (99, "a"), (99, "b")], "graph_id int, node string")
+    both_ways(monkeypatch, "weak_components", lambda: graphs.graph_stats(graphs.edge_nodes(edges).unionByName(alone), edges))
