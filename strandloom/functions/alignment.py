@@ -11,6 +11,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def nearest(x: Column, digits: int) -> Column:
+    """``x`` (double) to ``digits`` decimals as SQL rounds doubles: the product with the power of ten is rounded, halves away
+    from zero.  (``F.round`` rounds the shortest decimal that names the double, which differs where the product is at a half.)"""
+    y = x * (10.0**digits)
+    whole = F.rint(y)
+    return F.when(F.abs(y - whole) == 0.5, y + F.signum(y) * 0.5).otherwise(whole) / (10.0**digits)
+
+
 def tag_triples(fields: Column) -> Column:
     """array of [K, T, V] of the K:T:V fields (V may hold colons); other fields are dropped."""
     return F.filter(F.transform(fields, lambda f: F.split(f, ":", 3)), lambda t: F.size(t) == 3)

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,14 @@ def test_verdict(spark):
     v = lambda h, u: one(spark.range(1).select(al.verdict(F.lit(h), F.lit(u))))
     assert v(0.5, 0.5)["label"] == "HEALTHY" and v(0.5, 0.5)["tie_like"] and v(0.2, 0.6)["label"] == "UNHEALTHY"
     assert v(0.2, 0.6)["confidence"] == pytest.approx(0.5)
+
+
+def test_doubles_round_as_in_sql(spark):
+    # u / (h + u) of evidence at halves of the ninth decimal, where decimal rounding differs
+    x = [0.797, 0.8086388888888889, 0.8091923076923078], [0.9096666666666666, 0.8075227272727272, 0.8318333333333333]
+    values = [u / (h + u) for h, u in zip(*x, strict=True)] + [0.0, 0.5, 1.0, -0.25, 0.0009765625, 1 / 5120, 2 / 3, 1e-10, 123.4567890125, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = [duckdb.sql(f"select round('{v!r}'::double, 9)").fetchall()[0][0] for v in values]
+    rows = df.select(al.nearest(F.col("v"), 9), F.round("v", 9)).collect()
+    assert [r[0] for r in rows] == want
+    assert any(r[1] != w for r, w in zip(rows, want, strict=True))
