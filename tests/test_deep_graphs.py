@@ -56,6 +56,22 @@ def test_strong_components(world, monkeypatch, small):
     assert got == {(g, n): c for g, es in world[0].items() for n, c in strong(es).items()}
 
 
+def test_rounds_end_where_a_task_can_hold_the_rest(world, monkeypatch):
+    monkeypatch.setattr(small_graphs, "SMALL", 1)
+    monkeypatch.setattr(small_graphs, "LINEAR", 12)
+    got = {(r["graph_id"], r["node"]): r["scc"] for r in graphs.strong_components(world[1]).collect()}
+    assert got == {(g, n): c for g, es in world[0].items() for n, c in strong(es).items()}
+
+
+def test_a_few_thousand_edges_take_no_rounds(spark, monkeypatch):
+    """Layers of four nodes, each joined with all of the next, and one edge back: nothing to splice, a layer a round."""
+    edges = [(g, 4 * i + a, 4 * i + 4 + b) for g in (1, 2) for i in range(200) for a in range(4) for b in range(4)] + [(1, 799, 0)]
+    monkeypatch.setattr(graphs, "_pointer_circles", None)
+    rows = graphs.strong_components(spark.createDataFrame(edges, SCHEMA)).collect()
+    on = {r["node"] for r in rows if r["graph_id"] == 1 and r["scc"] == 0}
+    assert on == {0, *range(4, 796), 799} and all(r["scc"] == r["node"] for r in rows if r["graph_id"] == 2 or r["node"] not in on)
+
+
 @pytest.mark.parametrize(("limit", "small"), [(None, 12), (40, 0)])
 def test_hops_of_contracted_graphs(world, monkeypatch, limit, small):
     monkeypatch.setattr(graphs, "SHALLOW", 1)
