@@ -42,3 +42,11 @@ def test_best_row_of_each_class(spark):
     out = {r["query_name"]: r for r in alignments.by_class(spark.createDataFrame(rows, kinds)).collect()}
     assert set(out) == {"a", "b"} and out["b"]["healthy"] is None and out["a"]["combined"] is None
     assert out["a"]["healthy"]["nodes"] == ["y", "z"] and out["a"]["healthy"]["mismatches"] == 2 and out["a"]["healthy"]["available"]
+
+
+def test_judged_rows_by_stored_classes(spark, sf_dir):
+    """Best rows that a query has written serve its judgement as well: the lines are not parsed once more."""
+    stored = queries.judged(spark, sf_dir, queries.stored_classes(spark, sf_dir))
+    plain = queries.judged(spark, sf_dir)
+    assert stored.count() == plain.count() > 0 and stored.exceptAll(plain).isEmpty()
+    assert "lineitem" not in "".join(stored.inputFiles()) and "lineitem" in "".join(plain.inputFiles())
