@@ -21,6 +21,11 @@ def test_features_take_alignments_apart_once_for_edges(spark, sf_dir):
     assert plan.count("concat_ws(") == 1
 
 
+def test_edges_of_paths_are_compiled(spark, sf_dir):
+    plan = optimized(queries.features(spark, sf_dir))
+    assert "arrays_zip(" in plan and "struct(src" not in plan
+
+
 def test_feature_files_make_features_once(spark, sf_dir, monkeypatch):
     made, made_of = [], files.features
     monkeypatch.setattr(files, "features", lambda *a: made_of(*a).withColumn("mapq", F.col("mapq") + F.lit(0.0)))
