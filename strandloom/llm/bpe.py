@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import texts_of
+
 #: Entries that a worker's memo of encoded matches may hold before it starts anew.
 MEMO = 400_000
 #: Longer matches are encoded but not remembered.
@@ -101,7 +103,7 @@ def codec(vocabulary: str, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
-def small_groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+def small_groups(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of about ``chars`` characters together, so that a batch of long texts stays in bounds."""
     group, size = [], 0
     for t in texts:
@@ -155,8 +157,7 @@ def _over_batches(vocabulary: str, pattern: str, make, fields):
         names = [n for n, _ in fields]
         for b in batches:
             at = 0
-            texts = b.column(b.num_columns - 1).to_pylist()
-            for group in small_groups(texts):
+            for group in small_groups(texts_of(b.column(b.num_columns - 1))):
                 rows = [make(c, t, ids) for t, ids in zip(group, c.encode(group), strict=True)]
                 made = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)]
                 head = b.slice(at, len(group))

@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows of keys (three 64-bit columns at most, or a digest) that may be broadcast: some 100 MB in memory at worst.
 BROADCAST_ROWS = 1_000_000
+#: Rows whose texts a task holds as Python strings at one time, and words or tokens that a worker remembers.
+TEXTS, REMEMBERED = 256, 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,5 +84,11 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, limit
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch's column; only those of some rows are Python strings at one time."""
+    for at in range(0, len(column), TEXTS):
+        yield from column.slice(at, TEXTS).to_pylist()
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

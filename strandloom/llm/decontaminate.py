@@ -26,7 +26,7 @@ words that clean texts share).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, islice
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from strandloom.llm.common import Scratch, small_join
+from strandloom.llm.common import REMEMBERED, Scratch, small_join, texts_of
 
 WINDOW, LITERALS, LEAST = 8, 5, 3
 BITMAP_BITS = 1 << 24
@@ -49,7 +49,7 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0xA5A5A5A500000001, 0xA5A5A5A500000002, 0xA5A5A5A500000003))
 _BASE = 0x9E3779B97F4A7C15
-CHUNK_TOKENS = 1 << 17
+CHUNK_TOKENS = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ def found_windows(lists: list[list[str]], lexicon: Lexicon, sizes: tuple[int, ..
                     yield t, form, size, place, w[p], held, place + np.flatnonzero(~x.slots[p : p + size]), min(LITERALS, max(int(literals[t]), -(-int(words[t]) // 2))), tokens[0], tokens[size]
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
+def chunks(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
     """Places and tokens of texts, by as many as hold CHUNK_TOKENS tokens, or one longer text."""
     places, lists, held = [], [], 0
     for i, text in enumerate(texts):
@@ -210,9 +210,9 @@ _LEXICON = Lexicon()
 
 
 def lexicon_of_worker() -> Lexicon:
-    """One lexicon for all tasks of a Python worker, begun anew when it has grown to a million tokens."""
+    """One lexicon for all tasks of a Python worker, begun anew when it has grown to REMEMBERED tokens."""
     global _LEXICON
-    if len(_LEXICON) > 1_000_000:
+    if len(_LEXICON) > REMEMBERED:
         _LEXICON = Lexicon()
     return _LEXICON
 
@@ -227,7 +227,7 @@ def window_rows(df: DataFrame, keys: list[str], sizes: tuple[int, ...] | None, b
         bits = shared.value
         for b in batches:
             row, hashed, forms, sized, pos, slots, length, literals, need, first, behind = ([] for _ in range(11))
-            for places, lists in chunks(b.column(b.num_columns - 1).to_pylist()):
+            for places, lists in chunks(texts_of(b.column(b.num_columns - 1))):
                 for t, form, size, p, w, held, where, needs, begin, stop in found_windows(lists, lexicon_of_worker(), sizes, bits):
                     row.append(places[t])
                     hashed.append(w)
@@ -268,7 +268,7 @@ def short_rows(df: DataFrame, keys: list[str], bitmap: np.ndarray | None) -> Dat
         bits = shared.value
         for b in batches:
             row, short, hashed, counts, lines = [], [], [], [], []
-            for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            for i, text in enumerate(texts_of(b.column(b.num_columns - 1))):
                 for part, is_line in parts(text or ""):
                     tokens = [m[0].rstrip(" -").lower() for m in islice(TOKENS.finditer(part), LEAST)]
                     if not 0 < len(tokens) < LEAST:

@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import Scratch, small_join
+from strandloom.llm.common import REMEMBERED, TEXTS, Scratch, small_join, texts_of
 from strandloom.llm.components import components
 
 BANDS, ROWS, BITS = 32, 5, 512
@@ -139,9 +139,9 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
         known: dict[bytes, int] = {}
         for b in batches:
             n, digests, bands, sketches = [], [], [], []
-            if len(known) > 1_000_000:
-                known = {}
-            for text in b.column(2).to_pylist():
+            for text in texts_of(b.column(2)):
+                if len(known) > REMEMBERED:
+                    known = {}
                 s = shingle_set(text, shingle, known)
                 n.append(len(s))
                 digests.append(xxh3_128_digest(s.tobytes()))
@@ -167,11 +167,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for b in batches:
-            if len(known) > 1_000_000:
+        for part in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
+            if len(known) > REMEMBERED:
                 known = {}
-            got = [shingle_set(text, shingle, known).view(np.int64) for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "shingles"])
+            got = [shingle_set(text, shingle, known).view(np.int64) for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "shingles"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
@@ -236,6 +236,15 @@ def dealt(members: DataFrame, key: str, id_col: str, meets: Column, work: Scratc
     return met.withColumns({"first": first, "second": second, "left": F.col("block") == first, "cross": first != second}).drop("hosts", "guests", "block", "last", "other")
 
 
+def arrays_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A column of lists as views of its values, which never become Python numbers."""
+    out = []
+    for c in column.chunks:
+        at, flat = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)
+        out += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
+
+
 def bit_rows(lists: list[np.ndarray], least: int) -> np.ndarray:
     """One row of bits a list, a bit for each value that ``least`` lists hold at least, in words of 64."""
     sizes = np.array([len(x) for x in lists])
@@ -274,7 +283,7 @@ def beside_hub(near: DataFrame, percent: int, work: Scratch) -> DataFrame:
 
     def fn(t: pa.Table) -> pa.Table:
         ids, left, linked = (t[c].to_numpy(zero_copy_only=False) for c in ("x", "left", "linked"))
-        lists = {c: [np.array(x, np.int64) for x in t[c].to_pylist()] for c in ("gone", "news")}
+        lists = {c: arrays_of(t[c]) for c in ("gone", "news")}
         gone, news = bit_rows(lists["gone"], 2), bit_rows(lists["news"], 2)
         r, n = (np.array([len(x) for x in lists[c]]) for c in ("gone", "news"))
         nh = t["nh"][0].as_py()
@@ -329,7 +338,7 @@ def company_links(members: DataFrame, limit: int, percent: int, work: Scratch) -
     def fn(t: pa.Table) -> pa.Table:
         ids, comp, left, far = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "comp", "left", "far"))
         bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        lists = [np.array(x, np.int64) for x in t["shingles"].to_pylist()]
+        lists = arrays_of(t["shingles"])
         size = np.array([len(x) for x in lists])
         common = bit_rows(lists, 2)
         found = []

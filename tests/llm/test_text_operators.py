@@ -2,16 +2,18 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontaminate, language_id, licenses, pii, quality, queries, token_counts
-from strandloom.llm.common import table
+from strandloom.llm.common import REMEMBERED, table, texts_of
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [None, "", " ", "\n\n", "a", "naïve café ", "日本語のテキスト", "it's 12,345.6  \t x", "<|endoftext|>", "🙂🙃" * 3, "a" * 5000, " ".join(["word"] * 20000)]
@@ -227,6 +229,20 @@ def test_decontamination_of_odd_rows(spark):
     assert [(r["doc_id"], r["item_id"], r["coverage"], r["exact"]) for r in got] == [(None, 1, 1.0, True)] * 2
 
 
+def test_memory_of_a_batch_of_long_texts(monkeypatch):
+    """Strings and tokens of some rows at a time, whatever a batch holds; what workers remember of tokens is bounded."""
+    texts = pa.array([f"{i} some words of a text " * 200 for i in range(4000)])  # 20 MB
+    tracemalloc.start()
+    places = [i for where, _ in decontaminate.chunks(texts_of(texts)) for i in where]
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert places == list(range(4000)) and most < 12_000_000
+    monkeypatch.setattr(decontaminate, "_LEXICON", decontaminate.Lexicon())
+    for i in range(REMEMBERED + 1):
+        decontaminate._LEXICON[f"w{i}"] = i
+    assert not decontaminate.lexicon_of_worker() and REMEMBERED <= 200_000
+
+
 def test_decontamination_of_rows(spark):
     item = BENCH[0][1]
     docs = spark.createDataFrame([(None, item, "a"), (1, item, "b"), (1, "clean", "c"), (2, None, "d"), (2, None, "d")], "doc_id bigint, text string, row string")
