@@ -63,6 +63,16 @@ def test_rounds_end_where_a_task_can_hold_the_rest(world, monkeypatch):
     assert got == {(g, n): c for g, es in world[0].items() for n, c in strong(es).items()}
 
 
+def test_paths_are_spliced_before_circles_are_looked_for(spark, monkeypatch):
+    """A circle of 300 nodes with three ways round a part of it, too large for a task until its paths are edges."""
+    edges = [(1, i, (i + 1) % 300) for i in range(300)] + [(1, 0, 300), (1, 300, 301), (1, 301, 40), (1, 100, 302), (1, 302, 180), (1, 302, 303)]
+    monkeypatch.setattr(small_graphs, "SMALL", 1)
+    monkeypatch.setattr(small_graphs, "LINEAR", 12)
+    monkeypatch.setattr(graphs, "_pointer_circles", None)
+    got = {r["node"]: r["scc"] for r in graphs.strong_components(spark.createDataFrame(edges, SCHEMA)).collect()}
+    assert got == {n: 0 for n in range(303)} | {303: 303}
+
+
 def test_a_few_thousand_edges_take_no_rounds(spark, monkeypatch):
     """Layers of four nodes, each joined with all of the next, and one edge back: nothing to splice, a layer a round."""
     edges = [(g, 4 * i + a, 4 * i + 4 + b) for g in (1, 2) for i in range(200) for a in range(4) for b in range(4)] + [(1, 799, 0)]
